@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.versions import version_rank
-from muster.schema import ENV
+from muster.schema import ENV, LAYER_IMPLIED
 from muster.session import broadcast_if, small_enough
 
 # ---------------------------------------------------------------- fixed values
@@ -126,6 +126,7 @@ class Catalog:
     property_expansion: DataFrame
     units: Mapping[str, str]
     small: bool
+    _made: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def of(
@@ -159,24 +160,56 @@ class Catalog:
     def side(self, df: DataFrame) -> DataFrame:
         return broadcast_if(df, self.small)
 
+    def _frozen(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` makes of the catalog, worked out once.
+
+        A small catalog gives a small result, which becomes a local table: queries
+        then join a constant instead of repeating catalog aggregations.
+        """
+        if name not in self._made:
+            df = build()
+            if self.small:
+                df = df.sparkSession.createDataFrame(df.toArrow())
+            self._made[name] = df
+        return self._made[name]
+
     def definitions(self) -> DataFrame:
         """One row per (prop, file): datatype, unit, as_of_rank and its roles."""
-        roles = self.property_role.groupBy("prop").agg(F.collect_set("role").alias("roles"))
-        return (
-            self.property.join(self.side(roles), "prop", "left")
-            .select(
-                "prop",
-                F.when(F.col("kind") == "env", F.lit(ENV)).otherwise(F.col("file")).alias("file"),
-                "datatype",
-                "unit",
-                version_rank(F.col("as_of")).alias("as_of_rank"),
-                F.coalesce("roles", F.array().cast("array<string>")).alias("roles"),
-            )
-        )
+        return self._frozen("definitions", self._definitions)
 
     def ranges(self) -> DataFrame:
         """Default and recommended values with comparable bounds and preference:
         recommended before default, then the range that starts last."""
+        return self._frozen("ranges", self._ranges)
+
+    def required(self) -> DataFrame:
+        """(role, prop, file, as_of_rank) of what each role must have."""
+        return self._frozen("required", self._required)
+
+    def required_by_role(self) -> DataFrame:
+        """One row per role: everything it must have, with value ranges."""
+        return self._frozen("required_by_role", self._required_by_role)
+
+    def implications(self) -> DataFrame:
+        """Transitive closure of the expansions: (prop, role, file, implied, value)."""
+        return self._frozen("implications", self._implications)
+
+    def implied_by_trigger(self) -> DataFrame:
+        """One row per (prop, role) that implies something: the implied properties."""
+        return self._frozen("implied_by_trigger", self._implied_by_trigger)
+
+    def _definitions(self) -> DataFrame:
+        roles = self.property_role.groupBy("prop").agg(F.collect_set("role").alias("roles"))
+        return self.property.join(roles, "prop", "left").select(
+            "prop",
+            F.when(F.col("kind") == "env", F.lit(ENV)).otherwise(F.col("file")).alias("file"),
+            "datatype",
+            "unit",
+            version_rank(F.col("as_of")).alias("as_of_rank"),
+            F.coalesce("roles", F.array().cast("array<string>")).alias("roles"),
+        )
+
+    def _ranges(self) -> DataFrame:
         return self.property_value.select(
             "prop",
             "value_kind",
@@ -187,25 +220,29 @@ class Catalog:
             F.when(F.col("value_kind") == "recommended", 1).otherwise(0).alias("preference"),
         )
 
-    def required(self) -> DataFrame:
-        """(role, prop, file, as_of_rank) of what each role must have."""
-        return (
-            self.property_role.filter("required")
-            .select("prop", "role")
-            .join(self.side(self.definitions().drop("roles")), "prop")
-            .select("role", "prop", "file", "as_of_rank")
+    def _required(self) -> DataFrame:
+        wanted = self.property_role.filter("required").select("prop", "role")
+        return wanted.join(self.definitions(), "prop").select(
+            "role", "prop", "file", "as_of_rank"
         )
 
-    def implications(self) -> DataFrame:
-        """Transitive closure of the expansions: (prop, role, file, implied, value).
+    def _required_by_role(self) -> DataFrame:
+        value = F.struct("preference", "from_rank", "to_rank", "open_ended", "range_value")
+        best_first = F.sort_array(F.collect_list(value), asc=False).alias("ranges")
+        values = self.ranges().groupBy("prop").agg(best_first)
+        entry = F.struct("file", "prop", "as_of_rank", "ranges")
+        return (
+            self.required()
+            .join(values, "prop", "left")
+            .groupBy("role")
+            .agg(F.collect_list(entry).alias("required"))
+        )
 
-        ``role`` is one the implied property is catalogued for.  The recursion runs
-        over the catalog alone.  Where two paths lead to one property, the value of
-        the shortest path counts, then the smallest.
-        """
+    def _implications(self) -> DataFrame:
+        # The recursion runs over the catalog alone.  Where two paths lead to one
+        # property, the shortest path's value counts, then the smallest.
         step = self.property_expansion
-        spark = step.sparkSession
-        reached = spark.sql(
+        reached = step.sparkSession.sql(
             """
             WITH RECURSIVE reach(prop, expands_to, value, depth) AS (
               SELECT prop, expands_to, value, 1 FROM {step}
@@ -222,6 +259,19 @@ class Catalog:
         target = self.definitions().select(
             F.col("prop").alias("expands_to"), "file", F.explode("roles").alias("role")
         )
-        return reached.join(self.side(target), "expands_to").select(
+        return reached.join(target, "expands_to").select(
             "prop", "role", "file", F.col("expands_to").alias("implied"), "value"
         )
+
+    def _implied_by_trigger(self) -> DataFrame:
+        entry = F.struct(
+            F.lit(LAYER_IMPLIED).alias("layer"),
+            F.col("file").alias("file"),
+            F.col("implied").alias("prop"),
+            F.col("value").alias("value"),
+        )
+        return (
+            self.implications()
+            .groupBy("prop", "role")
+            .agg(F.collect_list(entry).alias("implied_props"))
+        )

@@ -14,7 +14,6 @@ from muster.schema import (
     BUILT_IN_PROPERTIES,
     KEY,
     LAYER_FILLED,
-    LAYER_IMPLIED,
     OVERRIDE_LAYERS,
     RESERVED_PORT_PROPERTIES,
 )
@@ -99,33 +98,6 @@ def missing_required(keys: DataFrame, props: DataFrame, catalog: Catalog) -> Dat
     return required_of(keys, catalog).join(present, [*KEY, "file", "prop"], "left_anti")
 
 
-def _best_values(catalog: Catalog) -> DataFrame:
-    """Per property: its ranges as an array, the preferred first."""
-    entry = F.struct(
-        F.col("preference"),
-        F.col("from_rank"),
-        F.col("to_rank"),
-        F.col("open_ended"),
-        F.col("range_value"),
-    )
-    return (
-        catalog.ranges()
-        .groupBy("prop")
-        .agg(F.sort_array(F.collect_list(entry), asc=False).alias("ranges"))
-    )
-
-
-def required_by_role(catalog: Catalog) -> DataFrame:
-    """One row per role with everything it must have, value ranges included."""
-    entry = F.struct("file", "prop", "as_of_rank", "ranges")
-    return (
-        catalog.required()
-        .join(catalog.side(_best_values(catalog)), "prop", "left")
-        .groupBy("role")
-        .agg(F.collect_list(entry).alias("required"))
-    )
-
-
 def fill_array(required: str = "required", version_rank: str = "version_rank") -> Column:
     """What a role group of this version must have, with the value to fill in, as an
     array of (layer, file, prop, value).  No value in force: ``LAYER_MISSING``."""
@@ -144,18 +116,6 @@ def fill_array(required: str = "required", version_rank: str = "version_rank") -
     return F.coalesce(F.transform(wanted, fill).cast(PROPERTY_STRUCT), none)
 
 
-def implied_by_trigger(catalog: Catalog) -> DataFrame:
-    """One row per (prop, role) that implies something: the implied properties."""
-    entry = property_struct(
-        F.lit(LAYER_IMPLIED), F.col("file"), F.col("implied"), F.col("value")
-    )
-    return (
-        catalog.implications()
-        .groupBy("prop", "role")
-        .agg(F.collect_list(entry).alias("implied_props"))
-    )
-
-
 def expand_implied(
     props: DataFrame, catalog: Catalog, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -170,7 +130,7 @@ def expand_implied(
         F.col("value").isNotNull(), F.col("implied_props").cast(PROPERTY_STRUCT)
     )
     rows = F.concat(F.array(own).cast(PROPERTY_STRUCT), F.coalesce(implied, none))
-    return props.join(catalog.side(implied_by_trigger(catalog)), ["prop", "role"], "left").select(
+    return props.join(catalog.side(catalog.implied_by_trigger()), ["prop", "role"], "left").select(
         *KEY, *keep, F.inline(rows)
     )
 

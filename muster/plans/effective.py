@@ -23,7 +23,6 @@ from muster.operators.validation import (
     expand_implied,
     fill_array,
     match_catalog,
-    required_by_role,
     status,
 )
 from muster.schema import KEY
@@ -50,8 +49,8 @@ def effective_config(
     Each role-group row then yields its derived properties and, below them, the
     values to fill in if nothing else sets them; each row also yields, below that,
     what it implies.  One aggregation over (K, file, prop) keeps the highest layer.
-    Filling in and implying thus need no anti-join of their own, and the only large
-    shuffles are the one on the cluster and the one of that aggregation.
+    Filling in and implying thus need no anti-join of their own, and nothing is
+    shuffled after rows multiply.
     """
     groups = role_groups.drop("replicas").withColumn(
         "override", F.lit(None).cast("struct<layer:int,file:string,prop:string,value:string>")
@@ -61,8 +60,15 @@ def effective_config(
         property_struct(*[F.col(c) for c in ("layer", "file", "prop", "value")]).alias("override"),
     )
     items = groups.unionByName(spread, allowMissingColumns=True)
-    joined = items.join(_versioned(clusters), "cluster_id").join(
-        catalog.side(required_by_role(catalog)), "role", "left"
+    # The join is on the cluster, and its partitioning would do for all that follows.
+    # But then a cluster with a third of all role groups would stay in one task.  A
+    # shuffle on K, while rows are few and narrow, spreads it over its role groups, and
+    # lets the adaptive skew split take the join apart.  The aggregation over
+    # (K, file, prop) needs no other.
+    joined = (
+        items.join(_versioned(clusters), "cluster_id")
+        .repartition(*KEY)
+        .join(catalog.side(catalog.required_by_role()), "role", "left")
     )
     own = F.concat(derived_array(rules), fill_array())
     rows = F.when(F.col("override").isNull(), own).otherwise(
@@ -100,7 +106,7 @@ def effective_config_of_specs(specs: DataFrame, catalog: Catalog) -> DataFrame:
         F.concat(derived_array(rules), fill_array(), override_array()),
         lambda p: p["value"].isNotNull() | (p["layer"] < 0),
     )
-    long = groups.join(catalog.side(required_by_role(catalog)), "role", "left").select(
+    long = groups.join(catalog.side(catalog.required_by_role()), "role", "left").select(
         *KEY, "version_rank", F.inline(rows)
     )
     return _resolve(long, catalog)
