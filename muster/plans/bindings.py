@@ -170,7 +170,8 @@ class Fleet:
         return (
             self.spark.readStream.schema(schema)
             .option("maxFilesPerTrigger", files_per_batch)
-            .parquet(f"{self.folder}/events.parquet")
+            .option("pathGlobFilter", "events.parquet")
+            .parquet(self.folder)
         )
 
     def labels(self) -> DataFrame:
