@@ -96,23 +96,25 @@ def property_struct(layer: Column, file: Column, prop: Column, value: Column) ->
     )
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def derived_array(rules: Sequence[Rule] = RULES) -> Column:
     """All properties the rules set for one row, as an array of
     (layer, file, prop, value); one CASE per role keeps foreign rules from running."""
 
-    def structs(role: str) -> Column:
-        return F.array(
-            *[
-                property_struct(F.lit(r.layer), F.lit(r.file), F.lit(r.prop), F.expr(r.value))
-                for r in rules
-                if r.role in (None, role)
-            ]
-        ).cast(PROPERTY_STRUCT)
-
-    per_role = F.when(F.col("role") == ROLES[0], structs(ROLES[0]))
-    for role in ROLES[1:]:
-        per_role = per_role.when(F.col("role") == role, structs(role))
-    return F.filter(per_role, lambda p: p["value"].isNotNull())
+    def structs(role: str) -> str:
+        entries = [
+            f"named_struct('layer', {r.layer}, 'file', {_literal(r.file)}, "
+            f"'prop', {_literal(r.prop)}, 'value', CAST({r.value} AS STRING))"
+            for r in rules
+            if r.role in (None, role)
+        ]
+        return f"WHEN {_literal(role)} THEN CAST(array({', '.join(entries)}) AS {PROPERTY_STRUCT})"
+
+    per_role = " ".join(structs(role) for role in ROLES)
+    return F.expr(f"filter(CASE role {per_role} END, p -> p.value IS NOT NULL)")
 
 
 def derive_properties(df: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -36,10 +36,8 @@ def match_catalog(props: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def _is_built_in() -> Column:
-    hit = F.lit(False)
-    for prop, file in BUILT_IN_PROPERTIES:
-        hit = hit | ((F.col("prop") == prop) & (F.col("file") == file))
-    return hit
+    pairs = ", ".join(f"('{prop}', '{file}')" for prop, file in BUILT_IN_PROPERTIES)
+    return F.expr(f"(prop, file) IN ({pairs})")
 
 
 def status(catalog: Catalog) -> Column:

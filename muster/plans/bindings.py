@@ -12,114 +12,104 @@ from pyspark.sql import functions as F
 from muster.catalog import local_table
 
 
+# Of a line item: the role and the name of its role group.
+_ROLE = (
+    "CASE l_returnflag WHEN 'A' THEN 'master' WHEN 'N' THEN 'slave' ELSE 'history-server' END"
+    " AS role"
+)
+_GROUP = "concat('g', CAST(l_linenumber AS STRING)) AS role_group"
+
+
 class Fleet:
     """The tables below one folder of Parquet files, read lazily."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def clusters(self) -> DataFrame:
-        orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-        customers = self.table("customer").select("c_custkey", "c_mktsegment")
-        order, cust = F.col("o_orderkey"), F.col("o_custkey")
-        return orders.join(customers, cust == F.col("c_custkey")).select(
-            order.alias("cluster_id"),
-            F.concat(F.lit("c-"), order.cast("string")).alias("cluster"),
-            F.lower("c_mktsegment").alias("namespace"),
-            F.when(order % 6 == 0, "3.0.1-rel0")
-            .when(order % 6 == 1, "3.1.1-rel0")
-            .when(order % 6 == 2, "1.4.1-rel0")
-            .when(order % 6 == 3, "0.9.0")
-            .when(order % 6 == 4, "3.1.1")
-            .alias("version"),
-            F.when(F.col("o_orderstatus") == "F", True)
-            .when(F.col("o_orderstatus") == "O", False)
-            .alias("stopped"),
-            F.when(cust % 4 == 1, F.lit("secret"))
-            .when(cust % 4 == 2, F.lit("shrt"))
-            .when(cust % 4 == 3, F.concat(F.lit("Secret_"), cust.cast("string")))
-            .alias("secret"),
-            F.when(cust % 3 != 0, cust % 20).alias("max_port_retries"),
+        joined = self.table("orders").join(
+            self.table("customer"), F.col("o_custkey") == F.col("c_custkey")
+        )
+        return joined.selectExpr(
+            "o_orderkey AS cluster_id",
+            "concat('c-', CAST(o_orderkey AS STRING)) AS cluster",
+            "lower(c_mktsegment) AS namespace",
+            """CASE o_orderkey % 6 WHEN 0 THEN '3.0.1-rel0' WHEN 1 THEN '3.1.1-rel0'
+                 WHEN 2 THEN '1.4.1-rel0' WHEN 3 THEN '0.9.0' WHEN 4 THEN '3.1.1' END
+               AS version""",
+            "CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS stopped",
+            """CASE o_custkey % 4 WHEN 1 THEN 'secret' WHEN 2 THEN 'shrt'
+                 WHEN 3 THEN concat('Secret_', CAST(o_custkey AS STRING)) END AS secret""",
+            "CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 20 END AS max_port_retries",
         )
 
     def _line_items(self, *columns: str) -> DataFrame:
         """Line items with the role-group key, named before any grouping so that
         what is grouped by it stays partitioned by it."""
-        flag = F.col("l_returnflag")
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("cluster_id"),
-            F.when(flag == "A", "master")
-            .when(flag == "N", "slave")
-            .otherwise("history-server")
-            .alias("role"),
-            F.concat(F.lit("g"), F.col("l_linenumber").cast("string")).alias("role_group"),
-            *columns,
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS cluster_id", _ROLE, _GROUP, *columns
         )
 
     def role_groups(self) -> DataFrame:
-        quantity = F.sum("l_quantity").cast("bigint")
-        supplier = F.min("l_suppkey")
-        grouped = (
+        return (
             self._line_items("l_quantity", "l_suppkey")
             .groupBy("cluster_id", "role", "role_group")
-            .agg(quantity.alias("q"), supplier.alias("s"))
-        )
-        q, s, role = F.col("q"), F.col("s"), F.col("role")
-        unit = F.when(s % 4 == 0, "g").when(s % 4 == 1, "m").when(s % 4 == 2, "G").otherwise(" kb")
-        return grouped.select(
-            "cluster_id",
-            "role",
-            "role_group",
-            F.when(q % 11 != 0, (q % 5).cast("int")).alias("replicas"),
-            F.when((role == "slave") & (s % 3 != 0), s % 16 + 1).alias("cores"),
-            F.when(role == "slave", F.concat(q.cast("string"), unit)).alias("memory"),
-            F.when(
-                (role == "history-server") & (s % 2 == 0),
-                F.concat(F.lit("/data/history"), F.when(s % 3 == 0, "/").otherwise("/a")),
-            ).alias("store_path"),
+            .agg(F.expr("CAST(sum(l_quantity) AS BIGINT) AS q"), F.expr("min(l_suppkey) AS s"))
+            .selectExpr(
+                "cluster_id",
+                "role",
+                "role_group",
+                "CASE WHEN q % 11 <> 0 THEN CAST(q % 5 AS INT) END AS replicas",
+                "CASE WHEN role = 'slave' AND s % 3 <> 0 THEN s % 16 + 1 END AS cores",
+                """CASE WHEN role = 'slave' THEN concat(CAST(q AS STRING),
+                     CASE s % 4 WHEN 0 THEN 'g' WHEN 1 THEN 'm' WHEN 2 THEN 'G' ELSE ' kb' END)
+                   END AS memory""",
+                """CASE WHEN role = 'history-server' AND s % 2 = 0 THEN
+                     concat('/data/history', CASE s % 3 WHEN 0 THEN '/' ELSE '/a' END)
+                   END AS store_path""",
+            )
         )
 
     def overrides(self) -> DataFrame:
-        number = F.col("l_linenumber")
         of_role = (
             self._line_items("l_linenumber")
-            .filter(number == 1)
+            .filter("l_linenumber = 1")
             .select("cluster_id", "role")
             .distinct()
-            .select(
+            .selectExpr(
                 "cluster_id",
                 "role",
-                F.lit(None).cast("string").alias("role_group"),
-                F.lit(2).alias("layer"),
-                F.lit("spark-defaults.conf").alias("file"),
-                F.lit("spark.port.maxRetries").alias("prop"),
-                F.lit("r1").alias("value"),
+                "CAST(NULL AS STRING) AS role_group",
+                "2 AS layer",
+                "'spark-defaults.conf' AS file",
+                "'spark.port.maxRetries' AS prop",
+                "'r1' AS value",
             )
         )
-        grouped = (
+        of_group = (
             self._line_items("l_suppkey")
             .groupBy("cluster_id", "role", "role_group")
             .agg(F.max("l_suppkey").alias("s"))
-        )
-        slot, s = F.substring("role_group", 2, 9).cast("int") % 3, F.col("s")
-        of_group = grouped.select(
-            "cluster_id",
-            "role",
-            "role_group",
-            F.lit(4).alias("layer"),
-            F.lit("spark-defaults.conf").alias("file"),
-            F.when(slot == 0, "spark.port.maxRetries")
-            .when(slot == 1, "spark.eventLog.dir")
-            .otherwise("spark.driver.cores")
-            .alias("prop"),
-            F.when(slot == 0, (s % 32).cast("string"))
-            .when(slot == 1, F.concat(F.lit("/logs/"), s.cast("string")))
-            .otherwise((s % 8).cast("string"))
-            .alias("value"),
+            .withColumn("slot", F.expr("CAST(substring(role_group, 2) AS INT) % 3"))
+            .selectExpr(
+                "cluster_id",
+                "role",
+                "role_group",
+                "4 AS layer",
+                "'spark-defaults.conf' AS file",
+                """CASE slot WHEN 0 THEN 'spark.port.maxRetries' WHEN 1 THEN 'spark.eventLog.dir'
+                     ELSE 'spark.driver.cores' END AS prop""",
+                """CASE slot WHEN 0 THEN CAST(s % 32 AS STRING)
+                     WHEN 1 THEN concat('/logs/', CAST(s AS STRING))
+                     ELSE CAST(s % 8 AS STRING) END AS value""",
+            )
         )
         return of_role.unionByName(of_group)
 
