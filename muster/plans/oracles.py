@@ -588,6 +588,29 @@ SELECT resource_version, owner, kind, change FROM v_watch""",
         "stop_stream": """
 SELECT kind, count(*) AS n FROM v_watch GROUP BY kind""",
     }
+    # A stream emits what the watermark has closed: windows of twice the interval that
+    # end an hour, the lateness, or more before the newest event.
+    def closed(seconds: int) -> str:
+        span = seconds * 1000000
+        return (
+            f"(us // {span} + 2) * {span} <= "
+            "(SELECT max(epoch_ms(ts)) * 1000 - 3600000000 FROM v_watch)"
+        )
+
+    out["retry_due_stream"] = f"""
+WITH f AS ({failures}), s AS (SELECT * FROM v_watch WHERE change <> 'ERROR')
+SELECT resource_version, owner, us AS failed_us, us + {p.retry_delay * 1000000} AS due_us
+FROM (SELECT *, epoch_us(ts) AS us FROM
+  ({_FOLLOWING.format(left="f", right="s", strict=">", seconds=p.retry_delay)}))
+WHERE next_ts IS NULL AND {closed(p.retry_delay)}"""
+    out["eventually_stream"] = f"""
+WITH a AS (SELECT * FROM v_watch WHERE change = 'ADDED'),
+s AS (SELECT * FROM v_watch WHERE kind = 'StatefulSet')
+SELECT resource_version, owner, CASE WHEN next_ts IS NULL THEN 'timeout' ELSE 'pass' END AS result,
+  epoch_us(next_ts) - us AS waited_us
+FROM (SELECT *, epoch_us(ts) AS us FROM
+  ({_FOLLOWING.format(left="a", right="s", strict=">=", seconds=p.timeout)}))
+WHERE {closed(p.timeout)}"""
     out["liveness_stream"] = out["liveness"]
     out["error_rate_batch"] = out["error_rate"]
     return {name: with_views(sql) for name, sql in out.items()}

@@ -704,9 +704,9 @@ def retry_due_stream(fleet: Fleet) -> DataFrame:
 
 @query
 def eventually_stream(fleet: Fleet) -> DataFrame:
-    watch = _watch_stream(fleet)
-    steps, met = watch.filter("change = 'ADDED'"), watch.filter("kind = 'StatefulSet'")
-    return _append(fleet, timing.eventually_stream(steps, met, P.timeout), "eventually")
+    step, met = F.col("change") == "ADDED", F.col("kind") == "StatefulSet"
+    stream = timing.eventually_stream(_watch_stream(fleet), step, met, P.timeout)
+    return _append(fleet, stream, "eventually")
 
 
 @query

@@ -7,6 +7,8 @@ so within time buckets, what counts ticks counts them before it compares.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,56 +149,85 @@ def liveness(
     )
 
 
-def followed_stream(
-    left: DataFrame, right: DataFrame, within_seconds: int, strictly: bool, lateness: str
+def _search(strictly: bool):
+    """Per row: for each time of an array the first of a second array that follows."""
+    side = "right" if strictly else "left"
+
+    @F.pandas_udf("array<bigint>")
+    def first_after(times: pd.Series, candidates: pd.Series) -> pd.Series:
+        found = []
+        for left, right in zip(times, candidates):
+            ordered = np.sort(np.asarray(right, dtype="int64"))
+            at = np.searchsorted(ordered, np.asarray(left, dtype="int64"), side=side)
+            found.append([int(ordered[i]) if i < len(ordered) else None for i in at])
+        return pd.Series(found, dtype="object")
+
+    return first_after
+
+
+def first_following_stream(
+    watch: DataFrame,
+    left: Column,
+    right: Column,
+    within_seconds: int,
+    strictly: bool,
+    lateness: str,
 ) -> DataFrame:
-    """Streaming pairs of a left row and each right row of the same owner that follows
-    within the interval; left rows without one come with NULLs once the watermark has
-    passed.  Left rows whose interval the watermark has not passed wait in state."""
-    a = left.withWatermark("ts", lateness).alias("a")
-    b = right.select(
-        F.col("owner").alias("b_owner"), F.col("ts").alias("b_ts")
-    ).withWatermark("b_ts", lateness)
-    interval = F.expr(f"INTERVAL {within_seconds} SECONDS")
-    after = F.col("b_ts") > F.col("ts") if strictly else F.col("b_ts") >= F.col("ts")
-    condition = (
-        (F.col("owner") == F.col("b_owner"))
-        & after
-        & (F.col("b_ts") <= F.col("ts") + interval)
+    """``first_following`` for a stream in which ``left`` and ``right`` mark the rows.
+
+    A sliding window of twice the interval, moved by the interval, sees every left row
+    of its first half together with all that can follow in time.  Its times are kept
+    until the watermark has passed it; then the window is answered by one search.  So
+    state holds times rather than pairs, one owner's times are spread over its windows,
+    and a left row is emitted once, with or without a follower.
+    """
+    width, slide = f"{2 * within_seconds} seconds", f"{within_seconds} seconds"
+    span = within_seconds * _MICROS
+    item = F.struct(micros(F.col("ts")).alias("us"), F.col("resource_version"))
+    windows = (
+        watch.withWatermark("ts", lateness)
+        .groupBy("owner", F.window("ts", width, slide))
+        .agg(
+            F.collect_list(F.when(left, item)).alias("lefts"),
+            F.collect_list(F.when(right, micros(F.col("ts")))).alias("rights"),
+        )
+        .withColumn("half", micros(F.col("window.start")) + span)
+        .withColumn("lefts", F.expr("filter(lefts, e -> e.us < half)"))
+        .filter(F.size("lefts") > 0)
     )
-    return a.join(b, condition, "leftOuter")
+    searched = windows.withColumn("found", _search(strictly)(F.col("lefts.us"), F.col("rights")))
+    rows = searched.select("owner", F.inline(F.arrays_zip("lefts", "found")))
+    next_us = F.when(F.col("found") - F.col("lefts.us") <= span, F.col("found"))
+    return rows.select("owner", "lefts.resource_version", "lefts.us", next_us.alias("next_us"))
 
 
 def retry_due_stream(
     watch: DataFrame, delay_seconds: int = RETRY_DELAY_SECONDS, lateness: str = "1 hour"
 ) -> DataFrame:
-    """``retry_due`` as a stream-stream join: a failure is emitted when the watermark
-    has passed its delay and no success came first."""
-    failed = watch.filter("change = 'ERROR'").select("resource_version", "owner", "ts")
-    succeeded = watch.filter("change <> 'ERROR'")
-    joined = followed_stream(failed, succeeded, delay_seconds, True, lateness)
-    return joined.filter("b_ts IS NULL").select(
+    """``retry_due`` for a stream: a failure is emitted once the watermark says that no
+    success can come first any more."""
+    failed, succeeded = F.col("change") == "ERROR", F.col("change") != "ERROR"
+    pending = first_following_stream(watch, failed, succeeded, delay_seconds, True, lateness)
+    return pending.filter("next_us IS NULL").select(
         "resource_version",
         "owner",
-        micros(F.col("ts")).alias("failed_us"),
-        (micros(F.col("ts")) + delay_seconds * _MICROS).alias("due_us"),
+        F.col("us").alias("failed_us"),
+        (F.col("us") + delay_seconds * _MICROS).alias("due_us"),
     )
 
 
 def eventually_stream(
-    steps: DataFrame,
-    met: DataFrame,
+    watch: DataFrame,
+    step: Column,
+    met: Column,
     timeout_seconds: int = EXPECTATION_TIMEOUT_SECONDS,
     lateness: str = "1 hour",
 ) -> DataFrame:
-    """``eventually`` as a stream-stream join: one row per observation that meets a
-    step in time, or a ``timeout`` row once the watermark has passed the timeout."""
-    joined = followed_stream(
-        steps.select("resource_version", "owner", "ts"), met, timeout_seconds, False, lateness
-    )
-    return joined.select(
+    """``eventually`` for a stream in which ``step`` and ``met`` mark the rows."""
+    waited = first_following_stream(watch, step, met, timeout_seconds, False, lateness)
+    return waited.select(
         "resource_version",
         "owner",
-        F.when(F.col("b_ts").isNull(), "timeout").otherwise("pass").alias("result"),
-        (micros(F.col("b_ts")) - micros(F.col("ts"))).alias("waited_us"),
+        F.when(F.col("next_us").isNull(), "timeout").otherwise("pass").alias("result"),
+        (F.col("next_us") - F.col("us")).alias("waited_us"),
     )
