@@ -6,11 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.functions.versions import version_rank
-from muster.schema import ENV, LAYER_IMPLIED
+from muster.operators.properties import PROPERTY_STRUCT, property_struct
+from muster.schema import ENV, LAYER_FILLED, LAYER_IMPLIED, LAYER_MISSING
 from muster.session import broadcast_if, small_enough
 
 # ---------------------------------------------------------------- fixed values
@@ -110,6 +111,30 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return spark.createDataFrame(pa.table(arrays, names=[n for n, _ in fields]))
 
 
+_RANGE_ARRAY = (
+    "array<struct<preference:int,from_rank:bigint,to_rank:bigint,"
+    "open_ended:boolean,range_value:string>>"
+)
+
+
+def _fill_array() -> Column:
+    """Of ``required``, what a version of ``since_rank`` must have, with the value in
+    force: the first of the sorted ranges that contains it.  No value in force:
+    ``LAYER_MISSING``."""
+    rank = F.col("since_rank")
+
+    def in_force(r: Column) -> Column:
+        return (r["from_rank"] <= rank) & (r["open_ended"] | (rank <= r["to_rank"]))
+
+    def fill(p: Column) -> Column:
+        value = F.get(F.filter(p["ranges"], in_force), F.lit(0))["range_value"]
+        layer = F.when(value.isNull(), LAYER_MISSING).otherwise(LAYER_FILLED)
+        return property_struct(layer, p["file"], p["prop"], value)
+
+    wanted = F.filter("required", lambda p: p["as_of_rank"] <= rank)
+    return F.transform(wanted, fill).cast(PROPERTY_STRUCT)
+
+
 @dataclass(frozen=True)
 class Catalog:
     """Five relations, and what was checked about them.
@@ -186,9 +211,10 @@ class Catalog:
         """(role, prop, file, as_of_rank) of what each role must have."""
         return self._frozen("required", self._required)
 
-    def required_by_role(self) -> DataFrame:
-        """One row per role: everything it must have, with value ranges."""
-        return self._frozen("required_by_role", self._required_by_role)
+    def fills(self) -> DataFrame:
+        """(role, since_rank, until_rank, fills): what a role must have in versions from
+        ``since_rank`` to before ``until_rank``, with the values to fill in."""
+        return self._frozen("fills", self._fills)
 
     def implications(self) -> DataFrame:
         """Transitive closure of the expansions: (prop, role, file, implied, value)."""
@@ -226,13 +252,39 @@ class Catalog:
             "role", "prop", "file", "as_of_rank"
         )
 
+    def _fills(self) -> DataFrame:
+        """Cuts the versions wherever something begins or ends for a role.  Between two
+        cuts the values are the same, so the choice among ranges is made here, once,
+        and a query just looks up the stretch its version lies in."""
+        by_role = self._required_by_role()
+        within = F.flatten(
+            F.transform(
+                "required",
+                lambda p: F.flatten(
+                    F.transform(
+                        F.coalesce(p["ranges"], F.array().cast(_RANGE_ARRAY)),
+                        lambda r: F.array(r["from_rank"], r["to_rank"] + 1),
+                    )
+                ),
+            )
+        )
+        starts = F.transform("required", lambda p: p["as_of_rank"])
+        cuts = by_role.select(
+            "role", "required", F.explode(F.array_distinct(F.concat(starts, within))).alias("since_rank")
+        ).filter("since_rank IS NOT NULL")
+        following = F.lead("since_rank").over(Window.partitionBy("role").orderBy("since_rank"))
+        return cuts.withColumn("until_rank", following).select(
+            "role", "since_rank", "until_rank", _fill_array().alias("fills")
+        )
+
     def _required_by_role(self) -> DataFrame:
+        """One row per role: everything it must have, with value ranges."""
         value = F.struct("preference", "from_rank", "to_rank", "open_ended", "range_value")
         best_first = F.sort_array(F.collect_list(value), asc=False).alias("ranges")
-        values = self.ranges().groupBy("prop").agg(best_first)
+        values = self._ranges().groupBy("prop").agg(best_first)
         entry = F.struct("file", "prop", "as_of_rank", "ranges")
         return (
-            self.required()
+            self._required()
             .join(values, "prop", "left")
             .groupBy("role")
             .agg(F.collect_list(entry).alias("required"))
@@ -271,7 +323,7 @@ class Catalog:
             F.col("value").alias("value"),
         )
         return (
-            self.implications()
+            self._implications()
             .groupBy("prop", "role")
             .agg(F.collect_list(entry).alias("implied_props"))
         )

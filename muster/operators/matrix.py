@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.versions import bump
+from muster.session import small_enough
+
+_PARTS = 64
 
 
 def scenario_grid(dimensions: DataFrame, tests: DataFrame) -> DataFrame:
@@ -14,20 +17,30 @@ def scenario_grid(dimensions: DataFrame, tests: DataFrame) -> DataFrame:
     ``dimensions`` (dim, value) and ``tests`` (test, dims: array in naming order).
     One equi-join on the dimension's name per position, up to the longest list; a test
     that names an unknown dimension has no scenario.
+
+    Dimensions are few names, so a shuffle on the name alone would use few tasks: a
+    small table of values is broadcast, a large one is split by a hash of the value,
+    and each grid row visits every part.
     """
     depth = tests.agg(F.max(F.size("dims"))).first()[0] or 0
+    values = dimensions.select("dim", "value")
+    small = small_enough(values)
+    if not small:
+        values = values.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(_PARTS)).cast("int"))
     grid = tests.select("test", "dims", F.array().cast("array<string>").alias("parts"))
     for i in range(depth):
         here = F.get("dims", F.lit(i))
         ended = grid.filter(here.isNull())
-        more = (
-            grid.withColumn("dim", here)
-            .join(dimensions.select("dim", "value"), "dim")
-            .select(
-                "test",
-                "dims",
-                F.array_append("parts", F.concat("dim", F.lit("-"), "value")).alias("parts"),
-            )
+        named = grid.withColumn("dim", here)
+        if small:
+            met = named.join(F.broadcast(values), "dim")
+        else:
+            every = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))
+            met = named.withColumn("part", every).join(values, ["dim", "part"])
+        more = met.select(
+            "test",
+            "dims",
+            F.array_append("parts", F.concat("dim", F.lit("-"), "value")).alias("parts"),
         )
         grid = ended.unionByName(more)
     return grid.select("test", F.array_join("parts", "_").alias("scenario"))

@@ -102,7 +102,11 @@ def _literal(text: str) -> str:
 
 def derived_array(rules: Sequence[Rule] = RULES) -> Column:
     """All properties the rules set for one row, as an array of
-    (layer, file, prop, value); one CASE per role keeps foreign rules from running."""
+    (layer, file, prop, value); one CASE per role keeps foreign rules from running.
+
+    What a rule leaves unset has a NULL value and is for the caller to filter out after
+    it has exploded the array, where the filter is compiled with the rest.
+    """
 
     def structs(role: str) -> str:
         entries = [
@@ -114,12 +118,12 @@ def derived_array(rules: Sequence[Rule] = RULES) -> Column:
         return f"WHEN {_literal(role)} THEN CAST(array({', '.join(entries)}) AS {PROPERTY_STRUCT})"
 
     per_role = " ".join(structs(role) for role in ROLES)
-    return F.expr(f"filter(CASE role {per_role} END, p -> p.value IS NOT NULL)")
+    return F.expr(f"CASE role {per_role} END")
 
 
 def derive_properties(df: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per property that typed configuration sets: K, layer, file, prop, value."""
-    return df.select(*KEY, F.inline(derived_array(rules)))
+    return df.select(*KEY, F.inline(derived_array(rules))).filter("value IS NOT NULL")
 
 
 def override_array() -> Column:

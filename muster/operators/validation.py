@@ -13,15 +13,11 @@ from muster.operators.properties import PROPERTY_STRUCT, property_struct
 from muster.schema import (
     BUILT_IN_PROPERTIES,
     KEY,
-    LAYER_FILLED,
+    LAYER_MISSING,
     OVERRIDE_LAYERS,
     RESERVED_PORT_PROPERTIES,
 )
 
-# A required property for which no value is known: below every real layer.
-LAYER_MISSING = -2
-
-
 def match_catalog(props: DataFrame, catalog: Catalog) -> DataFrame:
     """Adds the definition of each row's (prop, file), and ``known`` / ``wrong_role``."""
     return (
@@ -82,36 +78,57 @@ def values_for_version(props: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def required_of(keys: DataFrame, catalog: Catalog) -> DataFrame:
-    """(K, file, prop) each role group must have in its version."""
+    """(K, file, prop) each role group must have in its version.
+
+    Keys are put into the partition of their K before they multiply, so that what is
+    grouped by K and more afterwards is where it belongs.
+    """
     return (
-        keys.join(catalog.side(catalog.required()), "role")
+        keys.select(*KEY, "version_rank").repartition(*KEY).join(catalog.side(catalog.required()), "role")
         .filter(F.col("as_of_rank") <= F.col("version_rank"))
         .select(*KEY, "version_rank", "file", "prop")
     )
 
 
-def missing_required(keys: DataFrame, props: DataFrame, catalog: Catalog) -> DataFrame:
-    """Required (K, file, prop) that no row of ``props`` sets."""
-    present = props.filter("value IS NOT NULL").select(*KEY, "file", "prop")
-    return required_of(keys, catalog).join(present, [*KEY, "file", "prop"], "left_anti")
-
-
-def fill_array(required: str = "required", version_rank: str = "version_rank") -> Column:
-    """What a role group of this version must have, with the value to fill in, as an
-    array of (layer, file, prop, value).  No value in force: ``LAYER_MISSING``."""
-    rank = F.col(version_rank)
+def with_fills(df: DataFrame, catalog: Catalog) -> DataFrame:
+    """Adds ``fills``: what the row's role must have in its version, with values, as an
+    array of (layer, file, prop, value)."""
+    ranges = catalog.side(catalog.fills().withColumnRenamed("role", "fill_role"))
+    rank = F.col("version_rank")
+    here = (
+        (F.col("role") == F.col("fill_role"))
+        & (F.col("since_rank") <= rank)
+        & (F.col("until_rank").isNull() | (rank < F.col("until_rank")))
+    )
+    none = F.array().cast(PROPERTY_STRUCT)
+    return (
+        df.join(ranges, here, "left")
+        .withColumn("fills", F.coalesce("fills", none))
+        .drop("fill_role", "since_rank", "until_rank")
+    )
 
-    def in_force(r: Column) -> Column:
-        return (r["from_rank"] <= rank) & (r["open_ended"] | (rank <= r["to_rank"]))
 
-    def fill(p: Column) -> Column:
-        value = F.get(F.filter(p["ranges"], in_force), F.lit(0))["range_value"]
-        layer = F.when(value.isNull(), LAYER_MISSING).otherwise(LAYER_FILLED)
-        return property_struct(layer, p["file"], p["prop"], value)
+def missing_required(keys: DataFrame, props: DataFrame, catalog: Catalog) -> DataFrame:
+    """Required (K, file, prop) that no row of ``props`` sets.
 
-    wanted = F.filter(F.col(required), lambda p: p["as_of_rank"] <= rank)
-    none = F.array().cast(PROPERTY_STRUCT)
-    return F.coalesce(F.transform(wanted, fill).cast(PROPERTY_STRUCT), none)
+    An anti-join as one aggregation of flags: it combines before the shuffle and sorts
+    nothing.  Of ``props``, only what some role requires takes part.
+    """
+    some_role = catalog.side(catalog.required().select("role", "file", "prop"))
+    present = (
+        props.filter("value IS NOT NULL")
+        .select(*KEY, "file", "prop", F.lit(None).cast("bigint").alias("version_rank"))
+        .join(some_role, ["role", "file", "prop"], "left_semi")
+    )
+    both = required_of(keys, catalog).withColumn("present", F.lit(0)).unionByName(
+        present.withColumn("present", F.lit(1))
+    )
+    return (
+        both.groupBy(*KEY, "file", "prop")
+        .agg(F.max("version_rank").alias("version_rank"), F.max("present").alias("present"))
+        .filter("version_rank IS NOT NULL AND present = 0")
+        .drop("present")
+    )
 
 
 def expand_implied(
@@ -133,15 +150,36 @@ def expand_implied(
     )
 
 
-def validate(props: DataFrame, keys: DataFrame, catalog: Catalog) -> DataFrame:
-    """``props`` (K, file, prop, value, layer) with ``status``, and one row for each
-    required property that is absent.  Nothing is dropped."""
-    ranked = props.join(keys.select(*KEY, "version_rank"), KEY)
-    absent = missing_required(keys, props, catalog).withColumns(
-        {"value": F.lit(None).cast("string"), "layer": F.lit(None).cast("int")}
+def merge_and_check(long: DataFrame, catalog: Catalog) -> DataFrame:
+    """The highest layer of each (K, file, prop) of ``long``, with its ``status``.
+
+    Like ``merge_layers``, but a row of ``LAYER_MISSING`` survives where nothing else
+    sets its property.
+    """
+    merged = (
+        long.groupBy(*KEY, "file", "prop")
+        .agg(
+            F.max(F.struct("layer", "value")).alias("top"),
+            F.max("version_rank").alias("version_rank"),
+        )
+        .select(*KEY, "file", "prop", "version_rank", "top.layer", "top.value")
     )
+    layer = F.when(F.col("layer") != LAYER_MISSING, F.col("layer"))
     return (
-        match_catalog(ranked.unionByName(absent), catalog)
+        match_catalog(merged, catalog)
         .withColumn("status", status(catalog))
-        .select(*KEY, "file", "prop", "value", "layer", "status")
+        .select(*KEY, "file", "prop", "value", layer.alias("layer"), "status")
+    )
+
+
+def validate(props: DataFrame, keys: DataFrame, catalog: Catalog) -> DataFrame:
+    """Each property of ``props`` (K, version_rank, layer, file, prop, value) with its
+    ``status``, and one row for each required property that is absent.
+
+    ``props`` may still have several layers.  Required properties join them as a layer
+    below all others, so one aggregation merges, finds what is absent and is checked.
+    """
+    wanted = required_of(keys, catalog).withColumns(
+        {"value": F.lit(None).cast("string"), "layer": F.lit(LAYER_MISSING)}
     )
+    return merge_and_check(props.filter("value IS NOT NULL").unionByName(wanted), catalog)

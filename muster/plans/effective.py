@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.catalog import Catalog
@@ -21,11 +21,10 @@ from muster.operators.properties import (
 )
 from muster.operators.validation import (
     expand_implied,
-    fill_array,
-    match_catalog,
-    status,
+    merge_and_check,
+    with_fills,
 )
-from muster.schema import KEY
+from muster.schema import KEY, LAYER_MISSING
 
 
 def _versioned(clusters: DataFrame) -> DataFrame:
@@ -36,6 +35,46 @@ def _versioned(clusters: DataFrame) -> DataFrame:
     )
 
 
+def items_of(clusters: DataFrame, role_groups: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Role groups, and overrides spread to their role groups (``override`` set), all
+    with the columns of their cluster and in the partition of their K.
+
+    The join is on the cluster, and its partitioning would do for all that follows.
+    But then a cluster with a third of all role groups would stay in one task.  A
+    shuffle on K, while rows are few and narrow, spreads it over its role groups, and
+    lets the adaptive skew split take the join apart.  Aggregations over
+    (K, file, prop) need no other.
+    """
+    groups = role_groups.withColumn(
+        "override", F.lit(None).cast("struct<layer:int,file:string,prop:string,value:string>")
+    )
+    spread = spread_role_overrides(overrides, role_groups).select(
+        *KEY,
+        property_struct(*[F.col(c) for c in ("layer", "file", "prop", "value")]).alias("override"),
+    )
+    items = groups.unionByName(spread, allowMissingColumns=True)
+    return items.join(_versioned(clusters), "cluster_id").repartition(*KEY)
+
+
+def _rows(items: DataFrame, own: Column) -> DataFrame:
+    """One row per property of ``items``: its override, or those of ``own``."""
+    rows = F.when(F.col("override").isNull(), own).otherwise(
+        F.array("override").cast(PROPERTY_STRUCT)
+    )
+    return items.select(*KEY, "version_rank", F.inline(rows))
+
+
+def property_layers(
+    clusters: DataFrame,
+    role_groups: DataFrame,
+    overrides: DataFrame,
+    rules: Sequence[Rule] = RULES,
+) -> DataFrame:
+    """(K, version_rank, layer, file, prop, value): derived properties and overrides."""
+    items = items_of(clusters, role_groups, overrides)
+    return _rows(items, derived_array(rules)).filter("value IS NOT NULL")
+
+
 def effective_config(
     clusters: DataFrame,
     role_groups: DataFrame,
@@ -52,46 +91,17 @@ def effective_config(
     Filling in and implying thus need no anti-join of their own, and nothing is
     shuffled after rows multiply.
     """
-    groups = role_groups.drop("replicas").withColumn(
-        "override", F.lit(None).cast("struct<layer:int,file:string,prop:string,value:string>")
-    )
-    spread = spread_role_overrides(overrides, role_groups).select(
-        *KEY,
-        property_struct(*[F.col(c) for c in ("layer", "file", "prop", "value")]).alias("override"),
-    )
-    items = groups.unionByName(spread, allowMissingColumns=True)
-    # The join is on the cluster, and its partitioning would do for all that follows.
-    # But then a cluster with a third of all role groups would stay in one task.  A
-    # shuffle on K, while rows are few and narrow, spreads it over its role groups, and
-    # lets the adaptive skew split take the join apart.  The aggregation over
-    # (K, file, prop) needs no other.
-    joined = (
-        items.join(_versioned(clusters), "cluster_id")
-        .repartition(*KEY)
-        .join(catalog.side(catalog.required_by_role()), "role", "left")
-    )
-    own = F.concat(derived_array(rules), fill_array())
-    rows = F.when(F.col("override").isNull(), own).otherwise(
-        F.array("override").cast(PROPERTY_STRUCT)
-    )
-    return _resolve(joined.select(*KEY, "version_rank", F.inline(rows)), catalog)
+    items = with_fills(items_of(clusters, role_groups, overrides), catalog)
+    own = F.concat(derived_array(rules), F.col("fills"))
+    return _resolve(_rows(items, own), catalog)
 
 
 def _resolve(long: DataFrame, catalog: Catalog) -> DataFrame:
-    expanded = expand_implied(long, catalog, keep=["version_rank"])
-    merged = (
-        expanded.groupBy(*KEY, "file", "prop")
-        .agg(
-            F.max(F.struct("layer", "value")).alias("top"),
-            F.max("version_rank").alias("version_rank"),
-        )
-        .select(*KEY, "file", "prop", "version_rank", "top.layer", "top.value")
-    )
-    return (
-        match_catalog(merged, catalog)
-        .withColumn("status", status(catalog))
-        .select(*KEY, "file", "prop", "value", "layer", "status")
-    )
+    # What a rule or an override leaves unset is no property; only a required one
+    # without a value stays, to be reported.
+    set_or_missing = long.filter(F.col("value").isNotNull() | (F.col("layer") == LAYER_MISSING))
+    expanded = expand_implied(set_or_missing, catalog, keep=["version_rank"])
+    return merge_and_check(expanded, catalog)
 
 
 def effective_config_of_specs(specs: DataFrame, catalog: Catalog) -> DataFrame:
@@ -102,11 +112,6 @@ def effective_config_of_specs(specs: DataFrame, catalog: Catalog) -> DataFrame:
     """
     groups = with_product_version(flatten_role_groups(specs).filter("version IS NOT NULL"))
     rules = (*RULES, *ROLE_LEVEL_RULES)
-    rows = F.filter(
-        F.concat(derived_array(rules), fill_array(), override_array()),
-        lambda p: p["value"].isNotNull() | (p["layer"] < 0),
-    )
-    long = groups.join(catalog.side(catalog.required_by_role()), "role", "left").select(
-        *KEY, "version_rank", F.inline(rows)
-    )
+    rows = F.concat(derived_array(rules), F.col("fills"), override_array())
+    long = with_fills(groups, catalog).select(*KEY, "version_rank", F.inline(rows))
     return _resolve(long, catalog)

@@ -15,7 +15,7 @@ from muster.functions.versions import bump, product_version, version_key
 from muster.operators import matrix, project, properties, render, selectors, state, validation
 from muster.plans import effective
 from muster.plans.bindings import Fleet
-from muster.schema import KEY, OWNED_KINDS, SCRAPE_LABEL, SPEC
+from muster.schema import KEY, OVERRIDE_LAYERS, OWNED_KINDS, SCRAPE_LABEL
 from muster.session import work_dir
 from muster.sources import catalogs, sinks, specs
 from muster.streaming import latest, reconcile, timing
@@ -73,16 +73,14 @@ def _versioned_groups(fleet: Fleet) -> DataFrame:
 
 def _layers(fleet: Fleet) -> DataFrame:
     """Derived properties and overrides, layer by layer."""
-    groups = _versioned_groups(fleet)
-    derived = properties.derive_properties(groups)
-    return derived.unionByName(_overrides(fleet, groups))
+    return effective.property_layers(fleet.clusters(), fleet.role_groups(), fleet.overrides())
 
 
-def _overrides(fleet: Fleet, groups: DataFrame) -> DataFrame:
-    """Overrides per role group, of clusters that have a version."""
-    versioned = fleet.clusters().filter("version IS NOT NULL").select("cluster_id")
-    kept = fleet.overrides().join(versioned, "cluster_id", "left_semi")
-    return properties.spread_role_overrides(kept, groups)
+def _merged(fleet: Fleet) -> DataFrame:
+    """The winning layer of each property; a role group has one version, so grouping by
+    its rank as well just carries it along."""
+    keys = [*KEY, "version_rank", "file", "prop"]
+    return properties.merge_layers(_layers(fleet), keys)
 
 
 def _effective(fleet: Fleet) -> DataFrame:
@@ -106,13 +104,12 @@ def effective_status(fleet: Fleet) -> DataFrame:
 
 @query
 def merge_layers(fleet: Fleet) -> DataFrame:
-    return properties.merge_layers(_layers(fleet))
+    return _merged(fleet).drop("version_rank")
 
 
 @query
 def validate(fleet: Fleet) -> DataFrame:
-    props = properties.merge_layers(_layers(fleet))
-    return validation.validate(props, _versioned_groups(fleet), _catalog(fleet))
+    return validation.validate(_layers(fleet), _versioned_groups(fleet), _catalog(fleet))
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -315,17 +312,7 @@ def register_rule(fleet: Fleet) -> DataFrame:
 @query
 def desired_objects(fleet: Fleet) -> DataFrame:
     clusters, groups = fleet.clusters(), _versioned_groups(fleet)
-    config = _effective(fleet)
-    files = render.config_maps(groups, config)
-    entry = F.struct(F.col("prop").alias("name"), "value")
-    env = (
-        config.filter("file = 'env'")
-        .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(entry)).alias("env"))
-    )
-    complete = groups.join(files, KEY).join(env, KEY, "left").withColumn(
-        "env", F.coalesce("env", F.array().cast("array<struct<name:string,value:string>>"))
-    )
+    complete = groups.join(render.config_maps(groups, _effective(fleet)), KEY)
     return state.union_kinds(
         state.global_services(clusters), state.role_group_objects(complete, P.registry)
     )
@@ -358,8 +345,8 @@ def match_catalog(fleet: Fleet) -> DataFrame:
 
 @query
 def values_for_version(fleet: Fleet) -> DataFrame:
-    groups = _versioned_groups(fleet)
-    props = _overrides(fleet, groups).join(groups.select(*KEY, "version_rank"), KEY)
+    overrides = F.col("layer").isin(OVERRIDE_LAYERS)
+    props = _layers(fleet).filter(overrides)
     return validation.values_for_version(props, _catalog(fleet)).select(
         *KEY, "prop", "value_kind", "range_value", "available"
     )
@@ -493,7 +480,7 @@ def render_config(fleet: Fleet) -> DataFrame:
 
 @query
 def config_maps(fleet: Fleet) -> DataFrame:
-    return render.config_maps(_versioned_groups(fleet), _effective(fleet)).drop("error")
+    return render.config_maps(_versioned_groups(fleet), _effective(fleet)).drop("env", "error")
 
 
 @query
@@ -503,7 +490,7 @@ def fingerprint(fleet: Fleet) -> DataFrame:
 
 @query
 def stable_order(fleet: Fleet) -> DataFrame:
-    return render.stable_order(properties.merge_layers(_layers(fleet)))
+    return render.stable_order(_merged(fleet))
 
 
 @query

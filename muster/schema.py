@@ -49,6 +49,7 @@ EXPECTATION_TIMEOUT_SECONDS = 300
 # ------------------------------------------------------------------------------
 
 # Layers, low to high; the highest layer that sets a property wins.
+LAYER_MISSING = -2  # a required property for which no value is known
 LAYER_IMPLIED = -1
 LAYER_FILLED = 0
 LAYER_ROLE_CONFIG = 1
