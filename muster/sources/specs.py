@@ -33,7 +33,7 @@ def yaml_to_json(spark: SparkSession, path: str) -> DataFrame:
 
     Files are parsed where they are read, one file at a time.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
