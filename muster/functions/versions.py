@@ -5,44 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMERIC = r"^[0-9]+([.][0-9]+)*$"
-_PART_LIMIT = 1 << 20
+_NUMERIC = r"^[0-9]{1,6}([.][0-9]{1,6})*\z"
+_BASE = 1 << 20  # more than six digits can say
 
 
 def product_version(version: Column) -> Column:
     """Text before the first ``-`` of an image version."""
-    return F.split(version, "-", 2)[0]
+    return F.substring_index(version, "-", 1)
 
 
 def version_key(product: Column) -> Column:
     """Array of the numeric parts, padded to three, so that 3.10 sorts after 3.9.
 
-    NULL for anything that is not dotted digits.
+    NULL for anything that is not dotted numbers of up to six digits.
     """
     parts = F.transform(F.split(product, r"\."), lambda p: p.try_cast("int"))
     padded = F.concat(
         parts, F.array_repeat(F.lit(0), F.greatest(F.lit(3) - F.size(parts), F.lit(0)))
     )
-    ok = product.rlike(_NUMERIC) & ~F.exists(parts, lambda p: p.isNull())
-    return F.when(ok, padded)
+    return F.when(product.rlike(_NUMERIC), padded)
 
 
 def version_rank(product: Column) -> Column:
     """The first three numeric parts in one BIGINT: what range conditions compare.
 
-    NULL for a version that is not numeric, or has a part of 2^20 or more.
+    NULL where ``version_key`` is.
     """
-    digits = [
-        F.coalesce(F.get(F.split(product, r"\."), F.lit(i)), F.lit("0")).try_cast("bigint")
-        for i in range(3)
-    ]
-    ok = product.rlike(_NUMERIC)
-    for d in digits:
-        ok = ok & (d < _PART_LIMIT)
-    packed = digits[0]
-    for d in digits[1:]:
-        packed = packed * _PART_LIMIT + d
-    return F.when(ok, packed)
+    padded = F.concat(product, F.lit(".0.0"))
+    major, minor, patch = (
+        F.split_part(padded, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3)
+    )
+    return F.when(product.rlike(_NUMERIC), (major * _BASE + minor) * _BASE + patch)
 
 
 def bump(version: Column, level: str, tag: str = "nightly") -> Column:
