@@ -4,9 +4,11 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from muster.plans.oracles import oracles
+from muster.plans.queries import QUERIES, P
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = oracles(P)
 
 
 @pytest.fixture(scope="module")
