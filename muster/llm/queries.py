@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import chat, licenses, mix, quality, shard
+from muster.llm import chat, licenses, mix, quality, shard, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op8_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op9_block_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.mix_taken(_table(spark, folder, "documents"))
+
+
+@_query
+def op4_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
