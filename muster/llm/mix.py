@@ -150,7 +150,9 @@ def mix_plan(
         )
     )
 
-    # One row per source, spread into chunks of slots before the slots themselves.
+    # One row per source, spread into chunks of slots before the slots themselves.  So few
+    # rows would be put into one partition, had it no number of its own.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     earlier = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
         counts.where("slots > 0")
@@ -160,7 +162,7 @@ def mix_plan(
             F.sum("slots").over(Window.partitionBy()).alias("all_slots"),
         )
         .withColumn("chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")))
-        .repartition("place", "chunk")
+        .repartition(partitions, "place", "chunk")
     )
     nth = F.explode(
         F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")
@@ -189,13 +191,14 @@ def mix_taken(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words the mix takes)."""
     documents, pieces, slots = mix_plan(docs, **options)
     documents = documents.select("row", "doc_id", "size", "source_size", "target", "place", "start")
-    uses = slots.groupBy("place", "block").agg(F.count("*").alias("uses"))
+    # Spark takes what a generator makes for small and would broadcast it: it grows with the mix.
+    uses = slots.groupBy("place", "block").agg(F.count("*").alias("uses")).hint("merge")
     taken = (
         pieces.join(uses, ["place", "block"])
         .groupBy("row")
         .agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     )
-    return documents.join(taken, "row", "left").select(
+    return documents.join(taken.hint("merge"), "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
 
@@ -213,7 +216,7 @@ def mix_documents(
     rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
     documents, pieces, slots = mix_plan(rows, text_col=text_col, row_col="_row", **options)
     runs = (
-        pieces.join(slots.select("place", "pass", "block"), ["place", "block"])
+        pieces.join(slots.select("place", "pass", "block").hint("merge"), ["place", "block"])
         .groupBy("row", "pass")
         .agg(
             F.sum("words").alias("taken"),
@@ -230,7 +233,7 @@ def mix_documents(
         " array_join(slice(_words, cast(r.from_word + 1 as int), cast(r.words as int)), '')),"
         "'upto', r.from_word + r.words), a -> a.text)"
     )
-    cut = rows.join(runs, "_row").withColumn("_words", tail)
+    cut = rows.join(runs.hint("merge"), "_row").withColumn("_words", tail)
     cut = cut.withColumn(
         text_col, F.when(F.size("_words") == F.col("taken"), text).otherwise(taken_text)
     )
