@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import chat, licenses, mix, packing, quality, shard, simhash
+from muster.llm import chat, classifier, licenses, mix, packing, quality, shard, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,10 @@ def op4_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
+
+
+@_query
+def op7_positive_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.classify(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    )
