@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import chat, classifier, licenses, mix, packing, quality, shard, simhash
+from muster.llm import (
+    chat,
+    classifier,
+    html,
+    licenses,
+    mix,
+    packing,
+    quality,
+    shard,
+    simhash,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +89,8 @@ def op7_positive_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.classify(
         _table(spark, folder, "documents"), _table(spark, folder, "labels")
     )
+
+
+@_query
+def op3_mincut_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_table(spark, folder, "pages"))
