@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import (
+    ann,
     chat,
     classifier,
     html,
@@ -94,3 +95,8 @@ def op7_positive_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op3_mincut_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(_table(spark, folder, "pages"))
+
+
+@_query
+def op1_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
