@@ -239,22 +239,27 @@ def components(edges: DataFrame) -> DataFrame | None:
     raise RuntimeError("components did not settle")
 
 
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root): every fingerprint of ``prints`` and one that stands for its component."""
+    nodes = settle(prints.select("fp").distinct(), "nodes")
+    roots = components(links(nodes, radius))
+    if roots is None:
+        return nodes.select("fp", F.col("fp").alias("root"))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
 ) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = settle(fingerprints(docs, id_col, text_col), "prints")
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius))
-    if roots is None:
-        owned = nodes.select("fp", F.col("least").alias("component_id"))
-    else:
-        rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-            "fp", "least", F.coalesce("root", "fp").alias("root")
-        )
-        owners = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        owned = rooted.join(owners, "root").select("fp", "component_id")
-    return prints.join(owned, "fp").select(
+    rooted = classes(prints, radius)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    owned = settle(rooted.join(least, "fp"), "classes")
+    owners = owned.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(owned.join(owners, "root").select("fp", "component_id"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -262,10 +267,17 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
 ) -> DataFrame:
-    """The document of the smallest id of each group, with all its columns.
+    """One document of each group, the one of the smallest id (NULL last), whole.
 
-    Of rows that repeat that id, every one stays if it is in the group.
+    Of rows that repeat that id one stays.  The documents are written once to the shared
+    folder, so that their rows can be told apart.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, named(id_col) == kept["doc_id"], "left_semi")
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    prints = settle(fingerprints(rows, "_row", text_col), "prints")
+    ids = rows.select(
+        "_row", named(id_col).isNull().alias("missing"), named(id_col).alias("id")
+    ).join(prints.withColumnRenamed("doc_id", "_row"), "_row")
+    first = F.min(F.struct("missing", "id", "_row"))
+    firsts = ids.groupBy("fp").agg(first.alias("first")).join(classes(prints, radius), "fp")
+    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*[named(c) for c in docs.columns])
