@@ -38,7 +38,7 @@ THRESHOLD = 0.3
 FOLDS = 5
 STEPS = 600
 RATE = 0.1
-RIDGE = 1e-4
+RIDGE = 5.0  # shared by the positives: the fewer there are, the plainer the model
 TAIL = 200
 SYMBOLS = "#*$%&|<>"
 DIGITS = "0123456789"
@@ -104,10 +104,12 @@ def _minimise(gradient, size: int) -> np.ndarray:
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among the unlabelled, from scaled features of both."""
 
+    ridge = RIDGE / len(positive)
+
     def gradient(w: np.ndarray) -> np.ndarray:
         up = -positive.T @ (1 - _sigmoid(positive @ w)) / len(positive)
         down = unlabelled.T @ _sigmoid(unlabelled @ w) / len(unlabelled)
-        return up + down + RIDGE * w
+        return up + down + ridge * w
 
     w = _minimise(gradient, positive.shape[1])
     p, u = np.sort(positive @ w), np.sort(unlabelled @ w)
@@ -128,14 +130,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     blank = Model(mean, scale, np.zeros(2 * len(mean) + 1), 1.0)
     p, u = blank.scaled(positive), blank.scaled(unlabelled)
     prior = estimate_prior(p, u) if prior is None else prior
+    ridge = RIDGE / len(p)
 
     def gradient(w: np.ndarray) -> np.ndarray:
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
         risk = -np.log1p(-su + 1e-12).mean() + prior * np.log1p(-sp + 1e-12).mean()
         negative = u.T @ su / len(u) - prior * p.T @ sp / len(p)
         if risk < 0:  # overfitted negatives: step back on them alone
-            return -negative + RIDGE * w
-        return -prior * p.T @ (1 - sp) / len(p) + negative + RIDGE * w
+            return -negative + ridge * w
+        return -prior * p.T @ (1 - sp) / len(p) + negative + ridge * w
 
     return Model(mean, scale, _minimise(gradient, p.shape[1]), prior)
 
@@ -234,14 +237,8 @@ def classify(
 
 
 def keep_quality(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = THRESHOLD,
-    **options,
+    docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The documents that score at least ``threshold``, with all their columns."""
-    model = train(docs, labels, id_col, text_col, **options)
     mark = "_quality_score"
     return score(docs, model, text_col, mark).where(F.col(mark) >= threshold).drop(mark)
