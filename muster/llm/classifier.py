@@ -84,7 +84,8 @@ class Model:
         return np.hstack([z, np.abs(z), np.ones((len(z), 1))])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scaled(x) @ self.weights, -30, 30)))
+        # Row by row, so that a text's score does not depend on its batch.
+        return _sigmoid((self.scaled(x) * self.weights).sum(axis=1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -192,7 +193,9 @@ def train(
 
     rows = found.mapInArrow(measure, "at long, p boolean, u boolean, x array<double>").toArrow()
     rows = rows.sort_by("at")
-    x = np.array(rows.column("x").to_pylist(), float).reshape(len(rows), -1)
+    if not len(rows):
+        return None
+    x = np.array(rows.column("x").to_pylist(), float)
     p, u = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in "pu")
     if not p.any() or not u.any():
         return None
@@ -203,18 +206,20 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_co
     """The documents with ``score_col`` (0 to 1) added, or put in its place."""
     if model is None:
         return docs.withColumn(score_col, F.lit(1.0))
-    rows = docs.drop(score_col)
+    rows = docs.select(*[named(c) for c in docs.columns if c != score_col])
     at = rows.columns.index(text_col)
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t) for t in b.column(at).to_pylist()], float)
             s = model.scores(x) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(s, pa.float64())], [*b.schema.names, score_col]
+                [*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"]
             )
 
-    return rows.mapInArrow(run, rows.withColumn(score_col, F.lit(1.0)).schema)
+    scored = plain.mapInArrow(run, plain.withColumn("score", F.lit(1.0)).schema)
+    return scored.toDF(*rows.columns, score_col)
 
 
 def classify(

@@ -20,6 +20,7 @@ fingerprint; empty tables give no rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,11 +147,24 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     celled = nodes.select("fp", _cell(F.col("fp")).alias("cell"))
     sizes = {r.cell: r["count"] for r in celled.groupBy("cell").count().collect()}
     tiles = {c: -(-n // tile) for c, n in sizes.items()}
-    per_cell = F.create_map(*[F.lit(x) for c, n in tiles.items() for x in (c, n)]) if tiles else None
-    if per_cell is None:
+    if not tiles:
         return nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    # Tables of the cells as constants of the plan, folded once.
+    per_cell = F.from_json(F.lit(json.dumps(tiles)), "map<string, int>")
+    near = F.from_json(
+        F.lit(
+            json.dumps(
+                {
+                    c: [{"cell": o, "tiles": n} for o, n in tiles.items() if _apart(c, o) <= radius]
+                    for c in tiles
+                }
+            )
+        ),
+        "map<string, array<struct<cell: int, tiles: int>>>",
+    )
+    cell = F.col("cell").cast("string")
     tiled = celled.withColumn(
-        "tile", F.pmod(F.xxhash64("fp"), per_cell[F.col("cell")]).cast("int")
+        "tile", F.pmod(F.xxhash64("fp"), per_cell[cell]).cast("int")
     )
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
@@ -163,24 +177,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"u": ends[:, 0].copy(), "v": ends[:, 1].copy()})
 
-    near = F.create_map(
-        *[
-            x
-            for c in tiles
-            for x in (
-                F.lit(c),
-                F.array(
-                    *[
-                        F.struct(F.lit(o).alias("cell"), F.lit(n).alias("tiles"))
-                        for o, n in tiles.items()
-                        if _apart(c, o) <= radius
-                    ]
-                ),
-            )
-        ]
-    )
     packed = tiled.groupBy("cell", "tile").applyInArrow(pack, "cell int, tile int, fps binary")
-    others = packed.withColumn("o", F.explode(near[F.col("cell")])).withColumn(
+    others = packed.withColumn("o", F.explode(near[cell])).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("o.tiles") - 1))
     )
     mine, its = F.struct("cell", "tile"), F.struct(F.col("o.cell"), F.col("other").alias("tile"))
