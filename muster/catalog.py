@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from muster.functions.versions import version_rank
+from muster.functions.checks import java_pattern_of
+from muster.functions.versions import after_rank, version_rank
 from muster.operators.properties import PROPERTY_STRUCT, property_struct
 from muster.schema import ENV, LAYER_FILLED, LAYER_IMPLIED, LAYER_MISSING
-from muster.session import broadcast_if, small_enough
+from muster.session import broadcast_if, settled
 
 # ---------------------------------------------------------------- fixed values
 # The catalog this engine ships with.  Names, patterns, versions and values must
@@ -112,7 +113,7 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 
 _RANGE_ARRAY = (
-    "array<struct<preference:int,from_rank:bigint,to_rank:bigint,"
+    "array<struct<preference:int,from_rank:string,to_rank:string,"
     "open_ended:boolean,range_value:string>>"
 )
 
@@ -137,11 +138,15 @@ def _fill_array() -> Column:
 
 @dataclass(frozen=True)
 class Catalog:
-    """Five relations, and what was checked about them.
+    """Five relations.
 
-    ``small`` says that every relation has at most ``BROADCAST_ROWS`` rows; only
-    then are they broadcast.  ``units`` repeats the unit table as literals, because
-    patterns belong into the plan, where they are compiled once.
+    ``units`` has the unit patterns where they are constants of the program: patterns
+    belong into the plan then, where they are compiled once.  Of tables given by a user
+    it is None, and the pattern is a column.
+
+    What is derived from the relations is worked out once.  What turned out small, by
+    rows and by bytes, becomes a local table and may be broadcast; anything else is
+    written to the shared folder and joined by shuffle.
     """
 
     unit: DataFrame
@@ -149,9 +154,9 @@ class Catalog:
     property_role: DataFrame
     property_value: DataFrame
     property_expansion: DataFrame
-    units: Mapping[str, str]
-    small: bool
+    units: Mapping[str, str] | None = None
     _made: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
+    _small: set[str] = field(default_factory=set, repr=False, compare=False)
 
     @classmethod
     def of(
@@ -162,12 +167,8 @@ class Catalog:
         property_value: DataFrame,
         property_expansion: DataFrame,
     ) -> Catalog:
-        """A catalog over any five tables; runs the size checks."""
-        tables = [property, property_role, property_value, property_expansion]
-        if not small_enough(unit, 1_000):
-            raise ValueError("a catalog has at most 1000 units")
-        units = {r.unit: r.regex for r in unit.orderBy("unit").collect()}
-        return cls(unit, *tables, units=units, small=all(small_enough(t) for t in tables))
+        """A catalog over any five tables."""
+        return cls(unit, property, property_role, property_value, property_expansion)
 
     @classmethod
     def built_in(cls, spark: SparkSession) -> Catalog:
@@ -179,32 +180,29 @@ class Catalog:
             property_value=local_table(spark, PROPERTY_VALUES, VALUE_SCHEMA),
             property_expansion=local_table(spark, PROPERTY_EXPANSIONS, EXPANSION_SCHEMA),
             units=UNITS,
-            small=True,
         )
 
-    def side(self, df: DataFrame) -> DataFrame:
-        return broadcast_if(df, self.small)
+    def side(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, taken from the derived table ``name``, as the side of a join."""
+        return broadcast_if(df, name in self._small)
 
     def _frozen(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """What ``build`` makes of the catalog, worked out once.
-
-        A small catalog gives a small result, which becomes a local table: queries
-        then join a constant instead of repeating catalog aggregations.
-        """
+        """What ``build`` makes of the catalog, worked out once."""
         if name not in self._made:
-            df = build()
-            if self.small:
-                df = df.sparkSession.createDataFrame(df.toArrow())
+            df, local = settled(build(), name)
             self._made[name] = df
+            if local:
+                self._small.add(name)
         return self._made[name]
 
     def definitions(self) -> DataFrame:
-        """One row per (prop, file): datatype, unit, as_of_rank and its roles."""
+        """One row per (prop, file): datatype, unit and its pattern, as_of_rank, roles."""
         return self._frozen("definitions", self._definitions)
 
     def ranges(self) -> DataFrame:
-        """Default and recommended values with comparable bounds and preference:
-        recommended before default, then the range that starts last."""
+        """Default and recommended values with comparable bounds and preference
+        (recommended before default, then the range that starts last), and the version
+        that has the property at all."""
         return self._frozen("ranges", self._ranges)
 
     def required(self) -> DataFrame:
@@ -226,18 +224,23 @@ class Catalog:
 
     def _definitions(self) -> DataFrame:
         roles = self.property_role.groupBy("prop").agg(F.collect_set("role").alias("roles"))
-        return self.property.join(roles, "prop", "left").select(
+        patterns = self.unit.select("unit", java_pattern_of(F.col("regex")).alias("pattern"))
+        known = self.property.join(roles, "prop", "left").join(patterns, "unit", "left")
+        return known.select(
             "prop",
             F.when(F.col("kind") == "env", F.lit(ENV)).otherwise(F.col("file")).alias("file"),
             "datatype",
             "unit",
+            "pattern",
             version_rank(F.col("as_of")).alias("as_of_rank"),
             F.coalesce("roles", F.array().cast("array<string>")).alias("roles"),
         )
 
     def _ranges(self) -> DataFrame:
-        return self.property_value.select(
+        as_of = self.definitions().select("prop", "as_of_rank")
+        return self.property_value.join(as_of, "prop").select(
             "prop",
+            "as_of_rank",
             "value_kind",
             F.col("value").alias("range_value"),
             version_rank(F.col("from_version")).alias("from_rank"),
@@ -263,7 +266,7 @@ class Catalog:
                 lambda p: F.flatten(
                     F.transform(
                         F.coalesce(p["ranges"], F.array().cast(_RANGE_ARRAY)),
-                        lambda r: F.array(r["from_rank"], r["to_rank"] + 1),
+                        lambda r: F.array(r["from_rank"], after_rank(r["to_rank"])),
                     )
                 ),
             )
@@ -281,33 +284,34 @@ class Catalog:
         """One row per role: everything it must have, with value ranges."""
         value = F.struct("preference", "from_rank", "to_rank", "open_ended", "range_value")
         best_first = F.sort_array(F.collect_list(value), asc=False).alias("ranges")
-        values = self._ranges().groupBy("prop").agg(best_first)
+        values = self.ranges().groupBy("prop").agg(best_first)
         entry = F.struct("file", "prop", "as_of_rank", "ranges")
         return (
-            self._required()
+            self.required()
             .join(values, "prop", "left")
             .groupBy("role")
             .agg(F.collect_list(entry).alias("required"))
         )
 
     def _implications(self) -> DataFrame:
-        # The recursion runs over the catalog alone.  Where two paths lead to one
-        # property, the shortest path's value counts, then the smallest.
+        # Breadth first over the catalog alone, to a fixpoint: every round keeps the pairs
+        # no shorter path has reached, so it ends for cycles too and never lists paths.
+        # Where several paths of the shortest length lead to one property, the smallest
+        # value counts.
         step = self.property_expansion
-        reached = step.sparkSession.sql(
-            """
-            WITH RECURSIVE reach(prop, expands_to, value, depth) AS (
-              SELECT prop, expands_to, value, 1 FROM {step}
-              UNION ALL
-              SELECT r.prop, s.expands_to, s.value, r.depth + 1
-              FROM reach r JOIN {step} s ON s.prop = r.expands_to
-              WHERE r.depth < 32
+        least = F.min("value").alias("value")
+        front, _ = settled(step.groupBy("prop", "expands_to").agg(least), "implied")
+        reached = front
+        while not front.isEmpty():
+            onward = step.toDF(*[f"next_{c}" for c in step.columns])
+            further = (
+                front.join(onward, front["expands_to"] == onward["next_prop"])
+                .groupBy("prop", "next_expands_to")
+                .agg(F.min("next_value").alias("value"))
+                .withColumnRenamed("next_expands_to", "expands_to")
             )
-            SELECT prop, expands_to, min_by(value, struct(depth, value)) AS value
-            FROM reach GROUP BY prop, expands_to
-            """,
-            step=step,
-        )
+            front, _ = settled(further.join(reached, ["prop", "expands_to"], "left_anti"), "implied")
+            reached, _ = settled(reached.unionByName(front), "implied")
         target = self.definitions().select(
             F.col("prop").alias("expands_to"), "file", F.explode("roles").alias("role")
         )
@@ -323,7 +327,7 @@ class Catalog:
             F.col("value").alias("value"),
         )
         return (
-            self._implications()
+            self.implications()
             .groupBy("prop", "role")
             .agg(F.collect_list(entry).alias("implied_props"))
         )

@@ -30,10 +30,20 @@ def java_pattern(regex: str) -> str:
     return "(?U)" + head + tail
 
 
-def fits_unit(value: Column, unit: Column, patterns: Mapping[str, str]) -> Column:
-    """``patterns`` are the catalog's units.  One literal pattern per unit, so that
-    each is compiled once per task rather than once per row; a unit the catalog
-    does not know accepts everything."""
+def java_pattern_of(regex: Column) -> Column:
+    """``java_pattern`` for a column of patterns."""
+    return F.concat(F.lit("(?U)"), F.regexp_replace(regex, r"(?<!\\)\$(\)*)\z", r"\\z$1"))
+
+
+def fits_unit(
+    value: Column, unit: Column, patterns: Mapping[str, str] | None, pattern: Column | None = None
+) -> Column:
+    """``patterns`` are the units of a catalog whose units are constants: one literal
+    pattern per unit, so that each is compiled once per task rather than once per row.
+    Without them ``pattern``, the pattern of the row's own unit, is tested.  A unit the
+    catalog does not know is not judged here; it has a status of its own."""
+    if patterns is None:
+        return F.coalesce(F.regexp_like(value, pattern), F.lit(True))
     branches = [
         (unit == name, value.rlike(java_pattern(regex))) for name, regex in patterns.items()
     ]

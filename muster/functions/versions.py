@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMERIC = r"^[0-9]{1,6}([.][0-9]{1,6})*\z"
-_BASE = 1 << 20  # more than six digits can say
+_NUMERIC = r"^[0-9]+([.][0-9]+)*\z"
+_LONGEST = 99  # digits of one part that a rank can hold
 
 
 def product_version(version: Column) -> Column:
@@ -15,27 +15,42 @@ def product_version(version: Column) -> Column:
 
 
 def version_key(product: Column) -> Column:
-    """Array of the numeric parts, padded to three, so that 3.10 sorts after 3.9.
+    """Array of the numeric parts, all of them, padded to three: 3.10 sorts after 3.9.
 
-    NULL for anything that is not dotted numbers of up to six digits.
+    NULL for anything that is not dotted numbers of up to 38 digits.
     """
-    parts = F.transform(F.split(product, r"\."), lambda p: p.try_cast("int"))
+    parts = F.transform(F.split(product, r"\."), lambda p: p.try_cast("decimal(38,0)"))
+    zero = F.lit(0).cast("decimal(38,0)")
     padded = F.concat(
-        parts, F.array_repeat(F.lit(0), F.greatest(F.lit(3) - F.size(parts), F.lit(0)))
+        parts, F.array_repeat(zero, F.greatest(F.lit(3) - F.size(parts), F.lit(0)))
     )
-    return F.when(product.rlike(_NUMERIC), padded)
+    whole = product.rlike(_NUMERIC) & ~F.exists(parts, lambda p: p.isNull())
+    return F.when(whole, padded)
 
 
 def version_rank(product: Column) -> Column:
-    """The first three numeric parts in one BIGINT: what range conditions compare.
+    """Text that sorts as the version does: what range conditions compare.
 
-    NULL where ``version_key`` is.
+    Every part counts, written as its number of digits and its digits; parts of zero at
+    the end count nothing.  NULL for anything that is not dotted numbers, or has a part
+    of more than 99 digits.
     """
-    padded = F.concat(product, F.lit(".0.0"))
-    major, minor, patch = (
-        F.split_part(padded, F.lit("."), F.lit(i)).try_cast("bigint") for i in (1, 2, 3)
+
+    def written(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=[0-9])", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), digits, F.lit("."))
+
+    parts = F.split(product, r"\.")
+    joined = F.array_join(F.transform(parts, written), "")
+    fits = ~F.exists(parts, lambda p: F.length(p) > _LONGEST)
+    return F.when(
+        product.rlike(_NUMERIC) & fits, F.regexp_replace(joined, r"(?<![0-9])(010[.])+\z", "")
     )
-    return F.when(product.rlike(_NUMERIC), (major * _BASE + minor) * _BASE + patch)
+
+
+def after_rank(rank: Column) -> Column:
+    """The least rank text above ``rank``: no version lies in between."""
+    return F.concat(rank, F.lit("010."))
 
 
 def bump(version: Column, level: str, tag: str = "nightly") -> Column:
@@ -45,13 +60,15 @@ def bump(version: Column, level: str, tag: str = "nightly") -> Column:
     for a pre-release; ``following`` is the release after this one, which for a
     pre-release has the same numbers.  ``finalize`` only drops, ``prerelease`` puts
     ``tag`` in its place, and ``next_<level>`` raises and then tags: 1.2.3 at
-    ``next_minor`` is 1.3.0-nightly.
+    ``next_minor`` is 1.3.0-nightly.  NULL for what is not three numbers.
     """
     core = F.split(F.split(version, r"[-+]", 2)[0], r"\.")
-    major, minor, patch = (core[i].cast("bigint") for i in range(3))
+    major, minor, patch = (F.get(core, F.lit(i)).try_cast("bigint") for i in range(3))
+
+    three = (F.size(core) == 3) & major.isNotNull() & minor.isNotNull() & patch.isNotNull()
 
-    def dotted(*parts: Column) -> Column:
-        return F.concat_ws(".", *[p.cast("string") for p in parts])
+    def dotted(a: Column, b: Column, c: Column) -> Column:
+        return F.when(three, F.concat_ws(".", *[p.cast("string") for p in (a, b, c)]))
 
     zero = F.lit(0)
     if level == "major":

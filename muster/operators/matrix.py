@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.versions import bump
-from muster.session import small_enough
+from muster.session import settled
 
 _PARTS = 64
 
@@ -23,8 +25,7 @@ def scenario_grid(dimensions: DataFrame, tests: DataFrame) -> DataFrame:
     and each grid row visits every part.
     """
     depth = tests.agg(F.max(F.size("dims"))).first()[0] or 0
-    values = dimensions.select("dim", "value")
-    small = small_enough(values)
+    values, small = settled(dimensions.select("dim", "value"), "dimensions")
     if not small:
         values = values.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(_PARTS)).cast("int"))
     grid = tests.select("test", "dims", F.array().cast("array<string>").alias("parts"))
@@ -47,11 +48,21 @@ def scenario_grid(dimensions: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def bump_version(packages: DataFrame, level: str, tag: str = "nightly") -> DataFrame:
-    """Packages with ``new_version``: their version raised at ``level``."""
-    return packages.withColumn("new_version", bump(F.col("version"), level, tag))
+    """Packages with ``new_version``, their version raised at ``level``, and
+    ``version_error`` where that cannot be done."""
+    raised = bump(F.col("version"), level, tag)
+    return packages.withColumns(
+        {
+            "new_version": raised,
+            "version_error": F.when(raised.isNull(), F.lit("invalid_version")),
+        }
+    )
 
 
 def set_version(packages: DataFrame, version: str) -> DataFrame:
+    """Packages with ``new_version`` set to one version, which must be one."""
+    if not re.fullmatch(r"[0-9]+\.[0-9]+\.[0-9]+([-+][0-9A-Za-z.+-]+)?", version):
+        raise ValueError(f"not a version: {version!r}")
     return packages.withColumn("new_version", F.lit(version))
 
 

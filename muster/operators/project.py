@@ -89,11 +89,10 @@ def flatten_role_groups(specs: DataFrame) -> DataFrame:
 
 def check_role(df: DataFrame, role: str = "role") -> DataFrame:
     """Adds ``error``: NULL for a known role, else a text that lists the known ones."""
-    listed = ", ".join(f'"{r}"' for r in ROLES)
     message = F.concat(
-        F.lit("Unknown spark role found "),
+        F.lit("no role is called "),
         F.coalesce(F.col(role), F.lit("null")),
-        F.lit(f". Should be one of [{listed}]"),
+        F.lit(f"; there are {', '.join(ROLES)}"),
     )
     known = F.coalesce(F.col(role).isin(ROLES), F.lit(False))
     return df.withColumn("error", F.when(~known, message))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.session import small_enough
+from muster.session import settled
 
 _SALTS = 64
 
@@ -84,7 +84,7 @@ def select_by_labels(
     nearly everything, meets all objects.  An object has one value per key, so it
     meets a selector at most once; the remaining expressions are tested on the pair.
 
-    Few selectors are broadcast.  Otherwise each look-up key is split into salts, by a
+    An index that is small, by rows and bytes, is broadcast.  Otherwise each look-up key is split into salts, by a
     hash of the object, so that a label a third of all objects carry spreads.
     """
     wanted = selectors.filter("exprs IS NOT NULL")
@@ -124,7 +124,8 @@ def select_by_labels(
 
     index = index.withColumn("token", text(F.col("token")))
     probes = probes.withColumn("token", text(F.col("token")))
-    if small_enough(index):
+    index, small = settled(index, "selectors")
+    if small:
         pairs = probes.join(F.broadcast(index), "token")
     else:
         salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))

@@ -21,7 +21,7 @@ from muster.schema import (
 def match_catalog(props: DataFrame, catalog: Catalog) -> DataFrame:
     """Adds the definition of each row's (prop, file), and ``known`` / ``wrong_role``."""
     return (
-        props.join(catalog.side(catalog.definitions()), ["prop", "file"], "left")
+        props.join(catalog.side(catalog.definitions(), "definitions"), ["prop", "file"], "left")
         .withColumn("known", F.col("roles").isNotNull())
         .withColumn(
             "wrong_role",
@@ -54,7 +54,8 @@ def status(catalog: Catalog) -> Column:
         .when(F.col("wrong_role"), "wrong_role")
         .when(F.col("as_of_rank") > F.col("version_rank"), "not_yet_available")
         .when(~fits_datatype(value, F.col("datatype")), "bad_type")
-        .when(~fits_unit(value, F.col("unit"), catalog.units), "bad_unit")
+        .when(F.col("unit").isNotNull() & F.col("pattern").isNull(), "unknown_unit")
+        .when(~fits_unit(value, F.col("unit"), catalog.units, F.col("pattern")), "bad_unit")
         .otherwise("ok")
     )
 
@@ -65,12 +66,11 @@ def values_for_version(props: DataFrame, catalog: Catalog) -> DataFrame:
     An equi-join on the property with the version range as a further condition.
     ``available`` says whether the version has the property at all.
     """
-    as_of = catalog.definitions().select("prop", "as_of_rank")
-    ranges = catalog.ranges().join(catalog.side(as_of), "prop")
+    ranges = catalog.side(catalog.ranges(), "ranges")
     rank = F.col("version_rank")
     in_force = (F.col("from_rank") <= rank) & (F.col("open_ended") | (rank <= F.col("to_rank")))
     return (
-        props.join(catalog.side(ranges), "prop")
+        props.join(ranges, "prop")
         .filter(in_force)
         .withColumn("available", F.col("as_of_rank") <= rank)
         .drop("from_rank", "to_rank", "open_ended", "preference", "as_of_rank")
@@ -84,7 +84,7 @@ def required_of(keys: DataFrame, catalog: Catalog) -> DataFrame:
     grouped by K and more afterwards is where it belongs.
     """
     return (
-        keys.select(*KEY, "version_rank").repartition(*KEY).join(catalog.side(catalog.required()), "role")
+        keys.select(*KEY, "version_rank").repartition(*KEY).join(catalog.side(catalog.required(), "required"), "role")
         .filter(F.col("as_of_rank") <= F.col("version_rank"))
         .select(*KEY, "version_rank", "file", "prop")
     )
@@ -93,7 +93,7 @@ def required_of(keys: DataFrame, catalog: Catalog) -> DataFrame:
 def with_fills(df: DataFrame, catalog: Catalog) -> DataFrame:
     """Adds ``fills``: what the row's role must have in its version, with values, as an
     array of (layer, file, prop, value)."""
-    ranges = catalog.side(catalog.fills().withColumnRenamed("role", "fill_role"))
+    ranges = catalog.side(catalog.fills().withColumnRenamed("role", "fill_role"), "fills")
     rank = F.col("version_rank")
     here = (
         (F.col("role") == F.col("fill_role"))
@@ -114,20 +114,21 @@ def missing_required(keys: DataFrame, props: DataFrame, catalog: Catalog) -> Dat
     An anti-join as one aggregation of flags: it combines before the shuffle and sorts
     nothing.  Of ``props``, only what some role requires takes part.
     """
-    some_role = catalog.side(catalog.required().select("role", "file", "prop"))
+    some_role = catalog.side(catalog.required().select("role", "file", "prop"), "required")
     present = (
         props.filter("value IS NOT NULL")
-        .select(*KEY, "file", "prop", F.lit(None).cast("bigint").alias("version_rank"))
+        .select(*KEY, "file", "prop")
         .join(some_role, ["role", "file", "prop"], "left_semi")
     )
-    both = required_of(keys, catalog).withColumn("present", F.lit(0)).unionByName(
-        present.withColumn("present", F.lit(1))
+    wanted = required_of(keys, catalog).select(*KEY, "file", "prop")
+    both = wanted.withColumns({"wanted": F.lit(1), "present": F.lit(0)}).unionByName(
+        present.withColumns({"wanted": F.lit(0), "present": F.lit(1)})
     )
     return (
         both.groupBy(*KEY, "file", "prop")
-        .agg(F.max("version_rank").alias("version_rank"), F.max("present").alias("present"))
-        .filter("version_rank IS NOT NULL AND present = 0")
-        .drop("present")
+        .agg(F.max("wanted").alias("wanted"), F.max("present").alias("present"))
+        .filter("wanted = 1 AND present = 0")
+        .drop("wanted", "present")
     )
 
 
@@ -145,9 +146,8 @@ def expand_implied(
         F.col("value").isNotNull(), F.col("implied_props").cast(PROPERTY_STRUCT)
     )
     rows = F.concat(F.array(own).cast(PROPERTY_STRUCT), F.coalesce(implied, none))
-    return props.join(catalog.side(catalog.implied_by_trigger()), ["prop", "role"], "left").select(
-        *KEY, *keep, F.inline(rows)
-    )
+    triggers = catalog.side(catalog.implied_by_trigger(), "implied_by_trigger")
+    return props.join(triggers, ["prop", "role"], "left").select(*KEY, *keep, F.inline(rows))
 
 
 def merge_and_check(long: DataFrame, catalog: Catalog) -> DataFrame:

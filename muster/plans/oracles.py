@@ -245,6 +245,10 @@ def with_views(sql: str) -> str:
 
 
 _K = "cluster_id, role, role_group"
+_RECORD = (
+    "concat(length(file), ':', file, length(prop), ':', prop, "
+    "CASE WHEN value IS NULL THEN '-' ELSE concat(length(value), ':', value) END)"
+)
 
 _BUMP = """
 SELECT package_id, version, major, minor, patch, pre,
@@ -380,8 +384,7 @@ SELECT cluster_id, cluster, version FROM v_cluster WHERE namespace = '{p.namespa
         "check_role": """
 SELECT l_orderkey AS cluster_id, l_linenumber AS number, role, count(*) AS n,
   CASE WHEN role NOT IN ('master', 'slave', 'history-server') THEN
-    concat('Unknown spark role found ', role,
-           '. Should be one of ["master", "slave", "history-server"]') END AS error
+    concat('no role is called ', role, '; there are master, slave, history-server') END AS error
 FROM (SELECT *, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN 'worker'
         WHEN l_returnflag = 'A' THEN 'master' WHEN l_returnflag = 'N' THEN 'slave'
         ELSE 'history-server' END AS role FROM lineitem) GROUP BY ALL""",
@@ -494,8 +497,7 @@ SELECT g.cluster_id, g.role, g.role_group,
 FROM v_group g LEFT JOIN v_text t ON g.cluster_id = t.cluster_id AND g.role = t.role
  AND g.role_group = t.role_group GROUP BY ALL""",
         "fingerprint": f"""
-SELECT {_K}, sha256(string_agg(concat(file, chr(1), prop, chr(1), value, chr(2)), ''
-   ORDER BY file, prop)) AS fingerprint FROM v_effective GROUP BY ALL""",
+SELECT {_K}, sha256(string_agg({_RECORD}, '' ORDER BY {_RECORD})) AS fingerprint FROM v_effective GROUP BY ALL""",
         "stable_order": f"""
 SELECT {_K}, file, CAST(row_number() OVER (PARTITION BY {_K}, file ORDER BY prop) - 1 AS INT)
   AS pos, prop FROM v_merged""",
@@ -539,8 +541,7 @@ FROM v_layers m JOIN v_def d ON d.prop = m.prop AND d.file = m.file""",
 SELECT {_K}, m.file, m.prop, value, u.unit, regexp_matches(value, u.regex) AS fits
 FROM v_layers m JOIN v_def d ON d.prop = m.prop AND d.file = m.file JOIN unit u USING (unit)""",
         "validate": f"""
-SELECT m.cluster_id, m.role, m.role_group, m.file, m.prop, m.value, m.layer, e.status
-FROM v_merged m JOIN v_effective e USING ({_K}, file, prop)
+SELECT {_K}, file, prop, value, layer, status FROM v_effective WHERE layer >= 1
 UNION ALL
 SELECT {_K}, file, prop, NULL, NULL, 'missing_required' FROM v_absent""",
         "split_tokens": """
@@ -555,8 +556,7 @@ SELECT owner, resource_version, kind, change FROM (
         "reconcile_stream": f"""
 SELECT g.cluster_id, g.role, g.role_group,
   CASE WHEN coalesce(stopped, false) THEN 0 ELSE replicas END AS desired_replicas,
-  (SELECT sha256(string_agg(concat(file, chr(1), prop, chr(1), value, chr(2)), ''
-     ORDER BY file, prop)) FROM v_effective e WHERE e.cluster_id = g.cluster_id
+  (SELECT sha256(string_agg({_RECORD}, '' ORDER BY {_RECORD})) FROM v_effective e WHERE e.cluster_id = g.cluster_id
      AND e.role = g.role AND e.role_group = g.role_group) AS fingerprint
 FROM v_group g WHERE g.cluster IN (SELECT owner FROM v_watch)""",
         "retry_due": f"""

@@ -139,18 +139,20 @@ def flatten_role_groups(fleet: Fleet) -> DataFrame:
 
 @query
 def effective_config_of_specs(fleet: Fleet) -> DataFrame:
-    def as_map(column: str) -> F.Column:
-        entry = F.create_map("file", F.create_map("prop", "value"))
-        return F.max_by(entry, F.lit(1)).alias(column)
+    def as_maps(overrides: DataFrame, keys: list[str], column: str) -> DataFrame:
+        """All overrides of a key as a map of maps, file to property to value."""
+
+        def mapped(key: str, value: str) -> F.Column:
+            return F.map_from_entries(F.collect_list(F.struct(key, value)))
+
+        once = overrides.groupBy(*keys, "file", "prop").agg(F.max("value").alias("value"))
+        per_file = once.groupBy(*keys, "file").agg(mapped("prop", "value").alias("props"))
+        return per_file.groupBy(*keys).agg(mapped("file", "props").alias(column))
 
     overrides = fleet.overrides()
-    of_group = (
-        overrides.filter("role_group IS NOT NULL").groupBy(*KEY).agg(as_map("override_map"))
-    )
-    of_role = (
-        overrides.filter("role_group IS NULL")
-        .groupBy("cluster_id", "role")
-        .agg(as_map("role_override_map"))
+    of_group = as_maps(overrides.filter("role_group IS NOT NULL"), KEY, "override_map")
+    of_role = as_maps(
+        overrides.filter("role_group IS NULL"), ["cluster_id", "role"], "role_override_map"
     )
     groups = (
         _groups(fleet)
@@ -376,7 +378,7 @@ def check_datatype(fleet: Fleet) -> DataFrame:
 def check_unit(fleet: Fleet) -> DataFrame:
     catalog = _catalog(fleet)
     matched = validation.match_catalog(_layers(fleet), catalog).filter("unit IS NOT NULL")
-    fits = fits_unit(F.col("value"), F.col("unit"), catalog.units)
+    fits = fits_unit(F.col("value"), F.col("unit"), catalog.units, F.col("pattern"))
     return matched.select(*KEY, "file", "prop", "value", "unit", fits.alias("fits"))
 
 
@@ -535,10 +537,12 @@ def version_key_of(fleet: Fleet) -> DataFrame:
     key = version_key(product_version(F.col("version")))
     return fleet.packages().select(
         "package_id",
-        key[0].alias("major"),
-        key[1].alias("minor"),
-        key[2].alias("patch"),
-        (key >= F.array(F.lit(2), F.lit(9), F.lit(0))).alias("at_least_2_9"),
+        key[0].cast("int").alias("major"),
+        key[1].cast("int").alias("minor"),
+        key[2].cast("int").alias("patch"),
+        (key >= F.array(F.lit(2), F.lit(9), F.lit(0)).cast("array<decimal(38,0)>")).alias(
+            "at_least_2_9"
+        ),
     )
 
 

@@ -8,14 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side may be broadcast when it has at most this many rows (catalogs, units,
-# port tables: rows of a few short strings, so well under a few MB).
+# A side may be broadcast when it has at most this many rows and takes so many bytes.
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 8 << 20
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Has ``df`` at most ``rows`` rows?  Reads no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
+def settled(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``df`` worked out now, and whether it is small enough to be broadcast.
+
+    No more than ``BROADCAST_ROWS + 1`` rows come to the driver.  A small result becomes a
+    local table; any other is written to the shared folder and read from there.
+    """
+    spark = df.sparkSession
+    first = df.limit(BROADCAST_ROWS + 1).toArrow()
+    if first.num_rows <= BROADCAST_ROWS and first.nbytes <= BROADCAST_BYTES:
+        return spark.createDataFrame(first, df.schema), True
+    path = work_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), False
 
 
 def broadcast_if(df: DataFrame, small: bool) -> DataFrame:

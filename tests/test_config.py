@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muster.catalog import Catalog, local_table
-from muster.functions.checks import fits_datatype, fits_unit, java_pattern
+from muster.functions.checks import fits_datatype, fits_unit, java_pattern, java_pattern_of
 from muster.functions.versions import bump, product_version, version_key, version_rank
 from muster.operators import project, properties, render, validation
 from muster.plans.effective import effective_config, effective_config_of_specs
@@ -154,10 +154,40 @@ def test_implications_are_transitive(spark):
     assert (row.value, row.layer) == ("true", -1)
 
 
-def test_a_catalog_too_large_to_broadcast_gives_the_same(spark, catalog):
-    large = Catalog(
+def expansions_of(spark, catalog, pairs):
+    """The closure of a catalog whose properties are those of ``pairs``."""
+    names = sorted({p for pair in pairs for p in pair[:2]})
+    made = Catalog.of(
+        catalog.unit,
+        spark.createDataFrame([(n, "file", D, "string", None, "0.1.0") for n in names], catalog.property.schema),
+        spark.createDataFrame([(n, "master", False) for n in names], catalog.property_role.schema),
+        catalog.property_value,
+        spark.createDataFrame(pairs, catalog.property_expansion.schema),
+    )
+    return {(r.prop, r.implied): r.value for r in made.implications().collect()}
+
+
+def test_closures_of_any_depth_and_shape(spark, catalog):
+    chain = [(f"p{i:02}", f"p{i + 1:02}", str(i)) for i in range(40)]
+    got = expansions_of(spark, catalog, chain)
+    assert len(got) == 40 * 41 // 2 and got["p00", "p40"] == "39"
+    stages = [(f"{a}{i:02}", f"{b}{i + 1:02}", "v") for i in range(12) for a in "ab" for b in "ab"]
+    assert len(expansions_of(spark, catalog, stages)) == 4 * 12 * 13 // 2
+    cycle = [("x", "y", "1"), ("y", "z", "2"), ("z", "x", "3"), ("x", "z", "0")]
+    assert expansions_of(spark, catalog, cycle) == {
+        ("x", "y"): "1", ("x", "z"): "0", ("x", "x"): "3", ("y", "z"): "2", ("y", "x"): "3",
+        ("y", "y"): "1", ("z", "x"): "3", ("z", "y"): "1", ("z", "z"): "0",
+    }
+
+
+def test_a_catalog_of_tables_gives_the_same(spark, catalog, monkeypatch):
+    """Patterns as a column, and nothing small enough to broadcast."""
+    from muster import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    large = Catalog.of(
         catalog.unit, catalog.property, catalog.property_role, catalog.property_value,
-        catalog.property_expansion, units=catalog.units, small=False,
+        catalog.property_expansion,
     )
     rgs, cl = groups(spark, MASTER, WORKER, HISTORY), cluster(spark, secret="secret")
     assert effective(spark, large, cl, rgs) == effective(spark, catalog, cl, rgs)
@@ -199,6 +229,32 @@ def test_units(spark, catalog, value, unit, fits):
     assert column(spark, value, lambda c: fits_unit(c, F.lit(unit), catalog.units)) is fits
 
 
+def test_units_without_number_or_name(spark, catalog):
+    many = [(f"u{i}", "^x+$") for i in range(2_000)]
+    made = Catalog.of(
+        spark.createDataFrame(many, catalog.unit.schema),
+        spark.createDataFrame(
+            [("p", "file", D, "string", "u1999", "0.1.0"), ("q", "file", D, "string", "none", "0.1.0")],
+            catalog.property.schema,
+        ),
+        spark.createDataFrame([("p", "master", False), ("q", "master", False)], catalog.property_role.schema),
+        catalog.property_value,
+        catalog.property_expansion,
+    )
+    rows = [("p", "xx"), ("p", "xy"), ("q", "xx")]
+    props = spark.createDataFrame(rows, "prop string, value string").withColumns(
+        {"file": F.lit(D), "role": F.lit("master"), "layer": F.lit(4), "version_rank": F.lit("013.")}
+    )
+    matched = validation.match_catalog(props, made).withColumn("status", validation.status(made))
+    got = {(r.prop, r.value): r.status for r in matched.collect()}
+    assert got == {("p", "xx"): "ok", ("p", "xy"): "bad_unit", ("q", "xx"): "unknown_unit"}
+
+
+def test_pattern_columns(spark):
+    for regex in ("^a$", r"(a$)", r"a\$", "a", "(^b+)((c|d)\\b$)", "$"):
+        assert column(spark, regex, java_pattern_of) == java_pattern(regex)
+
+
 def test_pattern_endings():
     assert java_pattern("^a$") == r"(?U)^a\z"
     assert java_pattern(r"(a$)") == r"(?U)(a\z)"
@@ -219,9 +275,19 @@ def test_version_functions(spark):
     assert column(spark, "3.1.1-x0-y", product_version) == "3.1.1"
     assert column(spark, "3.10", version_key) == [3, 10, 0]
     assert column(spark, "abc", version_key) is None
-    rank = {v: column(spark, v, version_rank) for v in ("3.9.0", "3.10", "3.10.1", "x", "1..2")}
-    assert rank["3.9.0"] < rank["3.10"] < rank["3.10.1"]
-    assert rank["x"] is None and rank["1..2"] is None
+    in_order = (
+        "0", "0.0.1", "1.0", "3.1.1", "3.1.1.1", "3.1.1.2", "3.1.2", "3.9.0", "3.10", "3.10.1",
+        "1234567.0.0", "1" + "0" * 30,
+    )
+    ranks = [column(spark, v, version_rank) for v in in_order]
+    assert ranks == sorted(set(ranks))
+    assert column(spark, "3.1", version_rank) == column(spark, "03.1.0.0", version_rank)
+    for v, w in zip(ranks, ranks[1:]):
+        assert v < v + "010." <= w
+    assert column(spark, "5010.0", version_rank) == "045010."
+    for malformed in ("x", "1..2", "", "9" * 100, "1.2-", " 1"):
+        assert column(spark, malformed, version_rank) is None
+    assert column(spark, "9" * 39, version_key) is None
 
 
 @pytest.mark.parametrize(
@@ -229,7 +295,8 @@ def test_version_functions(spark):
     [("0.6.0", "next_minor", "0.7.0-nightly"), ("0.6.0-nightly", "patch", "0.6.1"),
      ("0.6.3-nightly", "finalize", "0.6.3"), ("1.2.3", "major", "2.0.0"),
      ("1.2.3-rc.1", "following", "1.2.3"), ("1.2.3", "following", "1.2.4"),
-     ("1.2.3", "prerelease", "1.2.3-nightly")],
+     ("1.2.3", "prerelease", "1.2.3-nightly"), ("abc", "minor", None), ("1.2", "patch", None),
+     ("1.2.x", "next_major", None)],
 )
 def test_bumps(spark, version, level, bumped):
     assert column(spark, version, lambda c: bump(c, level)) == bumped

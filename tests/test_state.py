@@ -64,7 +64,7 @@ def test_unknown_role(spark):
     df = spark.createDataFrame([("master",), ("worker",), (None,)], "role string")
     errors = {r.role: r.error for r in project.check_role(df).collect()}
     assert errors["master"] is None
-    assert errors["worker"].startswith("Unknown spark role found worker.")
+    assert errors["worker"].startswith("no role is called worker;")
     assert errors[None] is not None
 
 
@@ -84,7 +84,7 @@ def test_scenarios(spark, monkeypatch):
     )
     expected = [f"spark-{s}_hadoop-{h}" for s in ("3.2.1", "3.2.2", "3.2.3") for h in ("3.1.0", "3.2.0")]
     for small in (True, False):
-        monkeypatch.setattr(matrix, "small_enough", lambda df, small=small: small)
+        monkeypatch.setattr(matrix, "settled", lambda df, name, small=small: (df, small))
         rows = matrix.scenario_grid(dimensions, tests).collect()
         assert sorted(r.scenario for r in rows if r.test == "pi") == expected
         assert {r.test for r in rows} == {"pi", "none"}
@@ -100,7 +100,7 @@ OPERATORS = {
 
 @pytest.mark.parametrize("small", [True, False])
 def test_selectors_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(selectors, "small_enough", lambda df: small)
+    monkeypatch.setattr(selectors, "settled", lambda df, name: (df, small))
     rng = random.Random(7)
     # A third of all objects look the same.
     objects = [
