@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.catalog import local_table
+from muster.session import work_dir
 
 
 # Of a line item: the role and the name of its role group.
@@ -155,13 +156,30 @@ class Fleet:
     def watch(self) -> DataFrame:
         return self.watch_of(self.table("events"))
 
-    def events_stream(self, files_per_batch: int = 1) -> DataFrame:
-        schema = self.table("events").schema
+    def events_stream(self, batches: int = 4, files: int = 8) -> DataFrame:
+        """``events`` as it would arrive: in several micro-batches in the order of time,
+        and some rows of each batch, over three hours old by then, delivered again with
+        the next one."""
+        events = self.table("events")
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        cuts = events.select(us.alias("us")).approxQuantile(
+            "us", [i / batches for i in range(1, batches)], 0.001
+        )
+        number = F.lit(0)
+        for cut in cuts:
+            number = number + (us > F.lit(int(cut))).cast("int")
+        numbered = events.withColumn("batch", number)
+        ends = F.get(F.array(*[F.lit(int(c)) for c in cuts]), F.col("batch"))
+        again = numbered.filter((F.col("event_id") % 50 == 7) & (us < ends - 3 * 3_600_000_000))
+        again = again.withColumn("batch", F.col("batch") + 1)
+        path = work_dir(self.spark, "events")
+        for i in range(batches):
+            part = numbered.unionByName(again).filter(F.col("batch") == i).drop("batch")
+            part.repartition(files).write.mode("append").parquet(path)
         return (
-            self.spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", files_per_batch)
-            .option("pathGlobFilter", "events.parquet")
-            .parquet(self.folder)
+            self.spark.readStream.schema(events.schema)
+            .option("maxFilesPerTrigger", files)
+            .parquet(path)
         )
 
     def labels(self) -> DataFrame:

@@ -571,15 +571,6 @@ s AS (SELECT * FROM v_watch WHERE kind = 'StatefulSet')
 SELECT resource_version, owner, CASE WHEN next_ts IS NULL THEN 'timeout' ELSE 'pass' END AS result,
   epoch_us(next_ts) - epoch_us(ts) AS waited_us
 FROM ({_FOLLOWING.format(left="a", right="s", strict=">=", seconds=p.timeout)})""",
-        "liveness": f"""
-WITH w AS (SELECT owner, epoch_us(ts) // {p.period * 1000000} AS slot, min(epoch_us(ts)) AS us
-           FROM v_watch GROUP BY ALL),
-b AS (SELECT owner, min(us) AS first_us, max(slot) AS last_slot FROM w GROUP BY owner),
-t AS (SELECT owner, unnest(generate_series(
-        CAST(ceil((first_us + {p.delay * 1000000}) / {p.period * 1000000}.0) AS BIGINT),
-        last_slot)) AS slot FROM b)
-SELECT t.owner, t.slot * {p.period} AS tick_s FROM t
-WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.owner = t.owner AND w.slot = t.slot)""",
         "error_rate": f"""
 SELECT error_category AS category, epoch_us(ts) // {p.width * 1000000} * {p.width} AS window_s,
   count(*) AS n FROM v_watch WHERE change = 'ERROR' GROUP BY ALL""",
@@ -588,15 +579,27 @@ SELECT resource_version, owner, kind, change FROM v_watch""",
         "stop_stream": """
 SELECT kind, count(*) AS n FROM v_watch GROUP BY kind""",
     }
-    # A stream emits what the watermark has closed: windows of twice the interval that
-    # end an hour, the lateness, or more before the newest event.
+    passed = "(SELECT max(epoch_us(ts)) - 3600000000 FROM v_watch)"
+
+    def liveness(until: str) -> str:
+        """Ticks of the periods that ended by ``until``."""
+        period = p.period * 1000000
+        return f"""
+WITH w AS (SELECT owner, epoch_us(ts) // {period} AS slot, min(epoch_us(ts)) AS us
+           FROM v_watch GROUP BY ALL),
+b AS (SELECT owner, min(us) AS first_us FROM w GROUP BY owner),
+t AS (SELECT owner, unnest(generate_series(
+        CAST(ceil((first_us + {p.delay * 1000000}) / {period}.0) AS BIGINT),
+        {until} // {period} - 1)) AS slot FROM b)
+SELECT t.owner, t.slot * {p.period} AS tick_s FROM t
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.owner = t.owner AND w.slot = t.slot)"""
+
+    # A stream answers what the watermark has passed.
     def closed(seconds: int) -> str:
-        span = seconds * 1000000
-        return (
-            f"(us // {span} + 2) * {span} <= "
-            "(SELECT max(epoch_ms(ts)) * 1000 - 3600000000 FROM v_watch)"
-        )
+        return f"us + {seconds * 1000000} <= {passed}"
 
+    out["liveness"] = liveness("(SELECT max(epoch_us(ts)) FROM v_watch)")
+    out["liveness_stream"] = liveness(passed)
     out["retry_due_stream"] = f"""
 WITH f AS ({failures}), s AS (SELECT * FROM v_watch WHERE change <> 'ERROR')
 SELECT resource_version, owner, us AS failed_us, us + {p.retry_delay * 1000000} AS due_us
@@ -611,6 +614,5 @@ SELECT resource_version, owner, CASE WHEN next_ts IS NULL THEN 'timeout' ELSE 'p
 FROM (SELECT *, epoch_us(ts) AS us FROM
   ({_FOLLOWING.format(left="a", right="s", strict=">=", seconds=p.timeout)}))
 WHERE {closed(p.timeout)}"""
-    out["liveness_stream"] = out["liveness"]
     out["error_rate_batch"] = out["error_rate"]
     return {name: with_views(sql) for name, sql in out.items()}

@@ -634,7 +634,8 @@ def _upsert(
 
 @query
 def watch_stream(fleet: Fleet) -> DataFrame:
-    seen = _append(fleet, _watch_stream(fleet), "watch")
+    once = latest.dedupe_stream(_watch_stream(fleet))
+    seen = _append(fleet, once, "watch")
     return seen.groupBy("kind", "change").agg(
         F.count("*").alias("n"), F.count_distinct("owner").alias("owners")
     )
@@ -666,10 +667,11 @@ def error_rate(fleet: Fleet) -> DataFrame:
 
 @query
 def liveness_stream(fleet: Fleet) -> DataFrame:
-    slots = timing.heartbeat_slots(_watch_stream(fleet), P.period)
-    seen = slots.withColumn("newest", -F.unix_micros("first_ts"))
-    kept = _upsert(fleet, seen, "liveness", ["owner", "slot_start"], ["newest"])
-    return timing.missed_ticks(kept, P.delay, P.period)
+    root = work_dir(fleet.spark, "liveness")
+    timing.liveness_stream(
+        _watch_stream(fleet), root, f"{root}/checkpoint", P.delay, P.period
+    ).awaitTermination()
+    return timing.emitted(fleet.spark, root, "owner string, tick_s bigint")
 
 
 @query
@@ -689,15 +691,21 @@ def reconcile_stream(fleet: Fleet) -> DataFrame:
 
 @query
 def retry_due_stream(fleet: Fleet) -> DataFrame:
-    stream = timing.retry_due_stream(_watch_stream(fleet), P.retry_delay)
-    return _append(fleet, stream, "retry")
+    root = work_dir(fleet.spark, "retry")
+    timing.retry_due_stream(
+        _watch_stream(fleet), root, f"{root}/checkpoint", P.retry_delay
+    ).awaitTermination()
+    return timing.emitted(fleet.spark, root, timing.DUE)
 
 
 @query
 def eventually_stream(fleet: Fleet) -> DataFrame:
+    root = work_dir(fleet.spark, "eventually")
     step, met = F.col("change") == "ADDED", F.col("kind") == "StatefulSet"
-    stream = timing.eventually_stream(_watch_stream(fleet), step, met, P.timeout)
-    return _append(fleet, stream, "eventually")
+    timing.eventually_stream(
+        _watch_stream(fleet), step, met, root, f"{root}/checkpoint", P.timeout
+    ).awaitTermination()
+    return timing.emitted(fleet.spark, root, timing.WAITED)
 
 
 @query
@@ -705,7 +713,7 @@ def stop_stream(fleet: Fleet) -> DataFrame:
     """A stream that would wait for more, stopped once it has seen what there is."""
     root = work_dir(fleet.spark, "stop")
     run = (
-        _watch_stream(fleet)
+        latest.dedupe_stream(_watch_stream(fleet))
         .writeStream.format("parquet")
         .option("path", f"{root}/rows")
         .option("checkpointLocation", f"{root}/checkpoint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from muster.sources.sinks import apply_snapshot
 
+# The trigger of a run that handles what is there, in as many batches as the source
+# makes of it, and ends.
+ONCE = {"availableNow": True}
+
 
 def dedupe_stream(
     watch: DataFrame, keys: Sequence[str] = ("resource_version",), lateness: str = "1 hour"
@@ -33,10 +37,13 @@ def latest_stream(watch: DataFrame, keys: Sequence[str] = ("owner",)) -> DataFra
 
 
 def error_rate(watch: DataFrame, width: str, lateness: str = "1 hour") -> DataFrame:
-    """Errors by category and tumbling window, for a stream (update mode) or a table."""
+    """Errors by category and tumbling window, for a stream (update mode) or a table.
+
+    Of a stream, a change that is delivered again within ``lateness`` counts once.
+    """
     errors = watch.filter("change = 'ERROR'")
     if watch.isStreaming:
-        errors = errors.withWatermark("ts", lateness)
+        errors = dedupe_stream(errors, lateness=lateness)
     return (
         errors.groupBy(F.window("ts", width), F.col("error_category").alias("category"))
         .agg(F.count("*").alias("n"))
@@ -51,13 +58,14 @@ def upsert_stream(
     keys: Sequence[str],
     order: Sequence[str],
     mode: str = "update",
+    trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Applies every micro-batch of ``df`` to the snapshot at ``target``."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         apply_snapshot(batch, target, keys, order, batch_id)
 
-    return start(df, apply, checkpoint, mode)
+    return start(df, apply, checkpoint, mode, trigger or ONCE)
 
 
 def start(
@@ -65,13 +73,15 @@ def start(
     apply: Callable[[DataFrame, int], None],
     checkpoint: str,
     mode: str = "append",
+    trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
-    """Runs ``df`` over all that is there, then ends."""
+    """Runs ``df``: by default over all that is there, then ends; with another trigger,
+    such as ``{"processingTime": "10 seconds"}``, until it is stopped."""
     return (
         df.writeStream.outputMode(mode)
         .foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

@@ -7,10 +7,11 @@ so within time buckets, what counts ticks counts them before it compares.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from muster.schema import (
     EXPECTATION_TIMEOUT_SECONDS,
@@ -19,7 +20,11 @@ from muster.schema import (
     RETRY_DELAY_SECONDS,
 )
 
+from muster.streaming.latest import ONCE, start
+
 _MICROS = 1_000_000
+# Periods of one stretch, and ticks of one piece of a silence.
+_CHUNK = 4096
 
 
 def micros(ts: Column) -> Column:
@@ -69,8 +74,13 @@ def retry_due(
     rows = watch.withColumn("us", micros(F.col("ts")))
     failed = rows.filter("change = 'ERROR'")
     succeeded = rows.filter("change <> 'ERROR'")
-    pending = first_following(failed, succeeded, "owner", delay_seconds, strictly=True)
-    return pending.filter("next_us IS NULL").select(
+    return _due(
+        first_following(failed, succeeded, "owner", delay_seconds, strictly=True), delay_seconds
+    )
+
+
+def _due(followed: DataFrame, delay_seconds: int) -> DataFrame:
+    return followed.filter("next_us IS NULL").select(
         "resource_version",
         "owner",
         F.col("us").alias("failed_us"),
@@ -87,8 +97,11 @@ def eventually(
     """
     left = steps.withColumn("us", micros(F.col("ts")))
     right = met.withColumn("us", micros(F.col("ts")))
-    waited = first_following(left, right, "owner", timeout_seconds, strictly=False)
-    return waited.select(
+    return _waited(first_following(left, right, "owner", timeout_seconds, strictly=False))
+
+
+def _waited(followed: DataFrame) -> DataFrame:
+    return followed.select(
         "resource_version",
         "owner",
         F.when(F.col("next_us").isNull(), "timeout").otherwise("pass").alias("result"),
@@ -97,46 +110,101 @@ def eventually(
 
 
 def heartbeat_slots(
-    heartbeats: DataFrame, period_seconds: int = PROBE_PERIOD_SECONDS, lateness: str = "1 hour"
+    heartbeats: DataFrame, period_seconds: int = PROBE_PERIOD_SECONDS
 ) -> DataFrame:
-    """(owner, slot_start, first_ts): periods in which an owner was heard of."""
-    if heartbeats.isStreaming:
-        heartbeats = heartbeats.withWatermark("ts", lateness)
-    return (
-        heartbeats.groupBy("owner", F.window("ts", f"{period_seconds} seconds"))
-        .agg(F.min("ts").alias("first_ts"))
-        .select("owner", F.col("window.start").alias("slot_start"), "first_ts")
+    """(owner, slot, first_us, last_us): the numbered periods in which an owner was heard
+    of, one row per owner and period, however many heartbeats there were."""
+    us = micros(F.col("ts"))
+    slot = F.floor(us / (period_seconds * _MICROS)).cast("bigint")
+    return heartbeats.groupBy("owner", slot.alias("slot")).agg(
+        F.min(us).alias("first_us"), F.max(us).alias("last_us")
     )
 
 
+def _first_tick(first_us: Column, delay_seconds: int, period: int) -> Column:
+    """The first period that begins after the first heartbeat and the initial delay."""
+    return F.ceil((first_us + delay_seconds * _MICROS) / period).cast("bigint")
+
+
+def _ticks(gaps: DataFrame) -> DataFrame:
+    """(owner, tick) for every tick from ``start`` to ``end``; a long silence is cut
+    into chunks first, so no row holds all of it."""
+    chunks = gaps.filter("start <= end").select(
+        "owner",
+        "start",
+        "end",
+        F.explode(F.expr(f"sequence(start div {_CHUNK}, end div {_CHUNK})")).alias("chunk"),
+    )
+    first = F.greatest("start", F.col("chunk") * _CHUNK)
+    last = F.least("end", F.col("chunk") * _CHUNK + (_CHUNK - 1))
+    return chunks.select("owner", F.explode(F.sequence(first, last)).alias("tick"))
+
+
 def missed_ticks(
     slots: DataFrame,
     delay_seconds: int = PROBE_INITIAL_DELAY_SECONDS,
     period_seconds: int = PROBE_PERIOD_SECONDS,
+    horizon_us: int | None = None,
 ) -> DataFrame:
-    """(owner, tick_s): expected ticks without a heartbeat, up to the owner's last.
+    """(owner, tick_s): expected ticks without a heartbeat, up to the last period that
+    ended at ``horizon_us``, by default the newest heartbeat of all owners.
 
-    The first tick is the first period that begins after the first heartbeat and the
-    initial delay.  ``slots`` has at most one row per owner and period, however many
-    heartbeats there were, so the window over an owner is short.
+    So an owner that falls silent is missed until then.  Silences within a stretch of
+    periods are found there; the stretches of an owner, far fewer than its periods, are
+    then compared with each other, and no window spans all periods of an owner.
     """
     period = period_seconds * _MICROS
-    numbered = slots.select(
+    stretch = F.floor(F.col("slot") / _CHUNK).cast("bigint")
+    numbered = slots.withColumn("stretch", stretch)
+    bounds = numbered.groupBy("owner", "stretch").agg(
+        F.min("slot").alias("low"), F.max("slot").alias("high"), F.min("first_us").alias("first_us")
+    )
+    newest = (
+        slots.agg(F.max("last_us").alias("us")).scalar()
+        if horizon_us is None
+        else F.lit(horizon_us)
+    )
+    horizon = F.floor(newest / period).cast("bigint")
+    by_owner, in_order = Window.partitionBy("owner"), Window.partitionBy("owner").orderBy("stretch")
+    known = bounds.select(
+        "owner",
+        "stretch",
+        "low",
+        "high",
+        _first_tick(F.min("first_us").over(by_owner), delay_seconds, period).alias("begin"),
+        F.lag("high").over(in_order).alias("before"),
+        F.lead("low").over(in_order).isNull().alias("last"),
+    )
+    between = known.filter("before IS NOT NULL").select(
         "owner",
-        F.floor(micros(F.col("slot_start")) / period).cast("bigint").alias("slot"),
-        micros(F.col("first_ts")).alias("us"),
+        F.greatest("begin", F.col("before") + 1).alias("start"),
+        (F.col("low") - 1).alias("end"),
     )
-    per_owner = Window.partitionBy("owner").orderBy("slot")
-    first_us = F.first("us").over(per_owner)
-    begin = F.ceil((first_us + delay_seconds * _MICROS) / period).cast("bigint")
-    gaps = numbered.select(
-        "owner", "slot", begin.alias("begin"), F.lag("slot").over(per_owner).alias("before")
+    silent = known.filter("last").select(
+        "owner",
+        F.greatest("begin", F.col("high") + 1).alias("start"),
+        (horizon - 1).alias("end"),
     )
-    start, end = F.greatest("begin", F.col("before") + 1), F.col("slot") - 1
-    missed = gaps.filter(start <= end).select(
-        "owner", F.explode(F.sequence(start, end)).alias("tick")
+    within = (
+        numbered.select(
+            "owner",
+            "stretch",
+            "slot",
+            F.lag("slot")
+            .over(Window.partitionBy("owner", "stretch").orderBy("slot"))
+            .alias("previous"),
+        )
+        .filter("previous < slot - 1")
+        .join(known.select("owner", "stretch", "begin"), ["owner", "stretch"])
+        .select(
+            "owner",
+            F.greatest("begin", F.col("previous") + 1).alias("start"),
+            (F.col("slot") - 1).alias("end"),
+        )
     )
-    return missed.select("owner", (F.col("tick") * period_seconds).alias("tick_s"))
+    gaps = between.unionByName(silent).unionByName(within)
+    ticks = _ticks(gaps.withColumn("end", F.least("end", horizon - 1)))
+    return ticks.select("owner", (F.col("tick") * period_seconds).alias("tick_s"))
 
 
 def liveness(
@@ -144,25 +212,100 @@ def liveness(
     delay_seconds: int = PROBE_INITIAL_DELAY_SECONDS,
     period_seconds: int = PROBE_PERIOD_SECONDS,
 ) -> DataFrame:
-    return missed_ticks(
-        heartbeat_slots(heartbeats, period_seconds), delay_seconds, period_seconds
-    )
+    return missed_ticks(heartbeat_slots(heartbeats, period_seconds), delay_seconds, period_seconds)
+
+
+class Ledger:
+    """What a stream keeps between its micro-batches, as tables below one folder.
+
+    A batch reads the tables of the batch before and writes its own, whole.  A batch that
+    runs again reads and writes the same, so nothing is lost or doubled.  ``seen_us`` is
+    the newest time of the batches before, ``passed_us`` what the watermark makes of it.
+    """
+
+    def __init__(self, batch: DataFrame, batch_id: int, target: str, lateness_seconds: int):
+        self.spark, self.batch_id, self.target = batch.sparkSession, batch_id, target
+        self.rows = batch.withColumn("us", micros(F.col("ts")))
+        before = self.read("clock", "us bigint").agg(F.max("us")).first()[0]
+        newest = self.rows.agg(F.max("us")).first()[0]
+        times = [t for t in (before, newest) if t is not None]
+        self.now = max(times) if times else None
+        late = lateness_seconds * _MICROS
+        self.passed_before = None if before is None else before - late
+        self.passed = None if self.now is None else self.now - late
+        if self.passed_before is not None:
+            self.rows = self.rows.filter(F.col("us") >= self.passed_before)
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        if self.batch_id == 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.target}/{name}/{self.batch_id - 1}")
+
+    def write(self, name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.target}/{name}/{self.batch_id}")
+
+    def emit(self, df: DataFrame) -> None:
+        self.write("rows", df)
 
+    def close(self) -> None:
+        """Last, so that a batch that failed before does not move the clock."""
+        self.write("clock", self.spark.createDataFrame([(self.now,)], "us bigint"))
 
-def _search(strictly: bool):
-    """Per row: for each time of an array the first of a second array that follows."""
-    side = "right" if strictly else "left"
 
-    @F.pandas_udf("array<bigint>")
-    def first_after(times: pd.Series, candidates: pd.Series) -> pd.Series:
-        found = []
-        for left, right in zip(times, candidates):
-            ordered = np.sort(np.asarray(right, dtype="int64"))
-            at = np.searchsorted(ordered, np.asarray(left, dtype="int64"), side=side)
-            found.append([int(ordered[i]) if i < len(ordered) else None for i in at])
-        return pd.Series(found, dtype="object")
+def emitted(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """All rows the batches of a stream at ``target`` have emitted."""
+    return spark.read.schema(schema).parquet(f"{target}/rows/*")
 
-    return first_after
+
+def liveness_stream(
+    heartbeats: DataFrame,
+    target: str,
+    checkpoint: str,
+    delay_seconds: int = PROBE_INITIAL_DELAY_SECONDS,
+    period_seconds: int = PROBE_PERIOD_SECONDS,
+    lateness_seconds: int = 3600,
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
+    """``liveness`` for a stream: a batch emits (owner, tick_s) for the periods the
+    watermark has passed since the batch before, also of owners it hears nothing from.
+
+    Kept are the first heartbeat of each owner and the periods not yet passed.
+    """
+    period = period_seconds * _MICROS
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        ledger = Ledger(batch, batch_id, target, lateness_seconds)
+        slot = F.floor(F.col("us") / period).cast("bigint")
+        owners = (
+            ledger.read("owners", "owner string, first_us bigint")
+            .unionByName(ledger.rows.select("owner", F.col("us").alias("first_us")))
+            .groupBy("owner")
+            .agg(F.min("first_us").alias("first_us"))
+        )
+        heard = (
+            ledger.read("heard", "owner string, slot bigint")
+            .unionByName(ledger.rows.select("owner", slot.alias("slot")))
+            .distinct()
+        )
+        ledger.write("owners", owners)
+        if ledger.now is None:
+            ledger.write("heard", heard)
+            ledger.emit(ledger.spark.createDataFrame([], "owner string, tick_s bigint"))
+        else:
+            horizon = ledger.passed // period
+            ledger.write("heard", heard.filter(F.col("slot") >= horizon))
+            known = ledger.spark.read.parquet(f"{target}/owners/{batch_id}")
+            start = _first_tick(F.col("first_us"), delay_seconds, period)
+            if ledger.passed_before is not None:
+                start = F.greatest(start, F.lit(ledger.passed_before // period))
+            due = _ticks(known.select("owner", start.alias("start"), F.lit(horizon - 1).alias("end")))
+            missed = due.join(heard.withColumnRenamed("slot", "tick"), ["owner", "tick"], "left_anti")
+            ledger.emit(missed.select("owner", (F.col("tick") * period_seconds).alias("tick_s")))
+        ledger.close()
+        batch.unpersist()
+
+    return start(heartbeats, apply, checkpoint, trigger=trigger)
 
 
 def first_following_stream(
@@ -171,63 +314,78 @@ def first_following_stream(
     right: Column,
     within_seconds: int,
     strictly: bool,
-    lateness: str,
-) -> DataFrame:
-    """``first_following`` for a stream in which ``left`` and ``right`` mark the rows.
-
-    A sliding window of twice the interval, moved by the interval, sees every left row
-    of its first half together with all that can follow in time.  Its times are kept
-    until the watermark has passed it; then the window is answered by one search.  So
-    state holds times rather than pairs, one owner's times are spread over its windows,
-    and a left row is emitted once, with or without a follower.
+    target: str,
+    checkpoint: str,
+    finish: Callable[[DataFrame], DataFrame],
+    lateness_seconds: int = 3600,
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
+    """``first_following`` for a stream in which ``left`` and ``right`` mark the rows;
+    ``finish`` makes of its result what is emitted.
+
+    A left row waits until the watermark has passed the end of its interval; then nothing
+    that could follow it is still to come, and the batch form answers it, once.  Kept are
+    the rows that wait, and the right rows that may still be the first to follow one.
     """
-    width, slide = f"{2 * within_seconds} seconds", f"{within_seconds} seconds"
     span = within_seconds * _MICROS
-    item = F.struct(micros(F.col("ts")).alias("us"), F.col("resource_version"))
-    windows = (
-        watch.withWatermark("ts", lateness)
-        .groupBy("owner", F.window("ts", width, slide))
-        .agg(
-            F.collect_list(F.when(left, item)).alias("lefts"),
-            F.collect_list(F.when(right, micros(F.col("ts")))).alias("rights"),
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        ledger = Ledger(batch, batch_id, target, lateness_seconds)
+        waiting = ledger.read("waiting", "resource_version bigint, owner string, us bigint")
+        waiting = waiting.unionByName(
+            ledger.rows.filter(left).select("resource_version", "owner", "us")
+        ).distinct()
+        rights = ledger.read("rights", "owner string, us bigint").unionByName(
+            ledger.rows.filter(right).select("owner", "us")
         )
-        .withColumn("half", micros(F.col("window.start")) + span)
-        .withColumn("lefts", F.expr("filter(lefts, e -> e.us < half)"))
-        .filter(F.size("lefts") > 0)
-    )
-    searched = windows.withColumn("found", _search(strictly)(F.col("lefts.us"), F.col("rights")))
-    rows = searched.select("owner", F.inline(F.arrays_zip("lefts", "found")))
-    next_us = F.when(F.col("found") - F.col("lefts.us") <= span, F.col("found"))
-    return rows.select("owner", "lefts.resource_version", "lefts.us", next_us.alias("next_us"))
+        passed = -(1 << 62) if ledger.passed is None else ledger.passed
+        answered = F.col("us") + span <= passed
+        ledger.write("waiting", waiting.filter(~answered))
+        ledger.write("rights", rights.filter(F.col("us") + span > passed).distinct())
+        found = first_following(waiting.filter(answered), rights, "owner", within_seconds, strictly)
+        ledger.emit(finish(found))
+        ledger.close()
+        batch.unpersist()
+
+    return start(watch, apply, checkpoint, trigger=trigger)
+
+
+DUE = "resource_version bigint, owner string, failed_us bigint, due_us bigint"
 
 
 def retry_due_stream(
-    watch: DataFrame, delay_seconds: int = RETRY_DELAY_SECONDS, lateness: str = "1 hour"
-) -> DataFrame:
+    watch: DataFrame,
+    target: str,
+    checkpoint: str,
+    delay_seconds: int = RETRY_DELAY_SECONDS,
+    lateness_seconds: int = 3600,
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
     """``retry_due`` for a stream: a failure is emitted once the watermark says that no
     success can come first any more."""
     failed, succeeded = F.col("change") == "ERROR", F.col("change") != "ERROR"
-    pending = first_following_stream(watch, failed, succeeded, delay_seconds, True, lateness)
-    return pending.filter("next_us IS NULL").select(
-        "resource_version",
-        "owner",
-        F.col("us").alias("failed_us"),
-        (F.col("us") + delay_seconds * _MICROS).alias("due_us"),
+    return first_following_stream(
+        watch, failed, succeeded, delay_seconds, True, target, checkpoint,
+        lambda found: _due(found, delay_seconds), lateness_seconds, trigger,
     )
 
 
+WAITED = "resource_version bigint, owner string, result string, waited_us bigint"
+
+
 def eventually_stream(
     watch: DataFrame,
     step: Column,
     met: Column,
+    target: str,
+    checkpoint: str,
     timeout_seconds: int = EXPECTATION_TIMEOUT_SECONDS,
-    lateness: str = "1 hour",
-) -> DataFrame:
+    lateness_seconds: int = 3600,
+    trigger: Mapping[str, object] = ONCE,
+) -> StreamingQuery:
     """``eventually`` for a stream in which ``step`` and ``met`` mark the rows."""
-    waited = first_following_stream(watch, step, met, timeout_seconds, False, lateness)
-    return waited.select(
-        "resource_version",
-        "owner",
-        F.when(F.col("next_us").isNull(), "timeout").otherwise("pass").alias("result"),
-        (F.col("next_us") - F.col("us")).alias("waited_us"),
+    return first_following_stream(
+        watch, step, met, timeout_seconds, False, target, checkpoint,
+        _waited, lateness_seconds, trigger,
     )

@@ -56,16 +56,54 @@ def test_eventually_against_brute_force(spark):
     assert {r.resource_version: r.waited_us for r in got.collect()} == want
 
 
-def test_liveness_against_brute_force(spark):
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_liveness_against_brute_force(spark, monkeypatch, chunk):
     rows, df = events(spark, seed=5)
+    rows.append((601, rows[0][1], "c-silent", "Service", "ADDED", None, 1.0))  # once, then never
+    df = df.unionByName(df.filter("resource_version = 0").withColumn("owner", F.lit("c-silent")))
     period, delay, want = 10, 10, set()
+    newest = max(r[1] for r in rows)
     for owner in {r[2] for r in rows}:
         times = [r[1] for r in rows if r[2] == owner]
         slots = {t // period for t in times}
         first = -(-(min(times) + delay) // period)
-        want |= {(owner, s * period) for s in range(first, max(slots) + 1) if s not in slots}
-    got = timing.liveness(df, delay, period)
-    assert {(r.owner, r.tick_s) for r in got.collect()} == want
+        want |= {(owner, s * period) for s in range(first, newest // period) if s not in slots}
+    monkeypatch.setattr(timing, "_CHUNK", chunk)
+    got = timing.liveness(df, delay, period).collect()
+    assert {(r.owner, r.tick_s) for r in got} == want and len(got) == len(want)
+
+
+def test_time_rules_of_streams_in_many_batches(spark, tmp_path):
+    """The rows in order of time, in files of one batch each, some delivered twice."""
+    rows, df = events(spark, seed=6)
+    ordered = df.orderBy("ts").collect()
+    for i in range(0, len(ordered), 150):
+        part = ordered[i : i + 150] + ordered[max(0, i - 5) : i]
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late = 20
+    passed = (max(r[1] for r in rows) - late) * 1_000_000
+
+    def stream():
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def ran(name, start, *args, schema, **options):
+        target = str(tmp_path / name)
+        query = start(stream(), *args, target, f"{target}-cp", *options.values(), lateness_seconds=late)
+        query.awaitTermination()
+        return sorted(map(tuple, timing.emitted(spark, target, schema).collect()))
+
+    due = ran("due", timing.retry_due_stream, schema=timing.DUE, delay=5)
+    assert len(set(due)) == len(due)
+    want = [tuple(r) for r in timing.retry_due(df, 5).collect() if r.due_us <= passed]
+    assert due == sorted(want)
+    step, met = F.col("change") == "ADDED", F.col("kind") == "StatefulSet"
+    waited = ran("waited", timing.eventually_stream, step, met, schema=timing.WAITED, timeout=30)
+    at = {r[0]: r[1] for r in rows}
+    want = timing.eventually(df.filter(step), df.filter(met), 30).collect()
+    assert sorted(set(waited)) == sorted(tuple(r) for r in want if (at[r[0]] + 30) * 1_000_000 <= passed)
+    ticks = ran("ticks", timing.liveness_stream, schema="owner string, tick_s bigint", delay=10, period=10)
+    slots = timing.heartbeat_slots(df, 10)
+    assert ticks == sorted(map(tuple, timing.missed_ticks(slots, 10, 10, passed).collect()))
 
 
 def files(path, rows, parts):
