@@ -222,6 +222,15 @@ class Catalog:
         """One row per (prop, role) that implies something: the implied properties."""
         return self._frozen("implied_by_trigger", self._implied_by_trigger)
 
+    def implied_by_role(self) -> DataFrame:
+        """One row per role: property to the properties it implies, as a map."""
+        return self._frozen("implied_by_role", self._implied_by_role)
+
+    def is_small(self, table: Callable[[], DataFrame], name: str) -> bool:
+        """Whether a derived table turned out small; works it out if need be."""
+        table()
+        return name in self._small
+
     def _definitions(self) -> DataFrame:
         roles = self.property_role.groupBy("prop").agg(F.collect_set("role").alias("roles"))
         patterns = self.unit.select("unit", java_pattern_of(F.col("regex")).alias("pattern"))
@@ -331,3 +340,8 @@ class Catalog:
             .groupBy("prop", "role")
             .agg(F.collect_list(entry).alias("implied_props"))
         )
+
+    def _implied_by_role(self) -> DataFrame:
+        entry = F.struct("prop", F.col("implied_props").cast(PROPERTY_STRUCT))
+        implied = F.map_from_entries(F.collect_list(entry)).alias("implied")
+        return self.implied_by_trigger().groupBy("role").agg(implied)

@@ -159,18 +159,6 @@ def override_properties(role_groups: DataFrame) -> DataFrame:
     return rows.filter("value IS NOT NULL")
 
 
-def spread_role_overrides(overrides: DataFrame, role_groups: DataFrame) -> DataFrame:
-    """Gives an override of a whole role (``role_group`` NULL) to every group of it."""
-    of_group = overrides.filter("role_group IS NOT NULL").select(
-        *KEY, "layer", "file", "prop", "value"
-    )
-    of_role = overrides.filter("role_group IS NULL").drop("role_group")
-    spread = of_role.join(role_groups.select(*KEY), ["cluster_id", "role"]).select(
-        *KEY, "layer", "file", "prop", "value"
-    )
-    return of_group.unionByName(spread)
-
-
 def merge_layers(long: DataFrame, keys: Sequence[str] = (*KEY, "file", "prop")) -> DataFrame:
     """The value of the highest layer for each key, and that layer.
 

@@ -164,6 +164,11 @@ def merge_and_check(long: DataFrame, catalog: Catalog) -> DataFrame:
         )
         .select(*KEY, "file", "prop", "version_rank", "top.layer", "top.value")
     )
+    return check_merged(merged, catalog)
+
+
+def check_merged(merged: DataFrame, catalog: Catalog) -> DataFrame:
+    """Merged properties (K, version_rank, file, prop, layer, value) with their ``status``."""
     layer = F.when(F.col("layer") != LAYER_MISSING, F.col("layer"))
     return (
         match_catalog(merged, catalog)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +17,9 @@ from muster.operators.properties import (
     derived_array,
     override_array,
     property_struct,
-    spread_role_overrides,
 )
 from muster.operators.validation import (
+    check_merged,
     expand_implied,
     merge_and_check,
     with_fills,
@@ -35,33 +35,87 @@ def _versioned(clusters: DataFrame) -> DataFrame:
     )
 
 
-def items_of(clusters: DataFrame, role_groups: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Role groups, and overrides spread to their role groups (``override`` set), all
-    with the columns of their cluster and in the partition of their K.
-
-    The join is on the cluster, and its partitioning would do for all that follows.
-    But then a cluster with a third of all role groups would stay in one task.  A
-    shuffle on K, while rows are few and narrow, spreads it over its role groups, and
-    lets the adaptive skew split take the join apart.  Aggregations over
-    (K, file, prop) need no other.
+def group_rows(
+    clusters: DataFrame, role_groups: DataFrame, overrides: DataFrame
+) -> DataFrame:
+    """Role groups with the columns of their cluster and all their overrides, as one array
+    ``overrides``: those of the group and those of its whole role.
+
+    Overrides become one row per group, and one per role of a cluster, before they are
+    joined, so what is shuffled is narrow and no larger than the overrides themselves.
+    The join on K comes last: it spreads a cluster with very many role groups, which the
+    joins on the cluster bring together, and there the adaptive skew split can help.
+    Nothing multiplies before the last step, which is within the row.
     """
-    groups = role_groups.withColumn(
-        "override", F.lit(None).cast("struct<layer:int,file:string,prop:string,value:string>")
-    )
-    spread = spread_role_overrides(overrides, role_groups).select(
-        *KEY,
-        property_struct(*[F.col(c) for c in ("layer", "file", "prop", "value")]).alias("override"),
+    entry = property_struct(*[F.col(c) for c in ("layer", "file", "prop", "value")])
+    together = F.collect_list(entry).cast(PROPERTY_STRUCT)
+    of_group = overrides.filter("role_group IS NOT NULL").groupBy(*KEY)
+    of_role = overrides.filter("role_group IS NULL").groupBy("cluster_id", "role")
+    none = F.array().cast(PROPERTY_STRUCT)
+    return (
+        role_groups.join(_versioned(clusters), "cluster_id")
+        .join(of_role.agg(together.alias("of_role")), ["cluster_id", "role"], "left")
+        .join(of_group.agg(together.alias("of_group")), KEY, "left")
+        .withColumn(
+            "overrides", F.concat(F.coalesce("of_group", none), F.coalesce("of_role", none))
+        )
+        .drop("of_group", "of_role")
     )
-    items = groups.unionByName(spread, allowMissingColumns=True)
-    return items.join(_versioned(clusters), "cluster_id").repartition(*KEY)
 
 
-def _rows(items: DataFrame, own: Column) -> DataFrame:
-    """One row per property of ``items``: its override, or those of ``own``."""
-    rows = F.when(F.col("override").isNull(), own).otherwise(
-        F.array("override").cast(PROPERTY_STRUCT)
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, also where ``body`` loops over it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _highest(items: Column) -> Column:
+    """Of an array of (layer, file, prop, value) the highest layer of each (file, prop)."""
+
+    def last_of_each(e: Column) -> Column:
+        size = F.size(e)
+
+        def is_last(x: Column, i: Column) -> Column:
+            after = e[F.least(i + 1, size - 1)]
+            return (i == size - 1) | (x["file"] != after["file"]) | (x["prop"] != after["prop"])
+
+        return F.filter(e, is_last)
+
+    in_order = F.array_sort(
+        F.transform(items, lambda e: F.struct(e["file"], e["prop"], e["layer"], e["value"]))
     )
-    return items.select(*KEY, "version_rank", F.inline(rows))
+    return _once(in_order, last_of_each)
+
+
+def _set_or_missing(items: Column) -> Column:
+    """What a rule or an override leaves unset is no property; only a required one
+    without a value stays, to be reported."""
+    return F.filter(items, lambda e: e["value"].isNotNull() | (e["layer"] == LAYER_MISSING))
+
+
+def merged_in_rows(
+    groups: DataFrame, own: Column, catalog: Catalog, imply: bool = False
+) -> DataFrame:
+    """(K, version_rank, file, prop, layer, value): the highest layer of each property of
+    ``own``, an array of all layers, and (``imply``) of what they imply.
+
+    The rows of a role group stay one row until its layers are merged: no shuffle, and no
+    sort but of a short array.
+    """
+    items = _set_or_missing(own)
+    if imply:
+        implied = catalog.side(catalog.implied_by_role(), "implied_by_role")
+        groups = groups.join(implied, "role", "left")
+        none = F.array().cast(PROPERTY_STRUCT)
+
+        def with_implied(e: Column) -> Column:
+            more = F.transform(
+                F.filter(e, lambda x: x["value"].isNotNull()),
+                lambda x: F.coalesce(F.try_element_at(F.col("implied"), x["prop"]), none),
+            )
+            return F.concat(e, F.flatten(more))
+
+        items = _once(items, with_implied)
+    return groups.select(*KEY, "version_rank", F.inline(_highest(items)))
 
 
 def property_layers(
@@ -71,8 +125,52 @@ def property_layers(
     rules: Sequence[Rule] = RULES,
 ) -> DataFrame:
     """(K, version_rank, layer, file, prop, value): derived properties and overrides."""
-    items = items_of(clusters, role_groups, overrides)
-    return _rows(items, derived_array(rules)).filter("value IS NOT NULL")
+    groups = group_rows(clusters, role_groups, overrides)
+    items = F.concat(derived_array(rules), F.col("overrides"))
+    return groups.select(*KEY, "version_rank", F.inline(items)).filter("value IS NOT NULL")
+
+
+def merged_layers(
+    clusters: DataFrame,
+    role_groups: DataFrame,
+    overrides: DataFrame,
+    catalog: Catalog,
+    rules: Sequence[Rule] = RULES,
+) -> DataFrame:
+    """(K, version_rank, file, prop, layer, value): the winning layer of each property."""
+    groups = group_rows(clusters, role_groups, overrides)
+    return merged_in_rows(groups, F.concat(derived_array(rules), F.col("overrides")), catalog)
+
+
+def validated_layers(
+    clusters: DataFrame,
+    role_groups: DataFrame,
+    overrides: DataFrame,
+    catalog: Catalog,
+    rules: Sequence[Rule] = RULES,
+) -> DataFrame:
+    """(K, file, prop, value, layer, status) of every property that is set, and a row for
+    each required one that is not.  What a role must have joins the row's layers below all
+    others, so merging finds what is absent."""
+    groups = with_fills(group_rows(clusters, role_groups, overrides), catalog)
+    nothing = F.lit(None).cast("string")
+    wanted = F.transform(
+        "fills", lambda e: property_struct(F.lit(LAYER_MISSING), e["file"], e["prop"], nothing)
+    )
+    own = F.concat(derived_array(rules), F.col("overrides"), wanted.cast(PROPERTY_STRUCT))
+    return check_merged(merged_in_rows(groups, own, catalog), catalog)
+
+
+def absent_required(
+    clusters: DataFrame,
+    role_groups: DataFrame,
+    overrides: DataFrame,
+    catalog: Catalog,
+    rules: Sequence[Rule] = RULES,
+) -> DataFrame:
+    """Required (K, file, prop) that nothing sets."""
+    checked = validated_layers(clusters, role_groups, overrides, catalog, rules)
+    return checked.filter("layer IS NULL").select(*KEY, "file", "prop")
 
 
 def effective_config(
@@ -84,34 +182,31 @@ def effective_config(
 ) -> DataFrame:
     """(K, file, prop, value, layer, status).
 
-    Role groups and overrides go through one union to one join with their cluster.
-    Each role-group row then yields its derived properties and, below them, the
-    values to fill in if nothing else sets them; each row also yields, below that,
-    what it implies.  One aggregation over (K, file, prop) keeps the highest layer.
-    Filling in and implying thus need no anti-join of their own, and nothing is
-    shuffled after rows multiply.
+    A role group's derived properties, its overrides and, below them, the values to fill
+    in if nothing else sets them, are arrays of its row; so is, below those, what they
+    imply.  Layers are merged within the row, so filling in and implying need no
+    anti-join, and nothing is shuffled or sorted after rows multiply.
     """
-    items = with_fills(items_of(clusters, role_groups, overrides), catalog)
-    own = F.concat(derived_array(rules), F.col("fills"))
-    return _resolve(_rows(items, own), catalog)
+    return _effective(group_rows(clusters, role_groups, overrides), F.col("overrides"), catalog, rules)
 
 
-def _resolve(long: DataFrame, catalog: Catalog) -> DataFrame:
-    # What a rule or an override leaves unset is no property; only a required one
-    # without a value stays, to be reported.
-    set_or_missing = long.filter(F.col("value").isNotNull() | (F.col("layer") == LAYER_MISSING))
-    expanded = expand_implied(set_or_missing, catalog, keep=["version_rank"])
-    return merge_and_check(expanded, catalog)
+def _effective(
+    groups: DataFrame, overrides: Column, catalog: Catalog, rules: Sequence[Rule]
+) -> DataFrame:
+    own = F.concat(derived_array(rules), F.col("fills"), overrides)
+    filled = with_fills(groups, catalog)
+    if catalog.is_small(catalog.implied_by_role, "implied_by_role"):
+        return check_merged(merged_in_rows(filled, own, catalog, imply=True), catalog)
+    # What a very large catalog implies does not fit a row of it: joined property by property.
+    rows = filled.select(*KEY, "version_rank", F.inline(_set_or_missing(own)))
+    return merge_and_check(expand_implied(rows, catalog, keep=["version_rank"]), catalog)
 
 
 def effective_config_of_specs(specs: DataFrame, catalog: Catalog) -> DataFrame:
     """The same, straight from spec documents.
 
-    A document holds its cluster, role groups and overrides, so everything up to the
-    aggregation happens inside its row; only the aggregation shuffles.
+    A document holds its cluster, role groups and overrides, so everything happens inside
+    its row, and nothing is shuffled.
     """
     groups = with_product_version(flatten_role_groups(specs).filter("version IS NOT NULL"))
-    rules = (*RULES, *ROLE_LEVEL_RULES)
-    rows = F.concat(derived_array(rules), F.col("fills"), override_array())
-    long = with_fills(groups, catalog).select(*KEY, "version_rank", F.inline(rows))
-    return _resolve(long, catalog)
+    return _effective(groups, override_array(), catalog, (*RULES, *ROLE_LEVEL_RULES))

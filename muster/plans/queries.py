@@ -77,10 +77,10 @@ def _layers(fleet: Fleet) -> DataFrame:
 
 
 def _merged(fleet: Fleet) -> DataFrame:
-    """The winning layer of each property; a role group has one version, so grouping by
-    its rank as well just carries it along."""
-    keys = [*KEY, "version_rank", "file", "prop"]
-    return properties.merge_layers(_layers(fleet), keys)
+    """The winning layer of each property."""
+    return effective.merged_layers(
+        fleet.clusters(), fleet.role_groups(), fleet.overrides(), _catalog(fleet)
+    )
 
 
 def _effective(fleet: Fleet) -> DataFrame:
@@ -104,12 +104,14 @@ def effective_status(fleet: Fleet) -> DataFrame:
 
 @query
 def merge_layers(fleet: Fleet) -> DataFrame:
-    return _merged(fleet).drop("version_rank")
+    return properties.merge_layers(_layers(fleet))
 
 
 @query
 def validate(fleet: Fleet) -> DataFrame:
-    return validation.validate(_layers(fleet), _versioned_groups(fleet), _catalog(fleet))
+    return effective.validated_layers(
+        fleet.clusters(), fleet.role_groups(), fleet.overrides(), _catalog(fleet)
+    )
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -356,9 +358,8 @@ def values_for_version(fleet: Fleet) -> DataFrame:
 
 @query
 def missing_required(fleet: Fleet) -> DataFrame:
-    groups = _versioned_groups(fleet)
-    return validation.missing_required(groups, _layers(fleet), _catalog(fleet)).select(
-        *KEY, "file", "prop"
+    return effective.absent_required(
+        fleet.clusters(), fleet.role_groups(), fleet.overrides(), _catalog(fleet)
     )
 
 

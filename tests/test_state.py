@@ -168,7 +168,7 @@ def test_expectations_of_the_two_steps(spark):
 
 def test_a_cluster_with_a_third_of_all_role_groups(spark, catalog):
     """The hot cluster's result is whole, and its rows end up in many partitions."""
-    from muster.plans.effective import effective_config, items_of
+    from muster.plans.effective import effective_config, group_rows
     from test_config import CLUSTER, GROUP, OVERRIDE
 
     n = 3000
@@ -192,7 +192,7 @@ def test_a_cluster_with_a_third_of_all_role_groups(spark, catalog):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         parts = (
-            items_of(clusters, rgs, hot_override).filter("cluster_id = 0")
+            group_rows(clusters, rgs, hot_override).filter("cluster_id = 0")
             .groupBy(F.spark_partition_id()).count().count()
         )
     finally:
