@@ -19,9 +19,11 @@ from muster.llm import (
     shard,
     simhash,
 )
+from muster.llm.oracles import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+# Hashes XXH64 has, trained models and tokenizers are beyond SQL; the tests have brute force.
+ORACLES: dict[str, str] = oracles()
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable:

@@ -5,7 +5,9 @@ import re
 import zlib
 
 import numpy as np
+import oracle
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -24,6 +26,12 @@ def test_one_query_for_each_operator():
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_against_its_sql(spark, name):
+    con = oracle.connect(FOLDER)
+    assert oracle.differences(QUERIES[name](spark, FOLDER), con, ORACLES[name]) == []
+
+
 def test_queries_run_on_the_smallest_tables(spark):
     columns = {
         "op1_multi_index_hashing": {"query_id", "rank", "vec_id", "score"},
