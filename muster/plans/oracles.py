@@ -554,11 +554,19 @@ SELECT owner, resource_version, kind, change FROM (
   SELECT *, row_number() OVER (PARTITION BY owner ORDER BY resource_version DESC) AS rn
   FROM v_watch) WHERE rn = 1""",
         "reconcile_stream": f"""
-SELECT g.cluster_id, g.role, g.role_group,
-  CASE WHEN coalesce(stopped, false) THEN 0 ELSE replicas END AS desired_replicas,
-  (SELECT sha256(string_agg({_RECORD}, '' ORDER BY {_RECORD})) FROM v_effective e WHERE e.cluster_id = g.cluster_id
-     AND e.role = g.role AND e.role_group = g.role_group) AS fingerprint
-FROM v_group g WHERE g.cluster IN (SELECT owner FROM v_watch)""",
+SELECT {_K}, desired_replicas, fingerprint,
+  CASE WHEN o.seen IS NULL THEN 'create' ELSE 'update' END AS action
+FROM (SELECT {_K}, CASE WHEN coalesce(stopped, false) THEN 0 ELSE replicas END AS desired_replicas,
+        (SELECT sha256(string_agg({_RECORD}, '' ORDER BY {_RECORD})) FROM v_effective e
+         WHERE e.cluster_id = g.cluster_id AND e.role = g.role AND e.role_group = g.role_group)
+          AS fingerprint
+      FROM v_group g WHERE g.cluster IN (SELECT owner FROM v_watch))
+LEFT JOIN (SELECT {_K}, observed_replicas, true AS seen FROM v_observed) o USING ({_K})
+WHERE o.seen IS NULL OR desired_replicas <> observed_replicas""",
+        "reconcile_errors": """
+SELECT cluster AS object, 'ObjectHasNoVersion' AS category,
+  concat('cannot use version none of ', cluster) AS message, max(epoch_us(ts)) AS time_us
+FROM v_cluster JOIN v_watch ON owner = cluster WHERE version IS NULL GROUP BY cluster""",
         "retry_due": f"""
 WITH f AS ({failures}), s AS (SELECT * FROM v_watch WHERE change <> 'ERROR')
 SELECT resource_version, owner, epoch_us(ts) AS failed_us,

@@ -675,18 +675,34 @@ def liveness_stream(fleet: Fleet) -> DataFrame:
     return timing.emitted(fleet.spark, root, "owner string, tick_s bigint")
 
 
-@query
-def reconcile_stream(fleet: Fleet) -> DataFrame:
+def _reconcile(fleet: Fleet) -> str:
     root = work_dir(fleet.spark, "reconcile")
     reconcile.reconcile_stream(
         _watch_stream(fleet),
         lambda: (fleet.clusters(), fleet.role_groups(), fleet.overrides()),
+        fleet.observed,
         _catalog(fleet),
         f"{root}/rows",
         f"{root}/checkpoint",
+        f"{root}/errors",
     ).awaitTermination()
-    return sinks.read_snapshot(fleet.spark, f"{root}/rows", KEY, ["reconciled_in"]).select(
-        *KEY, "desired_replicas", "fingerprint"
+    return root
+
+
+@query
+def reconcile_stream(fleet: Fleet) -> DataFrame:
+    rows = f"{_reconcile(fleet)}/rows"
+    return sinks.read_snapshot(fleet.spark, rows, KEY, ["reconciled_in"]).select(
+        *KEY, "desired_replicas", "fingerprint", "action"
+    )
+
+
+@query
+def reconcile_errors(fleet: Fleet) -> DataFrame:
+    """The last report of each cluster that could not be reconciled."""
+    errors = fleet.spark.read.parquet(f"{_reconcile(fleet)}/errors")
+    return errors.groupBy("object", "category", "message").agg(
+        F.unix_micros(F.max("time")).alias("time_us")
     )
 
 
