@@ -436,11 +436,11 @@ SELECT o.{_K.replace(", ", ", o.")}, o.file, o.prop, o.value, d.datatype, d.unit
   d.prop IS NOT NULL AS known,
   d.prop IS NOT NULL AND NOT EXISTS (SELECT 1 FROM property_role pr
      WHERE pr.prop = o.prop AND pr.role = o.role) AS wrong_role
-FROM v_override o LEFT JOIN v_def d ON d.prop = o.prop AND d.file = o.file""",
+FROM v_layers o LEFT JOIN v_def d ON d.prop = o.prop AND d.file = o.file""",
         "values_for_version": f"""
-SELECT {_K}, prop, value_kind, range_value, available FROM (
+SELECT {_K}, layer, prop, value_kind, range_value, available FROM (
   SELECT s.*, v.value_kind, v.value AS range_value, d.as_of_vk <= g.vk AS available
-  FROM v_spread s JOIN v_group g USING ({_K}) JOIN property_value v ON v.prop = s.prop
+  FROM v_layers s JOIN v_group g USING ({_K}) JOIN property_value v ON v.prop = s.prop
    AND {_rank("v.from_version")} <= g.vk
    AND (v.to_version IS NULL OR g.vk <= {_rank("v.to_version")})
   JOIN v_def d ON d.prop = s.prop)""",

@@ -15,7 +15,7 @@ from muster.functions.versions import bump, product_version, version_key
 from muster.operators import matrix, project, properties, render, selectors, state, validation
 from muster.plans import effective
 from muster.plans.bindings import Fleet
-from muster.schema import KEY, OVERRIDE_LAYERS, OWNED_KINDS, SCRAPE_LABEL
+from muster.schema import KEY, OWNED_KINDS, SCRAPE_LABEL
 from muster.session import work_dir
 from muster.sources import catalogs, sinks, specs
 from muster.streaming import latest, reconcile, timing
@@ -291,9 +291,13 @@ def image_ref(fleet: Fleet) -> DataFrame:
 
 @query
 def scrape_targets(fleet: Fleet) -> DataFrame:
-    services = _groups(fleet).withColumn(
-        "labels", F.create_map(F.lit(SCRAPE_LABEL), F.lit("true"))
+    """Services of role groups carry the label; those of the whole cluster do not."""
+    groups = _groups(fleet)
+    labelled = groups.withColumn("labels", F.create_map(F.lit(SCRAPE_LABEL), F.lit("true")))
+    plain = groups.filter("role = 'master'").withColumn(
+        "labels", F.create_map().cast("map<string,string>")
     )
+    services = labelled.unionByName(plain)
     return project.scrape_targets(services).select(*KEY, "target", "path")
 
 
@@ -342,17 +346,15 @@ def label_columns(fleet: Fleet) -> DataFrame:
 
 @query
 def match_catalog(fleet: Fleet) -> DataFrame:
-    return validation.match_catalog(fleet.overrides(), _catalog(fleet)).select(
+    return validation.match_catalog(_layers(fleet), _catalog(fleet)).select(
         *KEY, "file", "prop", "value", "datatype", "unit", "known", "wrong_role"
     )
 
 
 @query
 def values_for_version(fleet: Fleet) -> DataFrame:
-    overrides = F.col("layer").isin(OVERRIDE_LAYERS)
-    props = _layers(fleet).filter(overrides)
-    return validation.values_for_version(props, _catalog(fleet)).select(
-        *KEY, "prop", "value_kind", "range_value", "available"
+    return validation.values_for_version(_layers(fleet), _catalog(fleet)).select(
+        *KEY, "layer", "prop", "value_kind", "range_value", "available"
     )
 
 
