@@ -353,15 +353,14 @@ WHERE NOT s.is_null AND NOT EXISTS (
 SELECT layer, status, count(*) AS n FROM v_effective GROUP BY layer, status""",
         "merge_layers": "SELECT * FROM v_merged",
         "read_specs": """
-SELECT concat(c.cluster, '-', r.role, '-', r.role_group) AS cluster, c.namespace, c.version,
-       c.stopped, c.secret, c.max_port_retries
-FROM v_role_group r JOIN v_cluster c USING (cluster_id)""",
+SELECT cluster, namespace, version, stopped, secret, max_port_retries
+FROM v_cluster WHERE cluster_id IN (SELECT cluster_id FROM v_role_group)""",
         "flatten_role_groups": """
-SELECT concat(c.cluster, '-', r.role, '-', r.role_group) AS cluster_id, r.role, r.role_group,
+SELECT c.cluster AS cluster_id, r.role, r.role_group,
        r.replicas, r.cores, r.memory, r.store_path
 FROM v_role_group r JOIN v_cluster c USING (cluster_id)""",
         "effective_config_of_specs": """
-SELECT concat('c-', cluster_id, '-', role, '-', role_group) AS cluster_id, role, role_group,
+SELECT concat('c-', cluster_id) AS cluster_id, role, role_group,
        file, prop, value, layer, status FROM v_effective""",
         "read_catalog": """
 SELECT d.prop, d.file, d.datatype, d.unit, pr.role, pr.required,

@@ -118,9 +118,9 @@ def validate(fleet: Fleet) -> DataFrame:
 
 
 def _write_specs(fleet: Fleet) -> str:
-    """Spec documents as JSON lines, one per role group."""
+    """Spec documents as JSON lines, one per cluster."""
     path = work_dir(fleet.spark, "specs")
-    specs.spec_document(_groups(fleet)).write.json(path)
+    specs.spec_documents(_groups(fleet)).write.json(path)
     return path
 
 
@@ -133,7 +133,6 @@ def read_specs(fleet: Fleet) -> DataFrame:
 @query
 def flatten_role_groups(fleet: Fleet) -> DataFrame:
     documents = specs.read_specs(fleet.spark, _write_specs(fleet))
-    # The document of a role group has just this one, so its name is known.
     return project.flatten_role_groups(documents).select(
         "cluster_id", "role", "role_group", "replicas", "cores", "memory", "store_path"
     )
@@ -161,7 +160,7 @@ def effective_config_of_specs(fleet: Fleet) -> DataFrame:
         .join(of_group, KEY, "left")
         .join(of_role, ["cluster_id", "role"], "left")
     )
-    lines = specs.spec_document(groups).select(F.to_json(F.struct("metadata", "spec")).alias("value"))
+    lines = specs.spec_documents(groups).select(F.to_json(F.struct("metadata", "spec")).alias("value"))
     return effective.effective_config_of_specs(specs.parse_specs(lines), _catalog(fleet))
 
 

@@ -53,12 +53,14 @@ def parse_specs(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(column, SPEC).alias("doc")).select("doc.*")
 
 
-def spec_document(role_groups: DataFrame) -> DataFrame:
-    """Spec rows with one role group each, the inverse of ``flatten_role_groups`` for
-    rows that carry their cluster: a cluster's name becomes that of the role group's
-    objects.  ``override_map`` (file -> prop -> value) and ``role_override_map`` are
-    taken if present."""
-    name = F.concat_ws("-", "cluster", "role", "role_group")
+def spec_documents(role_groups: DataFrame) -> DataFrame:
+    """One spec row per cluster, with all its roles and role groups: the inverse of
+    ``flatten_role_groups`` for rows that carry their cluster.  ``override_map`` of a role
+    group and ``role_override_map`` of its role (both file -> prop -> value) are taken if
+    present.
+
+    Role groups meet in their role, roles in their cluster: a document is one row.
+    """
     group = SPEC["spec"].dataType["masters"].dataType["roleGroups"].dataType.valueType
     empty_overrides = F.lit(None).cast("map<string,map<string,string>>")
 
@@ -79,24 +81,33 @@ def spec_document(role_groups: DataFrame) -> DataFrame:
         F.col("replicas").alias("replicas"),
         F.lit(None).cast(group["selector"].dataType).alias("selector"),
     )
-
-    def role(which: str) -> Column:
-        one = F.struct(
-            F.lit(None).cast(group["config"].dataType).alias("config"),
-            has("role_override_map").alias("configOverrides"),
-            no_map.alias("envOverrides"),
-            no_map.alias("cliOverrides"),
-            F.create_map("role_group", body).alias("roleGroups"),
-        )
-        return F.when(F.col("role") == which, one)
-
-    return role_groups.select(
+    cluster = ["cluster", "namespace", "version", "stopped", "secret", "max_port_retries"]
+    roles = role_groups.groupBy(*cluster, "role").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("role_group"), body.alias("body")))).alias(
+            "groups"
+        ),
+        F.first(has("role_override_map"), ignorenulls=True).alias("overrides"),
+    )
+    role = F.struct(
+        F.lit(None).cast(group["config"].dataType).alias("config"),
+        F.col("overrides").alias("configOverrides"),
+        no_map.alias("envOverrides"),
+        no_map.alias("cliOverrides"),
+        F.col("groups").alias("roleGroups"),
+    )
+    whole = roles.groupBy(*cluster).agg(
+        *[
+            F.first(F.when(F.col("role") == r, role), ignorenulls=True).alias(field)
+            for r, field in SPEC_FIELD_OF_ROLE.items()
+        ]
+    )
+    return whole.select(
         F.struct(
-            name.alias("name"), F.col("namespace").alias("namespace"), name.alias("uid")
+            F.col("cluster").alias("name"), F.col("namespace"), F.col("cluster").alias("uid")
         ).alias("metadata"),
         F.struct(
-            F.col("version").alias("version"),
-            F.col("stopped").alias("stopped"),
+            F.col("version"),
+            F.col("stopped"),
             F.struct(
                 F.col("secret").alias("secret"),
                 F.lit(None).cast("string").alias("logDir"),
@@ -105,6 +116,6 @@ def spec_document(role_groups: DataFrame) -> DataFrame:
             empty_overrides.alias("configOverrides"),
             no_map.alias("envOverrides"),
             no_map.alias("cliOverrides"),
-            *[role(r).alias(field) for r, field in SPEC_FIELD_OF_ROLE.items()],
+            *[F.col(field) for field in SPEC_FIELD_OF_ROLE.values()],
         ).alias("spec"),
     )
