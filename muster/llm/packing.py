@@ -64,6 +64,11 @@ class WordTokens(dict):
             and self._ids("a###").tobytes() == self._ids("a ###").tobytes()
         )
 
+        probes = ("a", "the", "theingered", "zqxjkvw", "tionality")
+        self.direct = all(
+            [t.id for t in self.tokenizer.model.tokenize(w)] == self._ids(w).tolist() for w in probes
+        )
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -72,35 +77,47 @@ class WordTokens(dict):
         if len(self) > self.most:
             self.elder = dict(self)
             self.clear()
-        new = [w for w in words if w not in self]
+        recall = self.elder.get
+        new = []
+        for w in words:
+            if w not in self:
+                known = recall(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self[w] = known
+        ends = []
+        wanted = set()
         for w in new:
-            if (known := self.elder.get(w)) is not None:
-                self[w] = known
-        new = [w for w in new if w not in self]
-        ends = {}
-        if self.parts:
-            for w in new:
-                core = w.rstrip(MARKS)
-                if core and len(core) < len(w) and core[-1:].isalpha() and b"<|" not in w:
-                    ends[w] = (core, w[len(core) :])
-        wanted = {w for w in new if w not in ends}.union(*ends.values())
-        self._tokenise(
-            [w for w in wanted if w not in self and self._recall(w) is None]
-        )
-        for w, (core, marks) in ends.items():
+            core = w.rstrip(MARKS) if self.parts else w
+            if core and len(core) < len(w) and core[-1:].isalpha() and b"<|" not in w:
+                ends.append((w, core, w[len(core) :]))
+                wanted.add(core)
+                wanted.add(w[len(core) :])
+            else:
+                wanted.add(w)
+        unknown = []
+        for w in wanted:
+            if w not in self:
+                known = recall(w)
+                if known is None:
+                    unknown.append(w)
+                else:
+                    self[w] = known
+        self._tokenise(unknown)
+        for w, core, marks in ends:
             self[w] = self[core] + self[marks]
 
-    def _recall(self, word: bytes) -> bytes | None:
-        if (known := self.elder.get(word)) is not None:
-            self[word] = known
-        return known
-
     def _tokenise(self, words: list[bytes]) -> None:
-        """All in one go: between bars, which stay tokens of their own.  A word with a bar
-        in it goes alone."""
+        """Words of small ASCII letters, which no normaliser changes and no rule parts, go
+        to the model itself.  The others all in one go: between bars, which stay tokens of
+        their own; a word with a bar in it goes alone."""
         plain = []
+        model = self.tokenizer.model.tokenize
         for w in words:
-            if self.bar is None or BAR.encode() in w:
+            if self.direct and w.isalpha() and w.islower():
+                self[w] = b"".join([t.id.to_bytes(4, "little") for t in model(w.decode())])
+            elif self.bar is None or BAR.encode() in w:
                 self[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
             else:
                 plain.append(w)
@@ -278,7 +295,8 @@ def pack(
     offsets = counts.select(
         "length", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier")
     )
-    ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("earlier") + F.col("nth"))
+    # As many rows as lengths in partitions: not to be broadcast.
+    ranked = pieces.join(offsets.hint("merge"), ["length", "part"]).withColumn("rank", F.col("earlier") + F.col("nth"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
