@@ -12,7 +12,7 @@ counts of partitions, summed up, give the offsets.
 
 Tokens of a text are the concatenated tokens of its white-space-separated words, which
 holds for tokenizers that drop white space and never join across it; distinct words are
-tokenised once per task, in a cache of bounded size.
+tokenised once per worker process, as far as a cache of bounded size holds them.
 
 Defined results: NULL and empty texts are one piece, the end token; equal rows are packed
 each; a NULL id is kept; only documents longer than the capacity are cut; empty tables
@@ -21,6 +21,7 @@ give no rows.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -143,6 +144,12 @@ class WordTokens(dict):
             return b"".join(map(self.__getitem__, words))
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """The words a worker process knows: its next task goes on with them."""
+    return WordTokens(path)
+
+
 def token_pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -162,7 +169,7 @@ def token_pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
