@@ -40,8 +40,8 @@ SAMPLE = 20_000
 PROBES_OF_SAMPLE = 500
 ROTATIONS = 40
 RECALL = 0.975
-INDEX_BLOCK = 65_536
-QUERY_BLOCK = 65_536
+INDEX_BLOCK = 16_384
+QUERY_BLOCK = 16_384
 
 
 @dataclass(frozen=True)
