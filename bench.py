@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -56,6 +57,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.log.level", "ERROR")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="muster-bench-"))
         .getOrCreate()
     )
     shipped_catalog(spark)
