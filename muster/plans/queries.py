@@ -174,7 +174,7 @@ def read_catalog(fleet: Fleet) -> DataFrame:
     used = fleet.overrides().groupBy("prop", "role").agg(F.count("*").alias("n"))
     return (
         catalog.definitions()
-        .drop("as_of_rank", "roles")
+        .drop("as_of_rank", "roles", "pattern")
         .join(catalog.property_role, "prop")
         .join(used, ["prop", "role"], "left")
         .withColumn("overrides", F.coalesce("n", F.lit(0)))
