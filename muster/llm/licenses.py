@@ -1,8 +1,12 @@
 """Licence scans by sentence rules.
 
-Texts are split into sentences, sentences are normalised (lower case, runs of anything but
-letters, digits, dots and plus signs become one space), and those that are known carry the
-identifier of a licence sentence.  The sequence of identifiers of a document is then
+Texts are normalised (lower case, runs of anything but letters, digits, dots and plus signs
+become one space) with marks where a sentence must end (a blank line, or '.', '!' or '?' that
+white space follows, but not after 'v.') and where it may end (a line end, or ';' or ':'
+that white space follows).  Known sentences are looked for from mark to mark, the longest
+first; they run across places where a sentence may end, so wrapped texts are whole, and
+never across places where it must.  What is found carries the identifier of a licence
+sentence.  The sequence of identifiers of a document is then
 matched against ordered rules: each rule that finds its identifiers in a row takes them
 out and names a licence, so the more specific rules come first.  Everything is done within
 the row: no shuffle, no join.
@@ -111,28 +115,44 @@ RULES = (
     ("LicenseRef-all-rights-reserved", ("AllRights",)),
 )
 
-# A sentence ends at a line feed, or at a mark that white space follows.
+# The split of the SQL: at every line feed, and at a mark that white space follows.  It finds
+# the sentences that lie between two such places; ``sentence_ids`` finds those and the ones
+# that run across line ends, ';' and ':'.
 SENTENCE_END = r"\n|[.;:!?][\x20\x09-\x0D]+"
 NOISE = r"[^a-z0-9.+]+"
+# Where a sentence of a lower-cased text must end (a line of signs only is blank), and where
+# it may.  Upper-case letters are free to mark them: M and C.
+MUST_END = r"(?<!\bv)[.!?][\x20\x09-\x0D]++|\n(?:[^a-z0-9\n]*+\n)++"
+CAN_END = r"\n|[;:][\x20\x09-\x0D]++"
 # Words that every known sentence has one of; texts without any have no licence.
-HINT = r"(?i)licen[sc]e|copyright|permi|redistribut|rights|software|program|public domain|documentation|advertising|neither the name|mpl|gnu"
+HINT = r"(?i)licen[sc]e|copyright|permi|redistribut|rights|software|program|public|documentation|advertising|neither|mpl|gnu"
+# Any known sentence between two marks, its words on any lines.
+KNOWN = (
+    "(?<=[MC])(?:"
+    + "|".join(
+        s.replace(".", "[.]").replace("+", "[+]").replace(" ", "[ C]")
+        for s in sorted({s for _, s in SENTENCES}, key=lambda s: (-len(s), s))
+    )
+    + ")(?=[MC])"
+)
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, noise to single spaces, no dots or spaces at either end."""
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), NOISE, " "), r"^[ .]+|[ .]+$", "")
+def marked(text: Column) -> Column:
+    """Lower case, noise to single spaces, M and C where a sentence must and can end."""
+    line = F.regexp_replace(F.regexp_replace(F.lower(text), MUST_END, "M"), CAN_END, "C")
+    line = F.regexp_replace(F.concat(F.lit("M"), line, F.lit("M")), r"[^a-z0-9.+MC]+", " ")
+    # No dots or spaces beside a mark, and one mark of several.
+    line = F.regexp_replace(line, r"(?<![ .MC])[ .C]*+M[ .MC]*+", "M")
+    return F.regexp_replace(line, r"(?<![ .C])[ .]*+C[ .C]*+", "C")
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES for x in (sentence, name)])
-    lengths = [len(s) for _, s in SENTENCES]
-    likely = F.filter(
-        F.split(text, SENTENCE_END),
-        lambda s: (F.char_length(s) >= min(lengths)) & s.rlike(HINT),
-    )
-    ids = F.transform(likely, lambda s: F.try_element_at(known, normalised(s)))
-    return F.filter(ids, lambda i: i.isNotNull())
+    found = F.when(
+        text.rlike(HINT), F.regexp_extract_all(marked(text), F.lit(KNOWN), F.lit(0))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda s: F.try_element_at(known, F.replace(s, F.lit("C"), F.lit(" "))))
 
 
 def match_rules(ids: Column) -> Column:
