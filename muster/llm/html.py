@@ -9,8 +9,10 @@ whose own cost outweighs all their edges are settled beforehand, which changes n
 cut, so the flow runs only over blocks that are in doubt.
 
 Defined results: NULL, empty and text-free pages give the empty text; unclosed and stray
-tags are tolerated; scripts, styles, comments and the head are never text; nothing is cut
-or capped; equal rows each give a row.
+tags are tolerated; scripts, styles, comments and the title are never text; the head ends
+where something begins that cannot stand in it; an unclosed title or textarea goes up to the
+next tag, and an unclosed script, style or template up to the body or the end; nothing is
+cut or capped; equal rows each give a row.
 """
 
 from __future__ import annotations
@@ -57,11 +59,19 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|textarea|title|head(?=[\s>]))\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[/a-zA-Z!?][^>]*>",
     re.S | re.I,
 )
+# Elements whose inside is no markup, by what may end them: their own end tag first.
+RAW = {
+    tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|(?P<stop>{stop})", re.I)
+    for tag, stop in [
+        *[(tag, r"\Z") for tag in ("script", "style", "template")],
+        *[(tag, rf"<{tag}\b|<body\b|</head\b|\Z") for tag in ("title", "textarea", "noscript")],
+    ]
+}
+BODY = re.compile(r"<body\b", re.I)
 ATTRIBUTES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -106,6 +116,20 @@ def _standing(tag: str, attributes: str, away: bool, home: bool) -> tuple[bool,
     return away, home or tag in HOME
 
 
+def _after_raw(html: str, tag: str, begin: int) -> int:
+    """Where the page goes on after a raw element whose start tag ends at ``begin``."""
+    end = RAW[tag].search(html, begin)
+    if end["stop"] is None:
+        return end.end()
+    if tag in ("script", "style", "template"):
+        body = BODY.search(html, begin)
+        return body.start() if body else len(html)
+    if tag == "noscript":
+        return begin
+    following = html.find("<", begin)
+    return len(html) if following < 0 else following
+
+
 def blocks_of(html: str) -> list[_Block]:
     """The text blocks of a page in order."""
     out: list[_Block] = []
@@ -145,16 +169,23 @@ def blocks_of(html: str) -> list[_Block]:
         del stack[at:]
 
     last = 0
-    for m in TAG.finditer(html):
+    while m := TAG.search(html, last):
         begin = m.start()
         if begin > last:
             text(html[last:begin])
         last = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2]:
+        if tag in RAW:
+            if not m[1]:
+                last = _after_raw(html, tag, last)
+            continue
+        if tag == "head":  # what may stand in it is never text, and all else ends it
+            flush()
+            continue
+        if m[1]:
             at = len(stack) - 1
             while at and stack[at][0] != tag:
                 at -= 1
@@ -183,10 +214,10 @@ def blocks_of(html: str) -> list[_Block]:
                     at -= 1
                 if at and stack[at][0] in SAME[tag]:
                     close(at)
-        if m[4].endswith("/") and tag not in INLINE:
+        if m[3].endswith("/") and tag not in INLINE:
             continue
         _, away, home, _, depth = stack[-1]
-        away_, home_ = _standing(tag, m[4], away, home)
+        away_, home_ = _standing(tag, m[3], away, home)
         if tag in INLINE and away_ != away:
             flush()
         numbered += 1

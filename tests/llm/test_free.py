@@ -296,6 +296,25 @@ def test_page_texts(spark):
     assert html.extract(table.limit(0)).count() == 0
 
 
+PROSE = "A long paragraph of text, with many words, that goes on. And on."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><article><p>{}</article>",
+        "<html><head><title>T<article><p>{}</article>",
+        "<head><title>T</title><noscript><article><p>{}</article>",
+        "<head><title>T</title><noscript><img></noscript><meta x=y><article><p>{}</article>",
+        "<head><script>var a = '<body>code, and code.';</script></head><body><article><p>{}</article>",
+        "<article><p>{}</p><template><p>Never, never.</p></template></article><textarea>x</textarea>",
+        "<body><noscript>Turn on scripts, please, and come again.</noscript><article><p>{}</article>",
+    ],
+)
+def test_open_heads_and_raw_elements(page):
+    assert html.main_text(page.format(PROSE)) == PROSE
+
+
 def test_pages_of_the_test_data(spark):
     from html import unescape
 
