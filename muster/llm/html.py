@@ -55,6 +55,8 @@ AWAY_NAMES = frozenset(
     "skip copyright disclaimer contentinfo complementary".split()
 )
 HOME_NAMES = frozenset("article main content post entry story".split())
+# What these words lead says how a page is laid out, not what the element is.
+STATES = frozenset("has no with without not is hide show".split())
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 TAG = re.compile(
@@ -72,13 +74,15 @@ RAW = {
     ]
 }
 BODY = re.compile(r"<body\b", re.I)
-ATTRIBUTES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+ATTRIBUTES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 NAME = re.compile(r"[a-z]+")
 
 # The classifier: log-odds of content.
 BASE = -1.5
 IN_HOME = 6.0
 IN_AWAY = -30.0
+# A name of boilerplate takes the place of IN_HOME; long text and neighbours can outweigh it.
+NAMED = -5.0
 PER_LOG_WORD = 0.6
 PER_MARK = 0.5
 MOST_MARKS = 4
@@ -90,30 +94,51 @@ SIBLING = 0.6
 
 
 class _Block:
-    __slots__ = ("text", "links", "away", "home", "heading", "parent", "depth")
+    __slots__ = ("text", "links", "away", "home", "named", "heading", "parent", "depth")
 
-    def __init__(self, text, links, away, home, heading, parent, depth):
-        self.text, self.links, self.away, self.home = text, links, away, home
+    def __init__(self, text, links, away, home, named, heading, parent, depth):
+        self.text, self.links, self.away, self.home, self.named = text, links, away, home, named
         self.heading, self.parent, self.depth = heading, parent, depth
 
 
-def _standing(tag: str, attributes: str, away: bool, home: bool) -> tuple[bool, bool]:
-    """Whether an element of this kind, in one that stands so, is away or at home."""
+def _names_away(token: str, home: bool) -> bool:
+    """Whether a class or id, as a whole or by its first or last part, names boilerplate."""
+    parts = NAME.findall(token)
+    if not parts or parts[0] in STATES:
+        return False
+    ends = {parts[0], parts[-1]}
+    return bool(ends & AWAY_NAMES) or ("header" in ends and not home)
+
+
+def _standing(
+    tag: str, attributes: str, away: bool, home: bool
+) -> tuple[bool, bool, bool]:
+    """Whether an element of this kind, in one that stands so, is away or at home, and
+    whether it has a name of boilerplate.
+
+    An id of a heading, or of a section at home, says what its text is about.
+    """
     if tag in ("html", "body"):
-        return away, home
+        return away, home, False
     if tag in AWAY or (tag == "header" and not home):
-        return True, home
+        return True, home, False
+    named = False
     if attributes:
         if HIDDEN.search(attributes):
-            return True, home
-        names = {
-            n for a in ATTRIBUTES.findall(attributes) for n in NAME.findall(a.lower())
-        }
-        if names & AWAY_NAMES or ("header" in names and not home):
-            return True, home
-        if names & HOME_NAMES and tag not in INLINE:
+            return True, home, False
+        names = set()
+        topic = (len(tag) == 2 and tag[0] == "h") or (tag == "section" and home)
+        for kind, value in ATTRIBUTES.findall(attributes):
+            kind, value = kind.lower(), value.strip("\"'").lower()
+            if kind == "role" and not AWAY_NAMES.isdisjoint(value.split()):
+                return True, home, False
+            if kind == "id" and topic:
+                continue
+            names.update(NAME.findall(value))
+            named = named or any(_names_away(token, home) for token in value.split())
+        if names & HOME_NAMES and tag not in INLINE and not named:
             home = True
-    return away, home or tag in HOME
+    return away, home or tag in HOME, named
 
 
 def _after_raw(html: str, tag: str, begin: int) -> int:
@@ -133,8 +158,10 @@ def _after_raw(html: str, tag: str, begin: int) -> int:
 def blocks_of(html: str) -> list[_Block]:
     """The text blocks of a page in order."""
     out: list[_Block] = []
-    # Open elements: tag, away, home, number, depth.
-    stack = [("", False, False, 0, 0)]
+    # Open elements: tag, away, home, number, depth, numbers of the named ones around it.
+    stack = [("", False, False, 0, 0, ())]
+    # Elements that hold the page's main part or an article: their names count for nothing.
+    holders: set[int] = set()
     numbered = 0
     parts: list[str] = []
     in_links = 0
@@ -149,11 +176,11 @@ def blocks_of(html: str) -> list[_Block]:
                 at = len(stack) - 1
                 while at and stack[at][0] in INLINE:
                     at -= 1
-                tag, away, home, number, depth = stack[at]
-                away, home = stack[-1][1], stack[-1][2]
+                tag, _, _, number, depth, _ = stack[at]
+                _, away, home, _, _, named = stack[-1]
                 parent = stack[at - 1][3] if at else 0
                 heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-                out.append(_Block(text, in_links / len(raw), away, home, heading, parent, depth))
+                out.append(_Block(text, in_links / len(raw), away, home, named, heading, parent, depth))
             parts.clear()
         in_links = 0
 
@@ -216,17 +243,21 @@ def blocks_of(html: str) -> list[_Block]:
                     close(at)
         if m[3].endswith("/") and tag not in INLINE:
             continue
-        _, away, home, _, depth = stack[-1]
-        away_, home_ = _standing(tag, m[3], away, home)
-        if tag in INLINE and away_ != away:
+        _, away, home, _, depth, around = stack[-1]
+        away_, home_, named = _standing(tag, m[3], away, home)
+        if tag in INLINE and (named or away_ != away):
             flush()
         numbered += 1
-        stack.append((tag, away_, home_, numbered, depth + 1))
+        if tag in HOME:
+            holders.update(around)
+        stack.append((tag, away_, home_, numbered, depth + 1, (*around, numbered) if named else around))
         if tag == "a":
             link_open += 1
     if last < len(html):
         text(html[last:])
     flush()
+    for block in out:
+        block.named = not holders.issuperset(block.named)
     return out
 
 
@@ -236,8 +267,9 @@ def cost(block: _Block) -> float:
     marks = block.text.count(". ") + block.text.count(",") + block.text.endswith((".", "!", "?"))
     return (
         BASE
-        + IN_HOME * block.home
+        + IN_HOME * (block.home and not block.named)
         + IN_AWAY * block.away
+        + NAMED * block.named
         + PER_LOG_WORD * words.bit_length()
         + PER_MARK * min(MOST_MARKS, marks)
         + LINKS * block.links

@@ -315,6 +315,29 @@ def test_open_heads_and_raw_elements(page):
     assert html.main_text(page.format(PROSE)) == PROSE
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='content-sidebar-wrap'><main><p>{0}</main></div>", "{0}"),
+        ("<article class='post has-comments'><p>{0}</article>", "{0}"),
+        ("<div class='no-sidebar'><p>{0}<p>{0}</div>", "{0} {0}"),
+        ("<div class='sidebar'><main><p>{0}</main></div>", "{0}"),
+        (
+            "<article><p>{0}<section id='related-work'><h2 id='search'>Search</h2><p>{0}</section>"
+            "<h2 id=menu-design>Menu</h2><p>{0}</article>",
+            "{0} Search {0} Menu {0}",
+        ),
+        # Long text between text is kept whatever its name is; a short one is not.
+        ("<article><p>{0}<div class=notice><p>{1}</div><p>{0}</article>", "{0} {1} {0}"),
+        ("<main><p>{0}<div class='ad'>Buy, now.</div><div class=comments><p>{0}</div></main>", "{0}"),
+        ("<main><p>{0}</main><div role=navigation><p>{1}</div><div id=page-footer>Me</div>", "{0}"),
+    ],
+)
+def test_names_are_one_cost_of_several(page, want):
+    long = " ".join([PROSE] * 20)
+    assert html.main_text(page.format(PROSE, long)) == want.format(PROSE, long)
+
+
 def test_pages_of_the_test_data(spark):
     from html import unescape
 
