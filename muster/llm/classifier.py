@@ -160,8 +160,9 @@ def train(
 ) -> Model | None:
     """Learn from positives of ``labels`` and any documents, held-out ids left out.
 
-    The ids drawn are broadcast and the features of the drawn rows come to the driver; both
-    are bounded by the two limits.
+    The ids drawn are broadcast and the features of one row of each come to the driver; both
+    are bounded by the two limits.  Of rows that repeat an id it is the one of the least hash
+    of the text.
     """
     train_ids = fold(named(id_col)) != 0
 
@@ -178,6 +179,7 @@ def train(
     texts = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
     found = texts.join(F.broadcast(drawn), "_id").select(
         F.xxhash64("_id").alias("at"),
+        F.xxhash64("_text").alias("hash"),
         F.coalesce("_p", F.lit(False)).alias("p"),
         F.coalesce("_u", F.lit(False)).alias("u"),
         named("_text").alias("text"),
@@ -185,13 +187,15 @@ def train(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t) for t in b.column(3).to_pylist()]
+            x = [features(t) for t in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))],
-                ["at", "p", "u", "x"],
+                [*b.columns[:4], pa.array(x, pa.list_(pa.float64()))],
+                ["at", "hash", "p", "u", "x"],
             )
 
-    rows = found.mapInArrow(measure, "at long, p boolean, u boolean, x array<double>").toArrow()
+    kind = "at long, hash long, p boolean, u boolean, x array<double>"
+    first = F.min(F.struct("hash", "x"))["x"].alias("x")
+    rows = found.mapInArrow(measure, kind).groupBy("at", "p", "u").agg(first).toArrow()
     rows = rows.sort_by("at")
     if not len(rows):
         return None

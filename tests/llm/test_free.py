@@ -227,6 +227,18 @@ def test_labels_of_held_out_rows_and_negatives_are_not_used(spark):
     assert np.array_equal(one.weights, two.weights) and one.prior == two.prior
 
 
+def test_a_repeated_id_is_learnt_from_once(spark, monkeypatch):
+    rows = [(i, f"some text {i}, and more." if i % 4 else "BAD!! " * (i + 5)) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 100, 4)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda p, u: seen.append((len(p), len(u), u.tolist())))
+    hot = next(i for i in range(1, 100, 4) if zlib.crc32(str(i).encode()) % 5)
+    for more in ([], [(hot, rows[hot][1])] * 300, [(hot, f"other {k}") for k in range(300)]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        classifier.train(docs.repartition(7), labels)
+    assert seen[0] == seen[1] and seen[0][:2] == seen[2][:2]
+
+
 def test_classifier_edges(spark, docs):
     labels = spark.createDataFrame([(3, 1), (2, 1), (6, 1), (7, 1), (None, 1), (4, None)], "doc_id long, quality int")
     got = classifier.classify(docs, labels).collect()
