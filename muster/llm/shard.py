@@ -25,12 +25,21 @@ def assign_shards(
     The size is the text's UTF-8 bytes plus 1.  Only ids, sizes and checksums are
     shuffled, never texts.  Other columns of ``docs`` are not read.
     """
+    return _assigned(docs, shards, id_col, text_col)
+
+
+def _assigned(
+    docs: DataFrame, shards: int, id_col: str, text_col: str, row: str | None = None
+) -> DataFrame:
+    """The same, with a number of the row as ``row`` if ``docs`` has a column of that name."""
+    extra = ["row"] if row else []
     text = F.coalesce(named(text_col), F.lit(""))
     rows = docs.select(
         named(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit(1).cast("long").alias("one"),
+        *[named(row).alias("row") for _ in extra],
     )
     placed = running_totals(rows, [], ["doc_id", "size", "text_crc32"], ["size", "one"], "shard")
     placed = settle(
@@ -43,12 +52,13 @@ def assign_shards(
                 F.expr(f"({shards} * (2 * size_before + size)) div (2 * size_total)"),
             ).cast("int").alias("shard"),
             F.col("one_before").alias("place"),
+            *extra,
         ),
         "shard",
     )
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot")
+        "doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"), *extra
     )
 
 
@@ -66,24 +76,28 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, files: int = 1,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the documents below ``path``/shard=N, each shard as ``files`` files or so.
 
-    Documents that share an id with one of another shard go to the earlier of the two.
+    Rows go where ``assign_shards`` puts them, also those that share an id or have none; for
+    that the documents are written once to the shared folder, with a number for each row.
     A column ``shard`` of the documents is replaced.
     """
-    cuts = cut_points(assign_shards(docs, shards, id_col, text_col)).orderBy("shard").collect()
-    shard = F.lit(0)
-    for cut in cuts[1:]:
-        first = F.lit(cut.first_id)
-        begins = named(id_col) > first if _shared(cuts, cut) else named(id_col) >= first
-        shard = F.when(begins, F.lit(cut.shard)).otherwise(shard)
+    row, slot = _unused(docs, "_row"), _unused(docs, "_slot")
+    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    places = _assigned(rows, shards, id_col, text_col, row).select(
+        F.col("row").alias(row), "shard", F.col("slot").alias(slot)
+    )
     (
-        docs.withColumn("shard", shard)
-        .repartitionByRange(max(1, shards * files), "shard", named(id_col))
-        .sortWithinPartitions("shard", named(id_col))
+        rows.drop("shard")
+        .join(places, row)
+        .drop(row)
+        .repartitionByRange(max(1, shards * files), "shard", slot)
+        .sortWithinPartitions("shard", slot)
+        .drop(slot)
         .write.partitionBy("shard")
         .parquet(path)
     )
 
 
-def _shared(cuts: list, cut) -> bool:
-    """Does an earlier shard end with the id this one begins with?"""
-    return any(c.shard < cut.shard and c.last_id == cut.first_id for c in cuts)
+def _unused(docs: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

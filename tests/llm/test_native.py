@@ -137,6 +137,23 @@ def test_shard_files(spark, docs, tmp_path):
     assert got == want and len({s for _, s in got}) == 4
 
 
+def test_shard_files_of_shared_and_missing_ids(spark, tmp_path):
+    ids = [5] * 100 + [None] * 100 + list(range(100))
+    table = spark.createDataFrame(
+        [(i, "t" * (k % 7 * 10), k) for k, i in enumerate(ids)],
+        "doc_id long, text string, _row long",
+    )
+    shard.write_shards(table, str(tmp_path / "out"), 8)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r._row for r in got) == list(range(300))
+    want = collections.Counter((r.doc_id, r.size, r.shard) for r in shard.assign_shards(table, 8).collect())
+    assert collections.Counter((r.doc_id, len(r.text) + 1, r.shard) for r in got) == want
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += len(r.text) + 1
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2 * 61
+
+
 def targets(sizes, weights=(3, 1, 2), share=1.5, limit=2):
     """By resharing what is cut off until nothing is."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
