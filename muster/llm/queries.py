@@ -15,6 +15,7 @@ from muster.llm import (
     licenses,
     mix,
     packing,
+    periodic,
     quality,
     shard,
     simhash,
@@ -102,3 +103,9 @@ def op3_mincut_text(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op1_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    planted = periodic.repeat_tails(_table(spark, folder, "documents"))
+    return periodic.summary(periodic.runs(planted))
