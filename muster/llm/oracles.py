@@ -83,10 +83,68 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS slot,
   CAST(NULL AS INT) AS grown_shard FROM q"""
 
+_LOWER = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3
+      FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+one AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+two AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL
+          HAVING f >= 10),
+covers AS (SELECT lang, w1, w2, max(f) AS longer
+           FROM (SELECT lang, w1, w2, f FROM three
+                 UNION ALL SELECT lang, w2 AS w1, w3 AS w2, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT lang, concat(w1, ' ', w2) AS phrase, 1 AS k, t.f AS a, x.f AS l, y.f AS r
+  FROM two t JOIN one x USING (lang, w1) JOIN one y ON y.lang = t.lang AND y.w1 = t.w2
+    LEFT JOIN covers USING (lang, w1, w2)
+  WHERE t.f >= 10 AND coalesce(100 * longer < 50 * t.f, true)
+  UNION ALL
+  SELECT lang, concat(w1, ' ', t.w2, ' ', t.w3), 1, t.f, x.f, y.f
+  FROM three t JOIN one x USING (lang, w1)
+    JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT lang, concat(w1, ' ', w2, ' ', t.w3), 2, t.f, x.f, y.f
+  FROM three t JOIN two x USING (lang, w1, w2) JOIN one y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (SELECT *, CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT) AS score
+           FROM cuts),
+lowest AS (SELECT * FROM scored
+           QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+           FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+# A document reaches another over links; the smallest id reached is its component.
+MINHASH = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id,
+        regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT i, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(
+        range(1, len(w)), lambda k: concat(w[k], ' ', w[k + 1])) END) AS shingle FROM d),
+n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+c AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM s x JOIN s y USING (shingle)
+      WHERE x.i <> y.i GROUP BY ALL),
+links AS (SELECT a, b FROM c JOIN n x ON x.i = a JOIN n y ON y.i = b
+          WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(i, j) AS (SELECT i, i FROM d UNION SELECT reach.i, b FROM reach JOIN links ON j = a),
+least AS (SELECT reach.i AS i, min(doc_id) AS component_id
+          FROM reach JOIN d ON d.i = j GROUP BY reach.i)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id,
+  doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN least USING (i) LEFT JOIN n USING (i)"""
+
 
 def oracles() -> dict[str, str]:
     return {
         "op2_license_sentences": licenses(),
         "op6_perspective_rotation": ROTATION,
         "op8_byte_shards": SHARDS,
+        "op11_collocations": COLLOCATIONS,
+        "op12_circulant_minhash": MINHASH,
     }

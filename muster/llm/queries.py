@@ -13,9 +13,11 @@ from muster.llm import (
     classifier,
     html,
     licenses,
+    minhash,
     mix,
     packing,
     periodic,
+    phrases,
     quality,
     shard,
     simhash,
@@ -105,6 +107,16 @@ def op1_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@_query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
+@_query
+def op12_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 @_query
 def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
     planted = periodic.repeat_tails(_table(spark, folder, "documents"))
