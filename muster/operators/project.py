@@ -12,9 +12,12 @@ from muster.functions import names
 from muster.functions.versions import product_version, version_rank
 from muster.schema import (
     APP_NAME,
+    ERROR_CATEGORIES,
+    GLOBAL_GROUP,
     HTTP_PORT_OF_ROLE,
     MASTER_RPC_PORT,
     METRICS_PATH,
+    REPLICAS_MAX,
     ROLES,
     SCRAPE_LABEL,
     SPEC_FIELD_OF_ROLE,
@@ -107,8 +110,8 @@ def with_product_version(df: DataFrame) -> DataFrame:
         {
             "product": product,
             "version_rank": rank,
-            "version_error": F.when(F.col("version").isNull(), F.lit("ObjectHasNoVersion")).when(
-                rank.isNull(), F.lit("invalid_version")
+            "version_error": F.when(F.col("version").isNull(), F.lit(ERROR_CATEGORIES["no_version"])).when(
+                rank.isNull(), F.lit(ERROR_CATEGORIES["bad_version"])
             ),
         }
     )
@@ -121,7 +124,7 @@ def effective_replicas(stopped: str = "stopped", replicas: str = "replicas") ->
 
 def replicas_in_range(replicas: str = "replicas") -> Column:
     """Replica counts are unsigned 16-bit numbers."""
-    return F.col(replicas).isNull() | F.col(replicas).between(0, 65535)
+    return F.col(replicas).isNull() | F.col(replicas).between(0, REPLICAS_MAX)
 
 
 def object_names(df: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ def expand_pods(df: DataFrame, respect_stopped: bool = False) -> DataFrame:
         {
             "pod": pod,
             "pod_fqdn": names.pod_fqdn(pod, F.col("service"), F.col("namespace")),
-            "error": F.when(homeless, F.lit("NoNamespace")),
+            "error": F.when(homeless, F.lit(ERROR_CATEGORIES["no_namespace"])),
         }
     )
 
@@ -192,7 +195,7 @@ def start_command(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "command": F.array_join(words, " "),
-            "error": F.when(words.isNull(), F.lit("SparkMasterFqdnIsMissing")),
+            "error": F.when(words.isNull(), F.lit(ERROR_CATEGORIES["no_master"])),
         }
     )
 
@@ -215,7 +218,8 @@ def labels_of(
 
 
 def label_columns(df: DataFrame) -> DataFrame:
-    """Adds ``labels`` and ``selector_labels`` (all but the version) as maps."""
+    """Adds ``labels``, of a role group's objects and pods alike, and ``selector_labels``
+    (all but the version) as maps."""
 
     def as_map(entries: dict[str, Column]) -> Column:
         return F.create_map(*[c for k, v in entries.items() for c in (F.lit(k), v)])
@@ -225,6 +229,15 @@ def label_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"labels": as_map(every), "selector_labels": as_map(subset)})
 
 
+def global_label_columns(clusters: DataFrame) -> DataFrame:
+    """The same for the service of a whole cluster: its masters in the group ``global``,
+    which its selector leaves out."""
+    masters = clusters.withColumns({"role": F.lit("master"), "role_group": F.lit(GLOBAL_GROUP)})
+    return label_columns(masters).withColumn(
+        "selector_labels", F.map_filter("selector_labels", lambda k, v: k != "role-group")
+    )
+
+
 def scrape_targets(objects: DataFrame) -> DataFrame:
     """Addresses a metrics collector polls.
 

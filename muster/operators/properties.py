@@ -153,12 +153,6 @@ def override_array() -> Column:
     )
 
 
-def override_properties(role_groups: DataFrame) -> DataFrame:
-    """Long form of the override maps of ``role_groups``: no join, no shuffle."""
-    rows = role_groups.select(*KEY, F.inline(override_array()))
-    return rows.filter("value IS NOT NULL")
-
-
 def merge_layers(long: DataFrame, keys: Sequence[str] = (*KEY, "file", "prop")) -> DataFrame:
     """The value of the highest layer for each key, and that layer.
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.session import settled
-
-_SALTS = 64
+# Objects that one salt of a token brings together, and the longest list of values that is
+# tested within the row.
+SALT_ROWS = 50_000
+SHORT = 64
 
 
 def selectors_from_rows(selectors: DataFrame, expressions: DataFrame) -> DataFrame:
@@ -73,62 +74,111 @@ def satisfies(labels: Column, exprs: Column) -> Column:
     return F.coalesce(F.forall(exprs, holds), F.lit(False))
 
 
+def _tokens(labels: Column) -> Column:
+    """What an object shows: each label with its value, and each label alone."""
+    return F.flatten(
+        F.transform(
+            F.map_entries(labels),
+            lambda e: F.array(_token(e["key"], e["value"]), _token(e["key"], F.lit(None))),
+        )
+    )
+
+
+def _token(key: Column, value: Column) -> Column:
+    # A NULL would not join; an empty text can be a label value, hence the mark.
+    return F.to_json(F.struct(key.alias("k"), value.cast("string").alias("v")))
+
+
+def _lookups(wanted: DataFrame, objects: DataFrame) -> DataFrame:
+    """(selector_id, expr_no, token, n) for the expression of a selector that fewest objects
+    can satisfy: its tokens, and how many objects show each.
+
+    Only ``In`` and ``Exists`` are looked up; a selector without either is not here.
+    """
+    rows = wanted.select("selector_id", F.posexplode("exprs").alias("expr_no", "e")).select(
+        "selector_id", "expr_no", "e.label_key", "e.operator", "e.vals"
+    )
+    key = F.col("label_key")
+    tokens = F.when(
+        F.col("operator") == "In",
+        F.transform(F.array_distinct("vals"), lambda v: _token(key, v)),
+    ).otherwise(F.array(_token(key, F.lit(None))))
+    shown_by = rows.filter(F.col("operator").isin("In", "Exists")).select(
+        "selector_id", "expr_no", F.explode_outer(tokens).alias("token")
+    )
+    shown = objects.select(F.explode(_tokens(F.col("labels"))).alias("token"))
+    counts = shown.groupBy("token").agg(F.count("*").alias("n"))
+    costed = shown_by.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    cost = costed.groupBy("selector_id", "expr_no").agg(F.sum("n").alias("cost"))
+    rarest = cost.groupBy("selector_id").agg(F.min(F.struct("cost", "expr_no")).alias("first"))
+    chosen = rarest.select("selector_id", F.col("first.expr_no").alias("expr_no"))
+    return costed.filter("n > 0").join(chosen, ["selector_id", "expr_no"])
+
+
 def select_by_labels(
     objects: DataFrame, selectors: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """(selector_id, keys) for each object a selector selects.
 
-    An inverted index instead of a product: a selector is looked up under one thing
-    that every object it selects must show, a value of its first ``In``, or the key
-    of its first ``Exists``.  Only a selector that just excludes, and so selects
-    nearly everything, meets all objects.  An object has one value per key, so it
-    meets a selector at most once; the remaining expressions are tested on the pair.
+    An inverted index instead of a product: a selector is looked up under the values of
+    that expression, ``In`` or ``Exists``, that fewest objects satisfy, by the counts of all
+    labels.  An object has one value per key, so it meets a selector at most once.  Only a
+    selector that just excludes, and so selects nearly everything, meets all objects.
 
-    An index that is small, by rows and bytes, is broadcast.  Otherwise each look-up key is split into salts, by a
-    hash of the object, so that a label a third of all objects carry spreads.
+    Index rows are a selector and a token; a token many objects show is split into salts by
+    its count.  What a selector asks for besides is joined after the match: short lists are
+    tested within the row, long ones by a join on their values, so no list of values is
+    repeated for every object.
     """
-    wanted = selectors.filter("exprs IS NOT NULL")
-    first_in = F.get(F.filter("exprs", lambda e: e["operator"] == "In"), F.lit(0))
-    first_exists = F.get(F.filter("exprs", lambda e: e["operator"] == "Exists"), F.lit(0))
-
-    def token(key: Column, value: Column) -> Column:
-        return F.struct(key.alias("k"), value.alias("v"))
-
-    nothing = F.lit(None).cast("string")
-    tokens = (
-        F.when(
-            first_in.isNotNull(),
-            F.transform(
-                F.array_distinct(first_in["vals"]), lambda v: token(first_in["label_key"], v)
-            ),
-        )
-        .when(first_exists.isNotNull(), F.array(token(first_exists["label_key"], nothing)))
-        .otherwise(F.array(token(nothing, nothing)))
+    known = F.forall(
+        "exprs", lambda e: F.coalesce(e["operator"].isin("In", "NotIn", "Exists", "DoesNotExist"), F.lit(False))
     )
-    index = wanted.select("selector_id", "exprs", F.explode(tokens).alias("token"))
-
-    shown = F.flatten(
-        F.transform(
-            F.map_entries("labels"),
-            lambda e: F.array(token(e["key"], e["value"]), token(e["key"], nothing)),
-        )
+    wanted = selectors.filter(F.col("exprs").isNotNull() & known)
+    positive = F.exists("exprs", lambda e: e["operator"].isin("In", "Exists"))
+    lookups = _lookups(wanted.filter(positive), objects)
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    index = lookups.select(
+        "selector_id", "token", salts.alias("salts"),
+        F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
     )
-    everyone = F.array(token(nothing, nothing))
-    probes = objects.select(
-        *keys, "labels", F.explode(F.concat(everyone, shown)).alias("token")
+    split = index.select("token", "salts").distinct()
+    dealt = F.xxhash64(*keys)
+    probes = objects.select(*keys, "labels", F.explode(_tokens(F.col("labels"))).alias("token"))
+    probes = probes.join(split, "token").withColumn("salt", F.pmod(dealt, F.col("salts")).cast("int"))
+    met = probes.join(index.drop("salts"), ["token", "salt"]).select("selector_id", *keys, "labels")
+
+    # Selectors that only exclude: every object, by as many salts as there are partitions.
+    parts = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    excluding = wanted.filter(~positive).select("selector_id")
+    everywhere = excluding.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    everyone = objects.select(*keys, "labels", F.pmod(dealt, F.lit(parts)).cast("int").alias("salt"))
+    all_ = everyone.join(everywhere, "salt").select("selector_id", *keys, "labels")
+
+    def short(e: Column) -> Column:
+        return F.coalesce(F.size(e["vals"]), F.lit(0)) <= SHORT
+
+    pairs = met.unionByName(all_).join(
+        wanted.select(
+            "selector_id",
+            F.filter("exprs", short).alias("exprs"),
+            F.exists("exprs", lambda e: ~short(e)).alias("more"),
+        ),
+        "selector_id",
     )
-
-    def text(t: Column) -> Column:
-        # A NULL would not join; an empty text can be a label value, hence the mark.
-        return F.to_json(t)
-
-    index = index.withColumn("token", text(F.col("token")))
-    probes = probes.withColumn("token", text(F.col("token")))
-    index, small = settled(index, "selectors")
-    if small:
-        pairs = probes.join(F.broadcast(index), "token")
-    else:
-        salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        salt = F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int")
-        pairs = probes.withColumn("salt", salt).join(salted, ["token", "salt"])
-    return pairs.filter(satisfies(F.col("labels"), F.col("exprs"))).select("selector_id", *keys)
+    pairs = pairs.filter(satisfies(F.col("labels"), F.col("exprs")))
+    done = pairs.filter("NOT more").select("selector_id", *keys)
+    lists = wanted.select("selector_id", F.posexplode("exprs").alias("expr_no", "e")).filter(
+        F.size("e.vals") > SHORT
+    )
+    lists = lists.select("selector_id", "expr_no", "e.label_key", "e.operator", F.array_distinct("e.vals").alias("vals"))
+    values = lists.select("selector_id", "expr_no", F.explode("vals").alias("value"), F.lit(True).alias("inside"))
+    asked = pairs.filter("more").select("selector_id", *keys, "labels").join(
+        lists.drop("vals"), "selector_id"
+    )
+    asked = asked.withColumn("value", F.try_element_at("labels", "label_key")).join(
+        values, ["selector_id", "expr_no", "value"], "left"
+    )
+    inside = F.coalesce("inside", F.lit(False))
+    holds = F.when(F.col("operator") == "In", inside).when(F.col("operator") == "NotIn", ~inside)
+    held = asked.groupBy("selector_id", *keys).agg(F.bool_and(F.coalesce(holds, F.lit(True))).alias("ok"))
+    return done.unionByName(held.filter("ok").select("selector_id", *keys))

@@ -8,8 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import names
-from muster.operators.project import effective_replicas, ports_of
-from muster.schema import APP_NAME, KEY, SCRAPE_LABEL
+from muster.operators.project import effective_replicas, labels_of, ports_of
+from muster.schema import (
+    APP_NAME,
+    GLOBAL_GROUP,
+    KEY,
+    LOG_CLAIM_SIZE,
+    PROBE_INITIAL_DELAY_SECONDS,
+    PROBE_PERIOD_SECONDS,
+    SCRAPE_LABEL,
+)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -89,15 +97,33 @@ def error_counts(report: DataFrame, category: str = "category") -> DataFrame:
     return report.groupBy(category).agg(F.count("*").alias("n"))
 
 
-def _ports(role: Column) -> Column:
+def _ports(role: Column, number: str = "port") -> Column:
     return F.transform(
         ports_of(role),
         lambda p: F.struct(
-            p["port_name"].alias("name"), p["port"].alias("port"), F.lit("TCP").alias("protocol")
+            p["port_name"].alias("name"), p["port"].alias(number), F.lit("TCP").alias("protocol")
         ),
     )
 
 
+def _labels(role: Column, role_group: Column, scrape: bool = False) -> Column:
+    """The labels of an object, the version among them, in a fixed order."""
+    every = labels_of(F.col("cluster"), F.col("version"), role, role_group)
+    parts = [value.alias(name) for name, value in every.items()]
+    if scrape:
+        parts.append(F.lit("true").alias(SCRAPE_LABEL))
+    return F.struct(*parts)
+
+
+def _probe() -> Column:
+    """Asks the port called ``http``; readiness and liveness are probed alike."""
+    return F.struct(
+        F.struct(F.lit("http").alias("port")).alias("httpGet"),
+        F.lit(PROBE_INITIAL_DELAY_SECONDS).alias("initialDelaySeconds"),
+        F.lit(PROBE_PERIOD_SECONDS).alias("periodSeconds"),
+    )
+
+
 def _selector(role_group: Column | None) -> Column:
     parts = [
         F.lit(APP_NAME).alias("name"),
@@ -110,7 +136,7 @@ def _selector(role_group: Column | None) -> Column:
 
 
 _OBJECT = ["kind", "namespace", "name", "cluster_id", "owner", "component", "role_group",
-           "version", "scrape", "spec"]
+           "version", "scrape", "labels", "spec"]
 
 
 def _objects(df: DataFrame, kind: str, name: Column, role_group: Column, scrape: bool,
@@ -125,6 +151,7 @@ def _objects(df: DataFrame, kind: str, name: Column, role_group: Column, scrape:
         role_group.alias("role_group"),
         "version",
         (F.lit("true") if scrape else F.lit(None).cast("string")).alias("scrape"),
+        F.to_json(_labels(F.col("role"), role_group, scrape)).alias("labels"),
         F.to_json(spec).alias("spec"),
     )
 
@@ -138,15 +165,18 @@ def global_services(clusters: DataFrame) -> DataFrame:
         _selector(None).alias("selector"),
     )
     return _objects(
-        masters, "Service", names.global_service(F.col("cluster")), F.lit("global"), False, spec
+        masters, "Service", names.global_service(F.col("cluster")), F.lit(GLOBAL_GROUP), False, spec
     )
 
 
-def role_group_objects(groups: DataFrame, registry: str) -> DataFrame:
+def role_group_objects(
+    groups: DataFrame, registry: str, conf_dir: str, log_dir: str
+) -> DataFrame:
     """Service, ConfigMap and StatefulSet of each role group, from one scan.
 
     ``groups`` are role groups with their cluster's columns, ``env`` (array of
-    name/value) and the three file texts of ``config_maps``.
+    name/value) and the three file texts of ``config_maps``.  Pods mount the configuration
+    at ``conf_dir`` and a claim of their own at ``log_dir``.
     """
     group = F.col("role_group")
     name = names.object_name(F.col("cluster"), F.col("role"), group)
@@ -171,12 +201,29 @@ def role_group_objects(groups: DataFrame, registry: str) -> DataFrame:
         names.image(F.lit(registry), F.col("version")).alias("image"),
         names.start_command(F.col("role"), F.col("cluster"), F.col("namespace")).alias("args"),
         F.col("env").alias("env"),
+        _ports(F.col("role"), "containerPort").alias("ports"),
+        _probe().alias("readinessProbe"),
+        _probe().alias("livenessProbe"),
+        F.array(
+            F.struct(F.lit("log").alias("name"), F.lit(log_dir).alias("mountPath")),
+            F.struct(F.lit("config").alias("name"), F.lit(conf_dir).alias("mountPath")),
+        ).alias("volumeMounts"),
+        _labels(F.col("role"), group).alias("podLabels"),
+        F.array(F.struct(F.lit("config").alias("name"), name.alias("configMap"))).alias("volumes"),
+        F.array(
+            F.struct(
+                F.lit("log").alias("name"),
+                F.array(F.lit("ReadWriteOnce")).alias("accessModes"),
+                F.lit(LOG_CLAIM_SIZE).alias("storage"),
+            )
+        ).alias("volumeClaimTemplates"),
     )
     kinds = F.array(
         *[
             F.struct(
                 F.lit(kind).alias("kind"),
                 F.lit(scrape).cast("string").alias("scrape"),
+                F.to_json(_labels(F.col("role"), group, scrape is not None)).alias("labels"),
                 F.to_json(spec).alias("spec"),
             )
             for kind, scrape, spec in (
@@ -204,7 +251,3 @@ def union_kinds(*relations: DataFrame) -> DataFrame:
     for more in relations[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
     return out
-
-
-def scrape_label() -> Column:
-    return F.create_map(F.lit(SCRAPE_LABEL), F.lit("true"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.catalog import Catalog
@@ -77,22 +77,18 @@ def values_for_version(props: DataFrame, catalog: Catalog) -> DataFrame:
     )
 
 
-def required_of(keys: DataFrame, catalog: Catalog) -> DataFrame:
-    """(K, file, prop) each role group must have in its version.
-
-    Keys are put into the partition of their K before they multiply, so that what is
-    grouped by K and more afterwards is where it belongs.
-    """
-    return (
-        keys.select(*KEY, "version_rank").repartition(*KEY).join(catalog.side(catalog.required(), "required"), "role")
-        .filter(F.col("as_of_rank") <= F.col("version_rank"))
-        .select(*KEY, "version_rank", "file", "prop")
-    )
-
-
 def with_fills(df: DataFrame, catalog: Catalog) -> DataFrame:
     """Adds ``fills``: what the row's role must have in its version, with values, as an
-    array of (layer, file, prop, value)."""
+    array of (layer, file, prop, value).
+
+    Of a small catalog the stretches of versions are broadcast and looked up row by row.  Of
+    any other, each distinct (role, version) is answered once, and the answers are joined
+    back, in several salts for each partition, since a few roles and versions have all the
+    rows.
+    """
+    none = F.array().cast(PROPERTY_STRUCT)
+    if not catalog.is_small(catalog.fills, "fills"):
+        return _with_answers(df, catalog).withColumn("fills", F.coalesce("fills", none))
     ranges = catalog.side(catalog.fills().withColumnRenamed("role", "fill_role"), "fills")
     rank = F.col("version_rank")
     here = (
@@ -100,7 +96,6 @@ def with_fills(df: DataFrame, catalog: Catalog) -> DataFrame:
         & (F.col("since_rank") <= rank)
         & (F.col("until_rank").isNull() | (rank < F.col("until_rank")))
     )
-    none = F.array().cast(PROPERTY_STRUCT)
     return (
         df.join(ranges, here, "left")
         .withColumn("fills", F.coalesce("fills", none))
@@ -108,28 +103,35 @@ def with_fills(df: DataFrame, catalog: Catalog) -> DataFrame:
     )
 
 
-def missing_required(keys: DataFrame, props: DataFrame, catalog: Catalog) -> DataFrame:
-    """Required (K, file, prop) that no row of ``props`` sets.
-
-    An anti-join as one aggregation of flags: it combines before the shuffle and sorts
-    nothing.  Of ``props``, only what some role requires takes part.
-    """
-    some_role = catalog.side(catalog.required().select("role", "file", "prop"), "required")
-    present = (
-        props.filter("value IS NOT NULL")
-        .select(*KEY, "file", "prop")
-        .join(some_role, ["role", "file", "prop"], "left_semi")
+def fills_of_versions(asked: DataFrame, catalog: Catalog) -> DataFrame:
+    """(role, version_rank, fills) for distinct (role, version_rank): versions and cuts of a
+    role in one order, and for each version the last cut at or before it."""
+    cuts = catalog.fills().select(
+        "role", F.col("since_rank").alias("version_rank"), F.lit(False).alias("asks"), "fills"
+    )
+    asks = asked.select("role", "version_rank", F.lit(True).alias("asks")).withColumn(
+        "fills", F.lit(None).cast(cuts.schema["fills"].dataType)
     )
-    wanted = required_of(keys, catalog).select(*KEY, "file", "prop")
-    both = wanted.withColumns({"wanted": F.lit(1), "present": F.lit(0)}).unionByName(
-        present.withColumns({"wanted": F.lit(0), "present": F.lit(1)})
+    upto = Window.partitionBy("role").orderBy("version_rank", "asks")
+    found = F.last("fills", ignorenulls=True).over(
+        upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        both.groupBy(*KEY, "file", "prop")
-        .agg(F.max("wanted").alias("wanted"), F.max("present").alias("present"))
-        .filter("wanted = 1 AND present = 0")
-        .drop("wanted", "present")
+        cuts.unionByName(asks)
+        .withColumn("found", found)
+        .filter("asks")
+        .select("role", "version_rank", F.col("found").alias("fills"))
+    )
+
+
+def _with_answers(df: DataFrame, catalog: Catalog) -> DataFrame:
+    parts = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = df.select("role", "version_rank").filter("version_rank IS NOT NULL").distinct()
+    answers = fills_of_versions(asked, catalog).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     )
+    salt = F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int")
+    return df.withColumn("salt", salt).join(answers, ["role", "version_rank", "salt"], "left").drop("salt")
 
 
 def expand_implied(
@@ -175,16 +177,3 @@ def check_merged(merged: DataFrame, catalog: Catalog) -> DataFrame:
         .withColumn("status", status(catalog))
         .select(*KEY, "file", "prop", "value", layer.alias("layer"), "status")
     )
-
-
-def validate(props: DataFrame, keys: DataFrame, catalog: Catalog) -> DataFrame:
-    """Each property of ``props`` (K, version_rank, layer, file, prop, value) with its
-    ``status``, and one row for each required property that is absent.
-
-    ``props`` may still have several layers.  Required properties join them as a layer
-    below all others, so one aggregation merges, finds what is absent and is checked.
-    """
-    wanted = required_of(keys, catalog).withColumns(
-        {"value": F.lit(None).cast("string"), "layer": F.lit(LAYER_MISSING)}
-    )
-    return merge_and_check(props.filter("value IS NOT NULL").unionByName(wanted), catalog)

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.catalog import local_table
+from muster.schema import OWNED_KINDS, PRIMARY_KIND
 from muster.session import work_dir
+from muster.sources.watch import watch
 
 
 # Of a line item: the role and the name of its role group.
@@ -156,31 +158,32 @@ class Fleet:
     def watch(self) -> DataFrame:
         return self.watch_of(self.table("events"))
 
-    def events_stream(self, batches: int = 4, files: int = 8) -> DataFrame:
-        """``events`` as it would arrive: in several micro-batches in the order of time,
-        and some rows of each batch, over three hours old by then, delivered again with
-        the next one."""
-        events = self.table("events")
-        us = F.unix_micros(F.col("ts").cast("timestamp"))
-        cuts = events.select(us.alias("us")).approxQuantile(
+    def watch_stream(self, batches: int = 4) -> DataFrame:
+        """Changes as they would arrive, from a folder per kind: in several micro-batches in
+        the order of time, and some rows of each batch, over three hours old by then,
+        delivered again with the next one.  Those of clusters have their name as owner."""
+        changes = self.watch()
+        us = F.unix_micros(F.col("ts"))
+        cuts = changes.select(us.alias("us")).approxQuantile(
             "us", [i / batches for i in range(1, batches)], 0.001
         )
         number = F.lit(0)
         for cut in cuts:
             number = number + (us > F.lit(int(cut))).cast("int")
-        numbered = events.withColumn("batch", number)
+        numbered = changes.withColumn("batch", number)
         ends = F.get(F.array(*[F.lit(int(c)) for c in cuts]), F.col("batch"))
-        again = numbered.filter((F.col("event_id") % 50 == 7) & (us < ends - 3 * 3_600_000_000))
+        again = numbered.filter((F.col("resource_version") % 50 == 7) & (us < ends - 3 * 3_600_000_000))
         again = again.withColumn("batch", F.col("batch") + 1)
-        path = work_dir(self.spark, "events")
-        for i in range(batches):
-            part = numbered.unionByName(again).filter(F.col("batch") == i).drop("batch")
-            part.repartition(files).write.mode("append").parquet(path)
-        return (
-            self.spark.readStream.schema(events.schema)
-            .option("maxFilesPerTrigger", files)
-            .parquet(path)
+        own = F.col("kind") == PRIMARY_KIND
+        delivered = numbered.unionByName(again).withColumns(
+            {"name": F.when(own, F.col("owner")), "owner": F.when(~own, F.col("owner"))}
         )
+        path = work_dir(self.spark, "watch")
+        for i in range(batches):
+            part = delivered.filter(F.col("batch") == i).drop("batch")
+            part.coalesce(1).write.mode("append").partitionBy("kind").parquet(path)
+        folders = {kind: f"{path}/kind={kind}" for kind in (PRIMARY_KIND, *OWNED_KINDS)}
+        return watch(self.spark, folders, "parquet", maxFilesPerTrigger="1")
 
     def labels(self) -> DataFrame:
         """Long form of role-group labels; ``sized`` is there only on some."""

@@ -15,6 +15,7 @@ from muster.operators.properties import (
     RULES,
     Rule,
     derived_array,
+    merge_layers,
     override_array,
     property_struct,
 )
@@ -27,19 +28,20 @@ from muster.operators.validation import (
 from muster.schema import KEY, LAYER_MISSING
 
 
-def _versioned(clusters: DataFrame) -> DataFrame:
+def _versioned(clusters: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Clusters that have a version; the others are an error row elsewhere and have no
     effective configuration."""
     return with_product_version(clusters.filter("version IS NOT NULL")).select(
-        "cluster_id", "secret", "max_port_retries", "version_rank"
+        "cluster_id", "secret", "max_port_retries", "version_rank", *keep
     )
 
 
 def group_rows(
-    clusters: DataFrame, role_groups: DataFrame, overrides: DataFrame
+    clusters: DataFrame, role_groups: DataFrame, overrides: DataFrame, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Role groups with the columns of their cluster and all their overrides, as one array
-    ``overrides``: those of the group and those of its whole role.
+    """Role groups with the columns of their cluster (``keep`` are further ones) and all
+    their overrides, as one array ``overrides``: those of the group and those of its whole
+    role.
 
     Overrides become one row per group, and one per role of a cluster, before they are
     joined, so what is shuffled is narrow and no larger than the overrides themselves.
@@ -53,7 +55,7 @@ def group_rows(
     of_role = overrides.filter("role_group IS NULL").groupBy("cluster_id", "role")
     none = F.array().cast(PROPERTY_STRUCT)
     return (
-        role_groups.join(_versioned(clusters), "cluster_id")
+        role_groups.join(_versioned(clusters, keep), "cluster_id")
         .join(of_role.agg(together.alias("of_role")), ["cluster_id", "role"], "left")
         .join(of_group.agg(together.alias("of_group")), KEY, "left")
         .withColumn(
@@ -92,15 +94,11 @@ def _set_or_missing(items: Column) -> Column:
     return F.filter(items, lambda e: e["value"].isNotNull() | (e["layer"] == LAYER_MISSING))
 
 
-def merged_in_rows(
-    groups: DataFrame, own: Column, catalog: Catalog, imply: bool = False
-) -> DataFrame:
-    """(K, version_rank, file, prop, layer, value): the highest layer of each property of
-    ``own``, an array of all layers, and (``imply``) of what they imply.
-
-    The rows of a role group stay one row until its layers are merged: no shuffle, and no
-    sort but of a short array.
-    """
+def _merged_array(
+    groups: DataFrame, own: Column, catalog: Catalog, imply: bool
+) -> tuple[DataFrame, Column]:
+    """``groups``, and of the array ``own`` of all layers the highest of each property,
+    in the order of file and property, as an array of (file, prop, layer, value)."""
     items = _set_or_missing(own)
     if imply:
         implied = catalog.side(catalog.implied_by_role(), "implied_by_role")
@@ -115,7 +113,20 @@ def merged_in_rows(
             return F.concat(e, F.flatten(more))
 
         items = _once(items, with_implied)
-    return groups.select(*KEY, "version_rank", F.inline(_highest(items)))
+    return groups, _highest(items)
+
+
+def merged_in_rows(
+    groups: DataFrame, own: Column, catalog: Catalog, imply: bool = False
+) -> DataFrame:
+    """(K, version_rank, file, prop, layer, value): the highest layer of each property of
+    ``own``, an array of all layers, and (``imply``) of what they imply.
+
+    The rows of a role group stay one row until its layers are merged: no shuffle, and no
+    sort but of a short array.
+    """
+    groups, merged = _merged_array(groups, own, catalog, imply)
+    return groups.select(*KEY, "version_rank", F.inline(merged))
 
 
 def property_layers(
@@ -142,6 +153,21 @@ def merged_layers(
     return merged_in_rows(groups, F.concat(derived_array(rules), F.col("overrides")), catalog)
 
 
+def merged_rows(
+    clusters: DataFrame,
+    role_groups: DataFrame,
+    overrides: DataFrame,
+    catalog: Catalog,
+    rules: Sequence[Rule] = RULES,
+) -> DataFrame:
+    """(K, props): ``merged_layers`` as one row per role group, whose properties are an
+    array of (file, prop, layer, value) in the order of file and property."""
+    groups = group_rows(clusters, role_groups, overrides)
+    own = F.concat(derived_array(rules), F.col("overrides"))
+    groups, merged = _merged_array(groups, own, catalog, imply=False)
+    return groups.select(*KEY, merged.alias("props"))
+
+
 def validated_layers(
     clusters: DataFrame,
     role_groups: DataFrame,
@@ -202,6 +228,29 @@ def _effective(
     return merge_and_check(expand_implied(rows, catalog, keep=["version_rank"]), catalog)
 
 
+def effective_rows(
+    clusters: DataFrame,
+    role_groups: DataFrame,
+    overrides: DataFrame,
+    catalog: Catalog,
+    rules: Sequence[Rule] = RULES,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """The properties of ``effective_config`` as one row per role group: the columns of
+    ``group_rows`` and ``props``, an array of (file, prop, layer, value) in the order of
+    file and property.  What is made of it (texts, digests, fields) needs no shuffle."""
+    filled = with_fills(group_rows(clusters, role_groups, overrides, keep), catalog)
+    own = F.concat(derived_array(rules), F.col("fills"), F.col("overrides"))
+    if catalog.is_small(catalog.implied_by_role, "implied_by_role"):
+        groups, merged = _merged_array(filled, own, catalog, imply=True)
+        return groups.withColumn("props", merged).drop("fills", "overrides", "implied")
+    rows = filled.select(*KEY, "version_rank", F.inline(_set_or_missing(own)))
+    merged = merge_layers(expand_implied(rows, catalog))
+    entry = F.struct("file", "prop", "layer", "value")
+    arrays = merged.groupBy(*KEY).agg(F.array_sort(F.collect_list(entry)).alias("props"))
+    return filled.drop("fills", "overrides").join(arrays, KEY, "left")
+
+
 def effective_config_of_specs(specs: DataFrame, catalog: Catalog) -> DataFrame:
     """The same, straight from spec documents.
 

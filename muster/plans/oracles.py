@@ -206,6 +206,57 @@ FROM (SELECT * FROM v_present UNION ALL SELECT * FROM v_implied) e
 JOIN v_versioned c ON c.cluster_id = e.cluster_id
 LEFT JOIN v_def d ON d.prop = e.prop AND d.file = e.file
 LEFT JOIN unit u ON u.unit = d.unit""",
+    "v_field": """
+SELECT cluster_id, role, role_group, concat(file, '/', prop) AS path, value FROM v_effective
+WHERE value IS NOT NULL
+UNION ALL
+SELECT cluster_id, role, role_group, 'replicas',
+  CAST(CASE WHEN coalesce(stopped, false) THEN 0 ELSE replicas END AS VARCHAR)
+FROM v_group WHERE coalesce(stopped, false) OR replicas IS NOT NULL""",
+    "v_before": """
+SELECT cluster_id, role, role_group, path,
+  CASE WHEN cluster_id % 5 = 0 AND path = 'spark-defaults.conf/spark.port.maxRetries' THEN '99'
+       ELSE value END AS value FROM v_field
+UNION ALL
+SELECT cluster_id, role, role_group, 'spark-defaults.conf/spark.old', 'x'
+FROM v_group WHERE cluster_id % 7 = 0""",
+    "v_there": """
+SELECT b.cluster_id, b.role, b.role_group, path,
+  CASE WHEN cluster_id % 11 = 0 AND path = 'metrics.properties/*.sink.prometheusServlet.path'
+       THEN '/other' ELSE value END AS value
+FROM v_before b JOIN v_observed USING (cluster_id, role, role_group) WHERE path <> 'replicas'
+UNION ALL
+SELECT cluster_id, role, role_group, 'replicas', CAST(observed_replicas AS VARCHAR) FROM v_observed
+UNION ALL
+SELECT cluster_id, role, role_group, 'annotations/team', 'blue' FROM v_observed
+WHERE cluster_id % 4 = 0""",
+    "v_patch": """
+SELECT cluster_id, role, role_group, path, op, CASE op WHEN 'set' THEN want END AS value,
+  gave IS NOT NULL AND has IS NOT NULL AND gave <> has AS conflict, owned
+FROM (SELECT *, CASE WHEN want IS NOT NULL AND want IS DISTINCT FROM has THEN 'set'
+                     WHEN want IS NULL AND gave = has THEN 'remove' END AS op,
+        want IS NULL OR want IS NOT DISTINCT FROM gave AS owned
+      FROM (SELECT cluster_id, role, role_group, path, max(want) AS want, max(gave) AS gave,
+              max(has) AS has
+            FROM (SELECT cluster_id, role, role_group, path, value AS want, NULL AS gave, NULL AS has
+                  FROM v_field
+                  UNION ALL
+                  SELECT cluster_id, role, role_group, path, NULL, value, NULL FROM v_before
+                  WHERE cluster_id % 3 <> 0
+                  UNION ALL
+                  SELECT cluster_id, role, role_group, path, NULL, NULL, value FROM v_there)
+            GROUP BY ALL))""",
+    "v_action": """
+SELECT cluster_id, role, role_group,
+  CASE WHEN o.there IS NULL THEN 'create' WHEN g.wanted IS NULL THEN 'orphan'
+       WHEN steps > 0 THEN 'update' WHEN NOT owned THEN 'adopt' ELSE 'noop' END AS action
+FROM (SELECT cluster_id, role, role_group, true AS wanted FROM v_group) g
+FULL JOIN (SELECT cluster_id, role, role_group, true AS there FROM v_observed) o
+  USING (cluster_id, role, role_group)
+LEFT JOIN (SELECT cluster_id, role, role_group, count(op) AS steps,
+             bool_and(owned AND NOT (path = 'spark-defaults.conf/spark.old' AND cluster_id % 3 <> 0))
+               AS owned
+           FROM v_patch GROUP BY ALL) p USING (cluster_id, role, role_group)""",
     "v_port": """
 SELECT * FROM (VALUES ('master', 'http', 8080), ('master', 'rpc', 7077), ('slave', 'http', 8081),
   ('history-server', 'http', 18080)) AS t(role, port_name, port)""",
@@ -272,6 +323,12 @@ _SELECTOR_JSON = (
     """'","role-group":"', role_group, '"}')"""
 )
 
+_LABELS_JSON = (
+    """concat('"name":"spark","instance":"', cluster, '","version":"', version, """
+    """'","component":"', role, '","role-group":"', role_group, '"')"""
+)
+_PROBE_JSON = '{"httpGet":{"port":"http"},"initialDelaySeconds":10,"periodSeconds":10}'
+
 
 def _json_text(file: str) -> str:
     return (
@@ -300,22 +357,27 @@ named AS (SELECT g.*, concat(cluster, '-', role, '-', role_group) AS name FROM v
 SELECT 'Service' AS kind, namespace, concat(cluster, '-master') AS name, cluster_id,
        cluster AS owner, 'master' AS component, 'global' AS role_group, version,
        NULL::STRING AS scrape,
+       concat('{{"name":"spark","instance":"', cluster, '","version":"', version,
+              '","component":"master","role-group":"global"}}') AS labels,
        concat('{{"type":"NodePort","ports":', {_PORTS_JSON.format(role="'master'")},
               ',"selector":{{"name":"spark","instance":"', cluster,
               '","component":"master"}}}}') AS spec
 FROM v_versioned
 UNION ALL
 SELECT 'Service', namespace, name, cluster_id, cluster, role, role_group, version, 'true',
+       concat('{{', {_LABELS_JSON}, ',"prometheus.io/scrape":"true"}}'),
        concat('{{"clusterIP":"None","ports":', {_PORTS_JSON.format(role="role")},
               ',"selector":', {_SELECTOR_JSON}, ',"publishNotReadyAddresses":true}}')
 FROM named
 UNION ALL
 SELECT 'ConfigMap', namespace, name, cluster_id, cluster, role, role_group, version, NULL,
+       concat('{{', {_LABELS_JSON}, '}}'),
        concat('{{"data":{{"spark-defaults.conf":"', sd, '","spark-env.sh":"', se,
               '","metrics.properties":"', me, '"}}}}')
 FROM named JOIN maps USING ({_K})
 UNION ALL
 SELECT 'StatefulSet', namespace, name, cluster_id, cluster, role, role_group, version, NULL,
+       concat('{{', {_LABELS_JSON}, '}}'),
        concat('{{"podManagementPolicy":"Parallel",',
               CASE WHEN coalesce(stopped, false) THEN '"replicas":0,'
                    WHEN replicas IS NULL THEN ''
@@ -324,7 +386,14 @@ SELECT 'StatefulSet', namespace, name, cluster_id, cluster, role, role_group, ve
               ',"image":"{p.registry}:', version, '","args":["sbin/start-', role, '.sh"',
               CASE WHEN role = 'slave' THEN concat(',"spark://', cluster, '-master.', namespace,
                    '.svc.cluster.local:7077"') ELSE '' END,
-              '],"env":', coalesce(env, '[]'), '}}')
+              '],"env":', coalesce(env, '[]'),
+              ',"ports":', replace({_PORTS_JSON.format(role="role")}, '"port":', '"containerPort":'),
+              ',"readinessProbe":{_PROBE_JSON},"livenessProbe":{_PROBE_JSON},"volumeMounts":[',
+              '{{"name":"log","mountPath":"{p.log_dir}"}},',
+              '{{"name":"config","mountPath":"{p.conf_dir}"}}],"podLabels":{{', {_LABELS_JSON},
+              '}},"volumes":[{{"name":"config","configMap":"', name,
+              '"}}],"volumeClaimTemplates":[{{"name":"log","accessModes":["ReadWriteOnce"],',
+              '"storage":"1Gi"}}]}}')
 FROM named LEFT JOIN envs USING ({_K})"""
 
     selected = f"""
@@ -376,8 +445,36 @@ SELECT owner, kind, resource_version, change FROM (
   SELECT *, row_number() OVER (PARTITION BY owner, kind ORDER BY resource_version DESC) AS rn
   FROM v_watch) WHERE rn = 1""",
         "report_errors": """
-SELECT owner, error_category AS category, resource_version,
-       epoch_us(ts) AS time_us FROM v_watch WHERE change = 'ERROR'""",
+WITH c AS (SELECT *, CASE WHEN cluster_id % 17 <> 0 THEN namespace END AS home FROM v_cluster),
+g AS (SELECT r.* EXCLUDE (role, replicas), c.cluster, c.home,
+        CASE WHEN cluster_id % 23 = 0 AND role = 'slave' THEN 'worker' ELSE role END AS role,
+        CASE WHEN cluster_id % 19 = 0 THEN replicas + 65534 ELSE replicas END AS replicas
+      FROM v_role_group r JOIN c USING (cluster_id)),
+e AS (
+  SELECT cluster, cluster AS object, 'ObjectHasNoVersion' AS category,
+    concat('cannot use version none of ', cluster) AS message FROM c WHERE version IS NULL
+  UNION ALL
+  SELECT cluster, cluster, 'NoNamespace', concat(cluster, ' has no namespace') FROM c
+  WHERE home IS NULL
+  UNION ALL
+  SELECT cluster, concat(cluster, '-', role, '-', role_group), 'InvalidRole',
+    'no role is called worker; there are master, slave, history-server' FROM g
+  WHERE role = 'worker'
+  UNION ALL
+  SELECT cluster, concat(cluster, '-', role, '-', role_group), 'InvalidReplicas',
+    concat('replicas ', replicas, ' are not within 0 and 65535') FROM g WHERE replicas > 65535
+  UNION ALL
+  SELECT cluster, concat(cluster, '-', role, '-', role_group), 'SparkMasterFqdnIsMissing',
+    concat('the master of ', cluster, ' has no address') FROM g WHERE role = 'slave' AND home IS NULL
+  UNION ALL
+  SELECT cluster, concat(cluster, '-', role, '-', role_group), 'SerializeSparkDefaults',
+    concat('a file of ', cluster, '-', role, '-', role_group, ' is not declared') FROM v_group
+  WHERE cluster_id % 29 = 0)
+SELECT object, category, message, epoch_us(ts) AS time_us
+FROM e LEFT JOIN (SELECT owner AS cluster, max(ts) AS ts FROM v_watch GROUP BY owner) USING (cluster)
+UNION ALL
+SELECT owner, error_category, concat('change ', resource_version, ' of ', kind, ' failed'),
+  epoch_us(ts) FROM v_watch WHERE change = 'ERROR'""",
         "in_namespace": f"""
 SELECT cluster_id, cluster, version FROM v_cluster WHERE namespace = '{p.namespace}'""",
         "check_role": """
@@ -403,14 +500,20 @@ FROM (SELECT r.*, c.namespace, concat(cluster, '-', role, '-', role_group) AS ob
       FROM v_role_group r JOIN v_cluster c USING (cluster_id))""",
         "expand_pods": """
 SELECT cluster_id, role_group, ordinal, pod,
-       concat(pod, '.', service, '.', namespace, '.svc.cluster.local') AS pod_fqdn
-FROM v_pod WHERE role = 'master'""",
+       concat(pod, '.', service, '.', namespace, '.svc.cluster.local') AS pod_fqdn,
+       NULL::VARCHAR AS error
+FROM v_pod WHERE role = 'master' AND cluster_id % 17 <> 0
+UNION ALL
+SELECT cluster_id, role_group, NULL, NULL, NULL, 'NoNamespace'
+FROM v_role_group JOIN v_cluster USING (cluster_id) WHERE role = 'master' AND cluster_id % 17 = 0""",
         "endpoints": f"""
 SELECT {_K}, port_name, port, 'TCP' AS protocol FROM v_role_group JOIN v_port USING (role)""",
         "start_command": """
-SELECT r.cluster_id, r.role, r.role_group, concat('sbin/start-', role, '.sh',
-  CASE WHEN role = 'slave' THEN concat(' spark://', cluster, '-master.', namespace,
-       '.svc.cluster.local:7077') ELSE '' END) AS command
+SELECT r.cluster_id, r.role, r.role_group,
+  CASE WHEN role <> 'slave' OR cluster_id % 17 <> 0 THEN concat('sbin/start-', role, '.sh',
+    CASE WHEN role = 'slave' THEN concat(' spark://', cluster, '-master.', namespace,
+         '.svc.cluster.local:7077') ELSE '' END) END AS command,
+  CASE WHEN role = 'slave' AND cluster_id % 17 = 0 THEN 'SparkMasterFqdnIsMissing' END AS error
 FROM v_role_group r JOIN v_cluster c USING (cluster_id)""",
         "image_ref": f"""
 SELECT cluster_id, concat('{p.registry}:', version) AS image FROM v_versioned""",
@@ -428,8 +531,13 @@ SELECT cluster_id, role, role_group, 1, 'spark-env.sh', 'SPARK_WORKER_INSTANCES'
         "label_columns": """
 SELECT cluster_id, role, role_group, 'spark' AS label_name, cluster AS label_instance,
        version AS label_version, role AS label_component, role_group AS label_role_group,
-       CAST(4 AS INT) AS selector_size
-FROM v_group""",
+       'spark' AS selector_name, cluster AS selector_instance, role AS selector_component,
+       role_group AS selector_role_group, CAST(4 AS INT) AS selector_size
+FROM v_group
+UNION ALL
+SELECT cluster_id, 'master', 'global', 'spark', cluster, version, 'master', 'global',
+       'spark', cluster, 'master', NULL, CAST(3 AS INT)
+FROM v_versioned""",
         "match_catalog": f"""
 SELECT o.{_K.replace(", ", ", o.")}, o.file, o.prop, o.value, d.datatype, d.unit,
   d.prop IS NOT NULL AS known,
@@ -492,7 +600,8 @@ WHERE d.package_id IN (SELECT package_id FROM v_package)""",
 SELECT g.cluster_id, g.role, g.role_group,
   coalesce(max(CASE WHEN file = 'spark-defaults.conf' THEN text END), '') AS spark_defaults,
   coalesce(max(CASE WHEN file = 'spark-env.sh' THEN text END), '') AS spark_env,
-  coalesce(max(CASE WHEN file = 'metrics.properties' THEN text END), '') AS metrics
+  coalesce(max(CASE WHEN file = 'metrics.properties' THEN text END), '') AS metrics,
+  NULL::VARCHAR AS error
 FROM v_group g LEFT JOIN v_text t ON g.cluster_id = t.cluster_id AND g.role = t.role
  AND g.role_group = t.role_group GROUP BY ALL""",
         "fingerprint": f"""
@@ -553,15 +662,19 @@ SELECT owner, resource_version, kind, change FROM (
   SELECT *, row_number() OVER (PARTITION BY owner ORDER BY resource_version DESC) AS rn
   FROM v_watch) WHERE rn = 1""",
         "reconcile_stream": f"""
-SELECT {_K}, desired_replicas, fingerprint,
-  CASE WHEN o.seen IS NULL THEN 'create' ELSE 'update' END AS action
-FROM (SELECT {_K}, CASE WHEN coalesce(stopped, false) THEN 0 ELSE replicas END AS desired_replicas,
-        (SELECT sha256(string_agg({_RECORD}, '' ORDER BY {_RECORD})) FROM v_effective e
-         WHERE e.cluster_id = g.cluster_id AND e.role = g.role AND e.role_group = g.role_group)
-          AS fingerprint
-      FROM v_group g WHERE g.cluster IN (SELECT owner FROM v_watch))
-LEFT JOIN (SELECT {_K}, observed_replicas, true AS seen FROM v_observed) o USING ({_K})
-WHERE o.seen IS NULL OR desired_replicas <> observed_replicas""",
+SELECT {_K}, desired_replicas, fingerprint, action, coalesce(steps, '') AS steps
+FROM v_action
+JOIN (SELECT {_K}, CASE WHEN coalesce(stopped, false) THEN 0 ELSE replicas END AS desired_replicas
+      FROM v_group WHERE cluster IN (SELECT owner FROM v_watch)) USING ({_K})
+LEFT JOIN (SELECT {_K}, sha256(string_agg({_RECORD}, '' ORDER BY {_RECORD})) AS fingerprint
+           FROM v_effective GROUP BY ALL) USING ({_K})
+LEFT JOIN (SELECT {_K}, string_agg(concat(path, ' ', op, ' ', value), chr(10) ORDER BY path) AS steps
+           FROM v_patch WHERE op IS NOT NULL GROUP BY ALL) USING ({_K})
+WHERE action IN ('create', 'update', 'adopt')""",
+        "patch_objects": f"""
+SELECT {_K}, action, path, op, value, conflict
+FROM v_action LEFT JOIN (SELECT v_patch.* FROM v_patch JOIN v_group USING ({_K}) WHERE op IS NOT NULL)
+  USING ({_K})""",
         "reconcile_errors": """
 SELECT cluster AS object, 'ObjectHasNoVersion' AS category,
   concat('cannot use version none of ', cluster) AS message, max(epoch_us(ts)) AS time_us
@@ -605,6 +718,31 @@ WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.owner = t.owner AND w.slot = t.slot)""
     def closed(seconds: int) -> str:
         return f"us + {seconds * 1000000} <= {passed}"
 
+    def met(step: int, first: str, second: str, wants: tuple[int, int]) -> str:
+        """The first instant of an open step at which both kinds have what is wanted."""
+        end = f"start_us + {p.step_timeout * 1000000}"
+        return f"""
+c{step} AS (SELECT test, start_us, start_us AS us FROM o{step}
+  UNION SELECT test, start_us, us FROM o{step} JOIN st ON owner = test
+  WHERE kind IN ('{first}', '{second}') AND us > start_us AND us <= {end}),
+m{step} AS (SELECT test, min(c.us) AS met_us FROM c{step} c
+  ASOF JOIN (SELECT * FROM st WHERE kind = '{first}') a ON a.owner = c.test AND c.us >= a.us
+  ASOF JOIN (SELECT * FROM st WHERE kind = '{second}') b ON b.owner = c.test AND c.us >= b.us
+  WHERE a.status = {wants[0]} AND b.status = {wants[1]} GROUP BY test),
+r{step} AS (SELECT test, {step} AS step,
+    CASE WHEN met_us IS NULL THEN 'timeout' ELSE 'pass' END AS result,
+    start_us, coalesce(met_us, {end}) AS end_us FROM o{step} LEFT JOIN m{step} USING (test))"""
+
+    out["run_steps"] = f"""
+WITH st AS (SELECT owner, kind, epoch_us(ts) AS us, arg_max(resource_version % 2, resource_version) AS status
+            FROM v_watch GROUP BY ALL),
+o1 AS (SELECT owner AS test, min(us) AS start_us FROM st GROUP BY owner),
+{met(1, "Service", "StatefulSet", (0, 1))},
+o2 AS (SELECT test, end_us AS start_us FROM r1 WHERE result = 'pass'),
+{met(2, "ConfigMap", "StatefulSet", (0, 0))}
+SELECT test, step, result, start_us, end_us FROM r1
+UNION ALL SELECT test, 2, coalesce(result, 'not_run'), r2.start_us, r2.end_us
+FROM o1 LEFT JOIN r2 USING (test)"""
     out["liveness"] = liveness("(SELECT max(epoch_us(ts)) FROM v_watch)")
     out["liveness_stream"] = liveness(passed)
     out["retry_due_stream"] = f"""
@@ -620,6 +758,34 @@ SELECT resource_version, owner, CASE WHEN next_ts IS NULL THEN 'timeout' ELSE 'p
   epoch_us(next_ts) - us AS waited_us
 FROM (SELECT *, epoch_us(ts) AS us FROM
   ({_FOLLOWING.format(left="a", right="s", strict=">=", seconds=p.timeout)}))
-WHERE {closed(p.timeout)}"""
+WHERE us + {(p.timeout + 1) * 1000000} < {passed}"""
+    def digest(keys: str, record: str, table: str) -> str:
+        """Nodes by ``keys``: sums of the parts of their children's hashes."""
+        sums = ", ".join(
+            f"CAST(sum(CAST(concat('0x', substr(h, {1 + 15 * k}, 15)) AS HUGEINT)) % {1 << 60} AS BIGINT) AS p{k}"
+            for k in range(4)
+        )
+        text = ", ".join(f"lpad(lower(hex(p{k})), 15, '0')" for k in range(4))
+        return (
+            f"SELECT {keys}, concat({text}) AS digest, n FROM (SELECT {keys}, {sums}, count(*) AS n "
+            f"FROM (SELECT {keys}, sha256({record}) AS h FROM {table}) GROUP BY {keys})"
+        )
+
+    def record(*names: str) -> str:
+        return "concat(" + ", ".join(
+            f"CASE WHEN {n} IS NULL THEN '-' ELSE concat(length({n}), ':', {n}) END" for n in names
+        ) + ")"
+
+    out["cluster_digests"] = f"""
+WITH files AS ({digest(f"{_K}, file", record("prop", "value"), "v_effective")}),
+of_groups AS ({digest(_K, record("file", "digest"), "files")})
+{digest("cluster_id", record("role", "role_group", "digest"), "of_groups")}"""
+    out["diff_trees"] = f"""
+SELECT {_K}, file, prop, '99' AS old, value AS new FROM v_effective
+WHERE prop = 'spark.port.maxRetries' AND cluster_id % 5 = 0 AND value <> '99'
+UNION ALL
+SELECT {_K}, file, 'spark.old', 'x', NULL FROM v_effective
+WHERE prop = 'spark.port.maxRetries' AND cluster_id % 7 = 0"""
     out["error_rate_batch"] = out["error_rate"]
+    out["read_specs_yaml"] = out["read_specs"]
     return {name: with_views(sql) for name, sql in out.items()}

@@ -8,16 +8,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from muster.catalog import Catalog
 from muster.functions.checks import fits_datatype, fits_unit
 from muster.functions.versions import bump, product_version, version_key
-from muster.operators import matrix, project, properties, render, selectors, state, validation
+from muster.operators import digests, errors, matrix, patch, project, properties, render, selectors, state, steps, validation
 from muster.plans import effective
 from muster.plans.bindings import Fleet
-from muster.schema import KEY, OWNED_KINDS, SCRAPE_LABEL
+from muster.schema import KEY, OWNED_KINDS, SCRAPE_LABEL, SPARK_DEFAULTS, SPARK_ENV, METRICS
 from muster.session import work_dir
-from muster.sources import catalogs, sinks, specs
+from muster.sources import catalogs, sinks, snapshot, specs
 from muster.streaming import latest, reconcile, timing
 
 
@@ -28,14 +29,24 @@ class Parameters:
 
     namespace: str = "building"
     registry: str = "registry.example.org/spark"
+    conf_dir: str = "/etc/spark/conf"
+    log_dir: str = "/var/log/spark"
     retry_delay: int = 2 * 3600
     timeout: int = 6 * 3600
+    step_timeout: int = 14 * 24 * 3600
     delay: int = 10 * 3600
     period: int = 24 * 3600
     width: int = 3600
 
 
 P = Parameters()
+# (step, kind, status) of the tests of `run_steps`.
+STEPS = [
+    (1, "Service", "0"),
+    (1, "StatefulSet", "1"),
+    (2, "ConfigMap", "0"),
+    (2, "StatefulSet", "0"),
+]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -71,6 +82,11 @@ def _versioned_groups(fleet: Fleet) -> DataFrame:
     )
 
 
+def _homeless(df: DataFrame) -> DataFrame:
+    """Rows of some clusters without their namespace, as a broken document has them."""
+    return df.withColumn("namespace", F.expr("CASE WHEN cluster_id % 17 <> 0 THEN namespace END"))
+
+
 def _layers(fleet: Fleet) -> DataFrame:
     """Derived properties and overrides, layer by layer."""
     return effective.property_layers(fleet.clusters(), fleet.role_groups(), fleet.overrides())
@@ -89,6 +105,13 @@ def _effective(fleet: Fleet) -> DataFrame:
     )
 
 
+def _effective_rows(fleet: Fleet, *keep: str) -> DataFrame:
+    """The effective properties of a role group as an array of its row."""
+    return effective.effective_rows(
+        fleet.clusters(), fleet.role_groups(), fleet.overrides(), _catalog(fleet), keep=keep
+    )
+
+
 # ------------------------------------------------------------------ whole pipelines
 
 
@@ -138,6 +161,21 @@ def flatten_role_groups(fleet: Fleet) -> DataFrame:
     )
 
 
+@query
+def read_specs_yaml(fleet: Fleet) -> DataFrame:
+    """The same documents as YAML, many to a file, read as a stream."""
+    lines = specs.spec_documents(_groups(fleet)).select(F.to_json(F.struct("metadata", "spec")))
+    source, root = work_dir(fleet.spark, "yaml"), work_dir(fleet.spark, "json")
+    lines.write.option("lineSep", specs.YAML_MARK).text(source)
+    documents = specs.yaml_to_json(fleet.spark, source, stream=True, maxFilesPerTrigger="2")
+    run = documents.writeStream.format("text").option("path", f"{root}/rows").option(
+        "checkpointLocation", f"{root}/checkpoint"
+    )
+    run.trigger(availableNow=True).start().awaitTermination()
+    parsed = specs.parse_specs(fleet.spark.read.text(f"{root}/rows"))
+    return project.clusters_of(parsed).drop("cluster_id")
+
+
 @query
 def effective_config_of_specs(fleet: Fleet) -> DataFrame:
     def as_maps(overrides: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -185,7 +223,7 @@ def read_catalog(fleet: Fleet) -> DataFrame:
 @query
 def write_config(fleet: Fleet) -> DataFrame:
     path = work_dir(fleet.spark, "config")
-    sinks.write_config(render.render_config(_effective(fleet)), path)
+    sinks.write_config(render.texts_of(_effective_rows(fleet)), path)
     return fleet.spark.read.parquet(path).select(*KEY, "file", "text")
 
 
@@ -197,20 +235,36 @@ def apply_snapshot(fleet: Fleet) -> DataFrame:
     keys, order = ["owner", "kind"], ["resource_version"]
     for batch_id in (0, 1, 1, 2, 3):
         part = rows.filter(F.pmod("resource_version", F.lit(4)) == batch_id)
-        sinks.apply_snapshot(part, target, keys, order, batch_id)
-    return sinks.read_snapshot(fleet.spark, target, keys, order)
+        snapshot.apply_snapshot(part, target, keys, order, batch_id)
+    return snapshot.read_snapshot(fleet.spark, target, keys, order)
+
+
+def _broken(fleet: Fleet) -> tuple[DataFrame, DataFrame]:
+    """Clusters and role groups some of which cannot be built."""
+    groups = fleet.role_groups().withColumns(
+        {
+            "role": F.expr("CASE WHEN cluster_id % 23 = 0 AND role = 'slave' THEN 'worker' ELSE role END"),
+            "replicas": F.expr("CASE WHEN cluster_id % 19 = 0 THEN replicas + 65534 ELSE replicas END"),
+        }
+    )
+    return _homeless(fleet.clusters()), groups
 
 
 @query
 def report_errors(fleet: Fleet) -> DataFrame:
+    """Failed changes and the errors of every operator in one report."""
     target = work_dir(fleet.spark, "report")
-    failed = sinks.report_of_watch(fleet.watch())
-    sinks.report(failed, target)
+    changed = fleet.watch().groupBy(F.col("owner").alias("cluster")).agg(F.max("ts").alias("ts"))
+    clusters, groups = _broken(fleet)
+    # A catalog of roles without the defaults file, as some clusters have it.
+    rows = _effective_rows(fleet, "cluster").filter("cluster_id % 29 = 0")
+    texts = render.config_map_columns(rows, declared=(SPARK_ENV,))
+    found = state.union_kinds(errors.errors_of(clusters, groups), errors.config_errors(texts))
+    timed = found.join(changed, "cluster", "left").withColumn("time", F.col("ts"))
+    sinks.report(sinks.report_of_watch(fleet.watch()), target)
+    sinks.report(timed, target)
     return fleet.spark.read.parquet(target).select(
-        F.col("object").alias("owner"),
-        "category",
-        F.col("message").cast("bigint").alias("resource_version"),
-        F.unix_micros("time").alias("time_us"),
+        "object", "category", "message", F.unix_micros("time").alias("time_us")
     )
 
 
@@ -266,9 +320,9 @@ def object_names(fleet: Fleet) -> DataFrame:
 
 @query
 def expand_pods(fleet: Fleet) -> DataFrame:
-    masters = _groups(fleet).filter("role = 'master'")
+    masters = _homeless(_groups(fleet)).filter("role = 'master'")
     return project.expand_pods(masters).select(
-        "cluster_id", "role_group", "ordinal", "pod", "pod_fqdn"
+        "cluster_id", "role_group", "ordinal", "pod", "pod_fqdn", "error"
     )
 
 
@@ -279,7 +333,7 @@ def endpoints(fleet: Fleet) -> DataFrame:
 
 @query
 def start_command(fleet: Fleet) -> DataFrame:
-    return project.start_command(_groups(fleet)).select(*KEY, "command")
+    return project.start_command(_homeless(_groups(fleet))).select(*KEY, "command", "error")
 
 
 @query
@@ -318,17 +372,21 @@ def register_rule(fleet: Fleet) -> DataFrame:
 
 @query
 def desired_objects(fleet: Fleet) -> DataFrame:
-    clusters, groups = fleet.clusters(), _versioned_groups(fleet)
-    complete = groups.join(render.config_maps(groups, _effective(fleet)), KEY)
+    rows = _effective_rows(fleet, "cluster", "namespace", "version", "stopped")
     return state.union_kinds(
-        state.global_services(clusters), state.role_group_objects(complete, P.registry)
+        state.global_services(fleet.clusters()),
+        state.role_group_objects(
+            render.config_map_columns(rows), P.registry, P.conf_dir, P.log_dir
+        ),
     )
 
 
 @query
 def label_columns(fleet: Fleet) -> DataFrame:
-    labelled = project.label_columns(_groups(fleet).filter("version IS NOT NULL"))
-    labels = F.col("labels")
+    of_groups = project.label_columns(_groups(fleet).filter("version IS NOT NULL"))
+    of_clusters = project.global_label_columns(fleet.clusters().filter("version IS NOT NULL"))
+    labelled = state.union_kinds(*[df.select(*KEY, "labels", "selector_labels") for df in (of_groups, of_clusters)])
+    labels, selector = F.col("labels"), F.col("selector_labels")
     return labelled.select(
         *KEY,
         labels["name"].alias("label_name"),
@@ -336,6 +394,10 @@ def label_columns(fleet: Fleet) -> DataFrame:
         labels["version"].alias("label_version"),
         labels["component"].alias("label_component"),
         labels["role-group"].alias("label_role_group"),
+        selector["name"].alias("selector_name"),
+        selector["instance"].alias("selector_instance"),
+        selector["component"].alias("selector_component"),
+        selector["role-group"].alias("selector_role_group"),
         F.size("selector_labels").alias("selector_size"),
     )
 
@@ -409,6 +471,48 @@ def diff_state(fleet: Fleet) -> DataFrame:
     return state.diff_state(_desired_replicas(fleet), fleet.observed())
 
 
+def _changed(fields: F.Column, path: str, when: str, value: str | None) -> F.Column:
+    """``fields`` with another value at ``path`` where ``when`` holds."""
+    rest = F.map_filter(fields, lambda p, _: p != path)
+    own = F.create_map(F.lit(path), F.lit(value).cast("string"))
+    return F.when(F.expr(when), F.map_concat(rest, own)).otherwise(fields)
+
+
+def _sides(
+    fleet: Fleet, tables: tuple[DataFrame, DataFrame, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is wanted of the role groups, what was applied of it when some properties were
+    others, and what is there, where others have set fields too."""
+    path = work_dir(fleet.spark, "desired")
+    clusters, role_groups, overrides = tables or (
+        fleet.clusters(), fleet.role_groups(), fleet.overrides()
+    )
+    reconcile.desired_state(clusters, role_groups, overrides, _catalog(fleet)).write.parquet(path)
+    desired = fleet.spark.read.parquet(path)
+    retries, old = f"{SPARK_DEFAULTS}/spark.port.maxRetries", f"{SPARK_DEFAULTS}/spark.old"
+    fields = _changed(F.col("fields"), retries, "cluster_id % 5 = 0", "99")
+    fields = _changed(fields, old, "cluster_id % 7 = 0", "x")
+    before = desired.select(*KEY, fields.alias("fields"))
+    served = f"{METRICS}/*.sink.prometheusServlet.path"
+    there = _changed(F.col("fields"), served, "cluster_id % 11 = 0", "/other")
+    there = F.map_filter(there, lambda p, _: p != "replicas")
+    there = F.coalesce(there, F.create_map().cast(patch.FIELDS))
+    there = _changed(there, "annotations/team", "cluster_id % 4 = 0", "blue")
+    count = F.create_map(F.lit("replicas"), F.col("observed_replicas").cast("string"))
+    observed = fleet.observed().join(before, KEY, "left").select(
+        *KEY, F.map_concat(there, count).alias("fields")
+    )
+    return desired, before.filter("cluster_id % 3 <> 0"), observed
+
+
+@query
+def patch_objects(fleet: Fleet) -> DataFrame:
+    merged = patch.three_way(*_sides(fleet))
+    return merged.select(*KEY, "action", F.explode_outer("patch").alias("p")).select(
+        *KEY, "action", "p.path", "p.op", "p.value", "p.conflict"
+    )
+
+
 @query
 def owner_of(fleet: Fleet) -> DataFrame:
     children = fleet.watch().filter(F.col("kind").isin(OWNED_KINDS))
@@ -479,22 +583,47 @@ def union_kinds(fleet: Fleet) -> DataFrame:
 
 @query
 def render_config(fleet: Fleet) -> DataFrame:
-    return render.render_config(_effective(fleet))
+    return render.texts_of(_effective_rows(fleet))
 
 
 @query
 def config_maps(fleet: Fleet) -> DataFrame:
-    return render.config_maps(_versioned_groups(fleet), _effective(fleet)).drop("env", "error")
+    return render.config_map_columns(_effective_rows(fleet)).select(
+        *KEY, *render.COLUMN_OF_FILE.values(), "error"
+    )
 
 
 @query
 def fingerprint(fleet: Fleet) -> DataFrame:
-    return render.fingerprint(_effective(fleet))
+    return _effective_rows(fleet).select(*KEY, render.digest_of(F.col("props")).alias("fingerprint"))
+
+
+@query
+def cluster_digests(fleet: Fleet) -> DataFrame:
+    return digests.discovery_digests(_effective(fleet))
+
+
+@query
+def diff_trees(fleet: Fleet) -> DataFrame:
+    """Two fleets, one of which has had other values and another property in some clusters."""
+    now = _effective(fleet).select(*KEY, "file", "prop", "value")
+    retries = (F.col("prop") == "spark.port.maxRetries") & (F.col("cluster_id") % 5 == 0)
+    before = now.withColumn("value", F.when(retries, "99").otherwise(F.col("value")))
+    old = before.filter((F.col("prop") == "spark.port.maxRetries") & (F.col("cluster_id") % 7 == 0))
+    before = before.unionByName(old.withColumns({"prop": F.lit("spark.old"), "value": F.lit("x")}))
+    root = work_dir(fleet.spark, "trees")
+    digests.write_tree(before, f"{root}/before")
+    digests.write_tree(now, f"{root}/now")
+    return digests.diff_trees(fleet.spark, f"{root}/before", f"{root}/now")
 
 
 @query
 def stable_order(fleet: Fleet) -> DataFrame:
-    return render.stable_order(_merged(fleet))
+    return render.positions_of(
+        effective.merged_rows(
+            fleet.clusters(), fleet.role_groups(), fleet.overrides(), _catalog(fleet)
+        )
+    )
 
 
 @query
@@ -593,6 +722,33 @@ def liveness(fleet: Fleet) -> DataFrame:
     return timing.liveness(fleet.watch(), P.delay, P.period)
 
 
+@query
+def run_steps(fleet: Fleet) -> DataFrame:
+    """Tests that start with the first change of their cluster: at first its service and
+    its replica set, then its configuration and its replica set must have a status at once."""
+    changes = fleet.watch().select(
+        "owner",
+        F.concat_ws("/", "owner", "kind").alias("object"),
+        "kind",
+        F.unix_micros("ts").alias("us"),
+        F.col("resource_version").alias("version"),
+        (F.col("resource_version") % 2).cast("string").alias("status"),
+    )
+    tests = changes.groupBy(F.col("owner").alias("test")).agg(F.min("us").alias("start_us"))
+    wanted = F.array(
+        *[
+            F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), F.lit(status).alias("expected"))
+            for step, kind, status in STEPS
+        ]
+    )
+    expectations = tests.select("test", F.inline(wanted)).withColumn(
+        "object", F.concat_ws("/", "test", "kind")
+    )
+    return steps.run_steps(
+        tests, expectations.drop("kind"), changes.drop("owner", "kind"), P.step_timeout
+    )
+
+
 def _rates(rate: DataFrame) -> DataFrame:
     return rate.select("category", F.unix_seconds("window_start").alias("window_s"), "n")
 
@@ -606,7 +762,7 @@ def error_rate_batch(fleet: Fleet) -> DataFrame:
 
 
 def _watch_stream(fleet: Fleet) -> DataFrame:
-    return fleet.watch_of(fleet.events_stream())
+    return fleet.watch_stream()
 
 
 def _append(fleet: Fleet, df: DataFrame, name: str) -> DataFrame:
@@ -631,7 +787,7 @@ def _upsert(
     latest.upsert_stream(
         df, f"{root}/rows", f"{root}/checkpoint", keys, order
     ).awaitTermination()
-    return sinks.read_snapshot(fleet.spark, f"{root}/rows", keys, order)
+    return snapshot.read_snapshot(fleet.spark, f"{root}/rows", keys, order)
 
 
 @query
@@ -667,34 +823,67 @@ def error_rate(fleet: Fleet) -> DataFrame:
     return _rates(_upsert(fleet, stream, "rate", ["category", "window_start"], ["n"]))
 
 
+def _emitted(fleet: Fleet, name: str, start: Callable, *args, schema: str) -> DataFrame:
+    """What a rule about time has emitted when it has seen everything there is."""
+    root = work_dir(fleet.spark, name)
+    start(*args, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return fleet.spark.read.schema(schema).parquet(f"{root}/rows")
+
+
 @query
 def liveness_stream(fleet: Fleet) -> DataFrame:
-    root = work_dir(fleet.spark, "liveness")
-    timing.liveness_stream(
-        _watch_stream(fleet), root, f"{root}/checkpoint", P.delay, P.period
-    ).awaitTermination()
-    return timing.emitted(fleet.spark, root, "owner string, tick_s bigint")
+    def start(*args) -> StreamingQuery:
+        return timing.liveness_stream(*args, P.delay, P.period)
+
+    return _emitted(fleet, "liveness", start, _watch_stream(fleet), schema=timing.TICKS)
 
 
 def _reconcile(fleet: Fleet) -> str:
+    """Objects take the patches they are given, so what the stream has left is observed."""
     root = work_dir(fleet.spark, "reconcile")
+    # The tables of the fleet as they are kept, of the clusters that change.
+    owners = fleet.watch().select(F.col("owner").alias("cluster")).distinct()
+    changing = fleet.clusters().join(owners, "cluster", "left_semi")
+    kept = []
+    for name, df in (
+        ("clusters", changing), ("role_groups", fleet.role_groups()), ("overrides", fleet.overrides())
+    ):
+        if kept:
+            df = df.join(kept[0].select("cluster_id"), "cluster_id", "left_semi")
+        df.write.parquet(f"{root}/fleet/{name}")
+        kept.append(fleet.spark.read.schema(df.schema).parquet(f"{root}/fleet/{name}"))
+    _, before, observed = _sides(fleet, tuple(kept))
+    order = ["reconciled_in"]
+    row = "cluster_id bigint, role string, role_group string, after map<string,string>, reconciled_in bigint"
+
+    def there() -> DataFrame:
+        done = snapshot.read_snapshot(fleet.spark, f"{root}/rows", KEY, order, row)
+        done = done.select(*KEY, F.col("after").alias("fields"), *order)
+        first = observed.withColumn(*order, F.lit(-1).cast("bigint"))
+        return state.latest_per_key(state.union_kinds(done, first), KEY, order).drop(*order)
+
     reconcile.reconcile_stream(
         _watch_stream(fleet),
-        lambda: (fleet.clusters(), fleet.role_groups(), fleet.overrides()),
-        fleet.observed,
+        lambda: tuple(kept),
+        there,
         _catalog(fleet),
         f"{root}/rows",
         f"{root}/checkpoint",
         f"{root}/errors",
+        applied=lambda: before,
     ).awaitTermination()
     return root
 
 
 @query
 def reconcile_stream(fleet: Fleet) -> DataFrame:
+    """Of each role group what was done to it first; later changes found it as it should be."""
     rows = f"{_reconcile(fleet)}/rows"
-    return sinks.read_snapshot(fleet.spark, rows, KEY, ["reconciled_in"]).select(
-        *KEY, "desired_replicas", "fingerprint", "action"
+    steps = F.transform(
+        "patch", lambda p: F.concat(p["path"], F.lit(" "), p["op"], F.lit(" "), F.coalesce(p["value"], F.lit("")))
+    )
+    return snapshot.read_snapshot(fleet.spark, rows, KEY, ["reconciled_in"]).select(
+        *KEY, "desired_replicas", "fingerprint", "action", F.array_join(steps, "\n").alias("steps")
     )
 
 
@@ -709,21 +898,19 @@ def reconcile_errors(fleet: Fleet) -> DataFrame:
 
 @query
 def retry_due_stream(fleet: Fleet) -> DataFrame:
-    root = work_dir(fleet.spark, "retry")
-    timing.retry_due_stream(
-        _watch_stream(fleet), root, f"{root}/checkpoint", P.retry_delay
-    ).awaitTermination()
-    return timing.emitted(fleet.spark, root, timing.DUE)
+    def start(*args) -> StreamingQuery:
+        return timing.retry_due_stream(*args, P.retry_delay)
+
+    return _emitted(fleet, "retry", start, _watch_stream(fleet), schema=timing.DUE)
 
 
 @query
 def eventually_stream(fleet: Fleet) -> DataFrame:
-    root = work_dir(fleet.spark, "eventually")
+    def start(*args) -> StreamingQuery:
+        return timing.eventually_stream(*args, P.timeout)
+
     step, met = F.col("change") == "ADDED", F.col("kind") == "StatefulSet"
-    timing.eventually_stream(
-        _watch_stream(fleet), step, met, root, f"{root}/checkpoint", P.timeout
-    ).awaitTermination()
-    return timing.emitted(fleet.spark, root, timing.WAITED)
+    return _emitted(fleet, "eventually", start, _watch_stream(fleet), step, met, schema=timing.WAITED)
 
 
 @query

@@ -42,6 +42,20 @@ METRICS_PATH = "/metrics"
 SCRAPE_LABEL = "prometheus.io/scrape"
 DNS_SUFFIX = "svc.cluster.local"
 APP_NAME = "spark"
+GLOBAL_GROUP = "global"  # the role group of objects that belong to a whole cluster
+LOG_CLAIM_SIZE = "1Gi"
+REPLICAS_MAX = 65535
+# Categories users group error reports by.
+ERROR_CATEGORIES = {
+    "no_version": "ObjectHasNoVersion",
+    "bad_version": "invalid_version",
+    "no_namespace": "NoNamespace",
+    "no_master": "SparkMasterFqdnIsMissing",
+    "no_defaults": "SerializeSparkDefaults",
+    "no_env": "SerializeSparkEnv",
+    "bad_role": "InvalidRole",
+    "bad_replicas": "InvalidReplicas",
+}
 RETRY_DELAY_SECONDS = 5
 PROBE_PERIOD_SECONDS = 10
 PROBE_INITIAL_DELAY_SECONDS = 10

@@ -16,13 +16,18 @@ BROADCAST_BYTES = 8 << 20
 def settled(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """``df`` worked out now, and whether it is small enough to be broadcast.
 
-    No more than ``BROADCAST_ROWS + 1`` rows come to the driver.  A small result becomes a
-    local table; any other is written to the shared folder and read from there.
+    Rows and bytes of no more than ``BROADCAST_ROWS + 1`` rows are counted on Spark before
+    any comes to the driver.  A small result becomes a local table; any other is written to
+    the shared folder and read from there.
     """
     spark = df.sparkSession
-    first = df.limit(BROADCAST_ROWS + 1).toArrow()
-    if first.num_rows <= BROADCAST_ROWS and first.nbytes <= BROADCAST_BYTES:
-        return spark.createDataFrame(first, df.schema), True
+    first = df.limit(BROADCAST_ROWS + 1)
+    written = F.octet_length(F.to_json(F.struct(*[df[c] for c in df.columns])))
+    size = first.select(written.alias("bytes")).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")
+    ).first()
+    if size.rows <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES:
+        return spark.createDataFrame(first.toArrow(), df.schema), True
     path = work_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), False

@@ -1,49 +1,16 @@
-"""Sinks: configuration texts, keyed snapshots, error reports."""
+"""Sinks: configuration texts and error reports (keyed snapshots are in ``snapshot``)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.operators.state import latest_per_key
-
 
 def write_config(rendered: DataFrame, path: str) -> None:
     """Rendered texts, one folder per file name."""
     rendered.write.mode("overwrite").partitionBy("file").parquet(path)
 
 
-def apply_snapshot(
-    df: DataFrame, target: str, keys: Sequence[str], order: Sequence[str], batch_id: int
-) -> None:
-    """Upserts ``df`` into the snapshot at ``target``.
-
-    Each batch writes the newest row per key into a folder of its own and overwrites
-    just that folder, so applying a batch again changes nothing, and a batch costs what
-    it changes rather than the whole snapshot.
-    """
-    latest_per_key(df, keys, order).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
-
-def read_snapshot(
-    spark: SparkSession, target: str, keys: Sequence[str], order: Sequence[str]
-) -> DataFrame:
-    """The current row of each key: the greatest ``order``, then the latest batch."""
-    rows = spark.read.parquet(target)
-    return latest_per_key(rows, keys, [*order, "batch_id"]).drop("batch_id")
-
-
-def compact_snapshot(
-    spark: SparkSession, source: str, target: str, keys: Sequence[str], order: Sequence[str]
-) -> None:
-    """Writes the current rows of ``source`` as the first batch of a new snapshot."""
-    read_snapshot(spark, source, keys, order).write.mode("errorifexists").parquet(
-        f"{target}/batch_id=-1"
-    )
-
-
 def report(errors: DataFrame, target: str, batch_id: int | None = None) -> None:
     """Appends one record per failed item.
 
@@ -59,9 +26,12 @@ def report(errors: DataFrame, target: str, batch_id: int | None = None) -> None:
 
 def report_of_watch(watch: DataFrame) -> DataFrame:
     """Report records of the failed events of a change stream."""
+    message = F.concat(
+        F.lit("change "), F.col("resource_version").cast("string"), F.lit(" of "), "kind", F.lit(" failed")
+    )
     return watch.filter("change = 'ERROR'").select(
         F.col("owner").alias("object"),
         F.col("error_category").alias("category"),
-        F.col("resource_version").cast("string").alias("message"),
+        message.alias("message"),
         F.col("ts").alias("time"),
     )

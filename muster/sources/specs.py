@@ -28,24 +28,34 @@ def read_specs(spark: SparkSession, path: str, corrupt: bool = False) -> DataFra
     return reader.schema(schema).json(path)
 
 
-def yaml_to_json(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSON (``value``) out of YAML files, one per YAML document.
+# A line that begins a YAML document, with the line end before it.
+YAML_MARK = "\n---\n"
 
-    Files are parsed where they are read, one file at a time.
+
+def yaml_to_json(spark: SparkSession, path: str, stream: bool = False, **options: str) -> DataFrame:
+    """Lines of JSON (``value``) out of YAML files, one per YAML document, from what is there
+    or as a stream of files.
+
+    Spark reads the files cut at document marks, so one large file is read by many tasks
+    and is in no memory whole.  What lies between two marks may still be several documents
+    (a mark may be followed by a comment, or by a carriage return).  Directives are left out.
     """
-    files = spark.read.text(path, wholetext=True)
+    reader = spark.readStream if stream else spark.read
+    texts = reader.option("lineSep", YAML_MARK).options(**options).text(path)
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
+        import re
 
         import yaml
 
         for batch in batches:
-            documents = (d for text in batch["value"] for d in yaml.safe_load_all(text))
+            plain = (re.sub(r"(?m)^%(YAML|TAG) .*$", "", text) for text in batch["value"])
+            documents = (d for text in plain for d in yaml.safe_load_all(text))
             lines = [json.dumps(d) for d in documents if d is not None]
             yield pd.DataFrame({"value": pd.Series(lines, dtype="object")})
 
-    return files.mapInPandas(convert, "value string")
+    return texts.mapInPandas(convert, "value string")
 
 
 def parse_specs(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from muster.sources.sinks import apply_snapshot
+from muster.sources.snapshot import apply_snapshot
 
 # The trigger of a run that handles what is there, in as many batches as the source
 # makes of it, and ends.

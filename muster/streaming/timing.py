@@ -7,11 +7,14 @@ so within time buckets, what counts ticks counts them before it compares.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from muster.schema import (
     EXPECTATION_TIMEOUT_SECONDS,
@@ -20,7 +23,7 @@ from muster.schema import (
     RETRY_DELAY_SECONDS,
 )
 
-from muster.streaming.latest import ONCE, start
+from muster.streaming.latest import ONCE
 
 _MICROS = 1_000_000
 # Periods of one stretch, and ticks of one piece of a silence.
@@ -215,145 +218,90 @@ def liveness(
     return missed_ticks(heartbeat_slots(heartbeats, period_seconds), delay_seconds, period_seconds)
 
 
-class Ledger:
-    """What a stream keeps between its micro-batches, as tables below one folder.
+# ------------------------------------------------------------------ streams
+#
+# What a stream waits for is Spark's own state, kept with its checkpoint: a batch changes
+# what it touches, and a stream that is started again goes on where it was.
 
-    A batch reads the tables of the batch before and writes its own, whole.  A batch that
-    runs again reads and writes the same, so nothing is lost or doubled.  ``seen_us`` is
-    the newest time of the batches before, ``passed_us`` what the watermark makes of it.
-    """
-
-    def __init__(self, batch: DataFrame, batch_id: int, target: str, lateness_seconds: int):
-        self.spark, self.batch_id, self.target = batch.sparkSession, batch_id, target
-        self.rows = batch.withColumn("us", micros(F.col("ts")))
-        before = self.read("clock", "us bigint").agg(F.max("us")).first()[0]
-        newest = self.rows.agg(F.max("us")).first()[0]
-        times = [t for t in (before, newest) if t is not None]
-        self.now = max(times) if times else None
-        late = lateness_seconds * _MICROS
-        self.passed_before = None if before is None else before - late
-        self.passed = None if self.now is None else self.now - late
-        if self.passed_before is not None:
-            self.rows = self.rows.filter(F.col("us") >= self.passed_before)
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        if self.batch_id == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.target}/{name}/{self.batch_id - 1}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.target}/{name}/{self.batch_id}")
-
-    def emit(self, df: DataFrame) -> None:
-        self.write("rows", df)
-
-    def close(self) -> None:
-        """Last, so that a batch that failed before does not move the clock."""
-        self.write("clock", self.spark.createDataFrame([(self.now,)], "us bigint"))
 
-
-def emitted(spark: SparkSession, target: str, schema: str) -> DataFrame:
-    """All rows the batches of a stream at ``target`` have emitted."""
-    return spark.read.schema(schema).parquet(f"{target}/rows/*")
+def append_stream(
+    df: DataFrame, target: str, checkpoint: str, trigger: Mapping[str, object] = ONCE
+) -> StreamingQuery:
+    """Writes what a stream emits below ``target``, each row once."""
+    return (
+        df.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
 
 
-def liveness_stream(
-    heartbeats: DataFrame,
-    target: str,
-    checkpoint: str,
-    delay_seconds: int = PROBE_INITIAL_DELAY_SECONDS,
-    period_seconds: int = PROBE_PERIOD_SECONDS,
-    lateness_seconds: int = 3600,
-    trigger: Mapping[str, object] = ONCE,
-) -> StreamingQuery:
-    """``liveness`` for a stream: a batch emits (owner, tick_s) for the periods the
-    watermark has passed since the batch before, also of owners it hears nothing from.
+def _marked(df: DataFrame, lateness_seconds: int | None) -> DataFrame:
+    """``df`` with a watermark; one that has one already is given none (None)."""
+    return df if lateness_seconds is None else df.withWatermark("ts", f"{lateness_seconds} seconds")
 
-    Kept are the first heartbeat of each owner and the periods not yet passed.
-    """
-    period = period_seconds * _MICROS
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        ledger = Ledger(batch, batch_id, target, lateness_seconds)
-        slot = F.floor(F.col("us") / period).cast("bigint")
-        owners = (
-            ledger.read("owners", "owner string, first_us bigint")
-            .unionByName(ledger.rows.select("owner", F.col("us").alias("first_us")))
-            .groupBy("owner")
-            .agg(F.min("first_us").alias("first_us"))
-        )
-        heard = (
-            ledger.read("heard", "owner string, slot bigint")
-            .unionByName(ledger.rows.select("owner", slot.alias("slot")))
-            .distinct()
-        )
-        ledger.write("owners", owners)
-        if ledger.now is None:
-            ledger.write("heard", heard)
-            ledger.emit(ledger.spark.createDataFrame([], "owner string, tick_s bigint"))
-        else:
-            horizon = ledger.passed // period
-            ledger.write("heard", heard.filter(F.col("slot") >= horizon))
-            known = ledger.spark.read.parquet(f"{target}/owners/{batch_id}")
-            start = _first_tick(F.col("first_us"), delay_seconds, period)
-            if ledger.passed_before is not None:
-                start = F.greatest(start, F.lit(ledger.passed_before // period))
-            due = _ticks(known.select("owner", start.alias("start"), F.lit(horizon - 1).alias("end")))
-            missed = due.join(heard.withColumnRenamed("slot", "tick"), ["owner", "tick"], "left_anti")
-            ledger.emit(missed.select("owner", (F.col("tick") * period_seconds).alias("tick_s")))
-        ledger.close()
-        batch.unpersist()
-
-    return start(heartbeats, apply, checkpoint, trigger=trigger)
-
-
-def first_following_stream(
+def following_frame(
     watch: DataFrame,
     left: Column,
     right: Column,
     within_seconds: int,
     strictly: bool,
-    target: str,
-    checkpoint: str,
-    finish: Callable[[DataFrame], DataFrame],
-    lateness_seconds: int = 3600,
-    trigger: Mapping[str, object] = ONCE,
-) -> StreamingQuery:
-    """``first_following`` for a stream in which ``left`` and ``right`` mark the rows;
-    ``finish`` makes of its result what is emitted.
-
-    A left row waits until the watermark has passed the end of its interval; then nothing
-    that could follow it is still to come, and the batch form answers it, once.  Kept are
-    the rows that wait, and the right rows that may still be the first to follow one.
+    lateness_seconds: int | None = 3600,
+) -> DataFrame:
+    """Of a stream in which ``left`` and ``right`` mark the rows: every left row with the
+    time ``right_ts`` of each right row of the same owner that follows within so many
+    seconds, or NULL once the watermark says that none does.
+
+    An outer join of the stream with itself on the owner and an interval of time, with a
+    watermark on both sides.  As in ``first_following``, time is cut into buckets as long as
+    the interval and right rows are put into two of them, so that an owner with very many
+    rows is spread over its buckets and a pair still meets once.  A left row that is
+    delivered again counts once.
     """
-    span = within_seconds * _MICROS
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        ledger = Ledger(batch, batch_id, target, lateness_seconds)
-        waiting = ledger.read("waiting", "resource_version bigint, owner string, us bigint")
-        waiting = waiting.unionByName(
-            ledger.rows.filter(left).select("resource_version", "owner", "us")
-        ).distinct()
-        rights = ledger.read("rights", "owner string, us bigint").unionByName(
-            ledger.rows.filter(right).select("owner", "us")
+    marked = _marked(watch, lateness_seconds)
+    bucket = F.floor(F.unix_micros("ts") / (within_seconds * _MICROS)).cast("bigint")
+    lefts = (
+        marked.filter(left)
+        .select("resource_version", "owner", "ts")
+        .dropDuplicatesWithinWatermark(["resource_version"])
+        .withColumn("bucket", bucket)
+    )
+    rights = (
+        marked.filter(right)
+        .select(F.col("owner").alias("right_owner"), "ts")
+        .withColumn("home", bucket)
+        .select(
+            "right_owner",
+            F.col("ts").alias("right_ts"),
+            F.explode(F.array(F.col("home") - 1, F.col("home"))).alias("right_bucket"),
         )
-        passed = -(1 << 62) if ledger.passed is None else ledger.passed
-        answered = F.col("us") + span <= passed
-        ledger.write("waiting", waiting.filter(~answered))
-        ledger.write("rights", rights.filter(F.col("us") + span > passed).distinct())
-        found = first_following(waiting.filter(answered), rights, "owner", within_seconds, strictly)
-        ledger.emit(finish(found))
-        ledger.close()
-        batch.unpersist()
-
-    return start(watch, apply, checkpoint, trigger=trigger)
+    )
+    after = F.col("right_ts") > F.col("ts") if strictly else F.col("right_ts") >= F.col("ts")
+    soon = F.col("right_ts") <= F.col("ts") + F.expr(f"INTERVAL {within_seconds} SECONDS")
+    same = (F.col("owner") == F.col("right_owner")) & (F.col("bucket") == F.col("right_bucket"))
+    joined = lefts.join(rights, same & after & soon, "left_outer")
+    return joined.select("resource_version", "owner", "ts", "right_ts")
 
 
 DUE = "resource_version bigint, owner string, failed_us bigint, due_us bigint"
 
 
+def retry_due_frame(
+    watch: DataFrame, delay_seconds: int = RETRY_DELAY_SECONDS, lateness_seconds: int = 3600
+) -> DataFrame:
+    """``retry_due`` for a stream: a failure is emitted once the watermark says that no
+    success can come first any more."""
+    failed, succeeded = F.col("change") == "ERROR", F.col("change") != "ERROR"
+    followed = following_frame(watch, failed, succeeded, delay_seconds, True, lateness_seconds)
+    return _due(
+        followed.withColumns({"us": micros(F.col("ts")), "next_us": micros(F.col("right_ts"))}),
+        delay_seconds,
+    )
+
+
 def retry_due_stream(
     watch: DataFrame,
     target: str,
@@ -362,18 +310,29 @@ def retry_due_stream(
     lateness_seconds: int = 3600,
     trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
-    """``retry_due`` for a stream: a failure is emitted once the watermark says that no
-    success can come first any more."""
-    failed, succeeded = F.col("change") == "ERROR", F.col("change") != "ERROR"
-    return first_following_stream(
-        watch, failed, succeeded, delay_seconds, True, target, checkpoint,
-        lambda found: _due(found, delay_seconds), lateness_seconds, trigger,
-    )
+    due = retry_due_frame(watch, delay_seconds, lateness_seconds)
+    return append_stream(due, target, checkpoint, trigger)
 
 
 WAITED = "resource_version bigint, owner string, result string, waited_us bigint"
 
 
+def eventually_frame(
+    watch: DataFrame,
+    step: Column,
+    met: Column,
+    timeout_seconds: int = EXPECTATION_TIMEOUT_SECONDS,
+    lateness_seconds: int = 3600,
+) -> DataFrame:
+    """``eventually`` for a stream in which ``step`` and ``met`` mark the rows: the first of
+    the rows that follow counts, and is known once the watermark is a second later than the timeout."""
+    followed = following_frame(watch, step, met, timeout_seconds, False, lateness_seconds)
+    first = followed.groupBy("resource_version", "owner", "ts").agg(
+        F.min(micros(F.col("right_ts"))).alias("next_us")
+    )
+    return _waited(first.withColumn("us", micros(F.col("ts"))))
+
+
 def eventually_stream(
     watch: DataFrame,
     step: Column,
@@ -384,8 +343,110 @@ def eventually_stream(
     lateness_seconds: int = 3600,
     trigger: Mapping[str, object] = ONCE,
 ) -> StreamingQuery:
-    """``eventually`` for a stream in which ``step`` and ``met`` mark the rows."""
-    return first_following_stream(
-        watch, step, met, timeout_seconds, False, target, checkpoint,
-        _waited, lateness_seconds, trigger,
+    waited = eventually_frame(watch, step, met, timeout_seconds, lateness_seconds)
+    return append_stream(waited, target, checkpoint, trigger)
+
+
+TICKS = "owner string, tick_s bigint"
+
+
+def _heard(heartbeats: DataFrame, period: int) -> DataFrame:
+    """(owner, slot, us, ts): of each period of an owner the first and the last heartbeat,
+    found within each Arrow batch before anything is shuffled, so that an owner heard of
+    very often is a few rows of each task."""
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by = pa.table(batch).group_by(["owner", "slot"])
+            found = by.aggregate([("us", "min"), ("us", "max")]).select(
+                ["owner", "slot", "us_min", "us_max"]
+            )
+            yield from found.rename_columns(["owner", "slot", "us", "last_us"]).to_batches()
+
+    rows = heartbeats.select("owner", micros(F.col("ts")).alias("us")).withColumn(
+        "slot", F.floor(F.col("us") / period).cast("bigint")
+    )
+    found = rows.mapInArrow(least, "owner string, slot bigint, us bigint, last_us bigint")
+    return found.select("owner", "slot", "us", F.timestamp_micros("last_us").alias("ts"))
+
+
+def liveness_frame(
+    heartbeats: DataFrame,
+    delay_seconds: int = PROBE_INITIAL_DELAY_SECONDS,
+    period_seconds: int = PROBE_PERIOD_SECONDS,
+    lateness_seconds: int = 3600,
+    forget_periods: int | None = None,
+) -> DataFrame:
+    """``liveness`` for a stream: (owner, tick_s) for each period the watermark passes in
+    which nothing was heard of an owner, also when nothing ever is again.
+
+    The state of an owner is one entry: the next period to be judged, and those after it
+    in which it was heard of already.  A timer stands at the end of that period; when the
+    watermark reaches it, the periods passed are judged and the timer is set anew.  With
+    ``forget_periods`` an owner silent for so many periods in a row is reported that often,
+    and dropped until it is heard of again.
+    """
+    period = period_seconds * _MICROS
+    delay = delay_seconds * _MICROS
+
+    def judge(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        # The next period to be judged, the silent ones before it, those heard of.
+        upcoming, silent, heard = state.get if state.exists else (None, 0, [])
+        known, first = set(heard), None
+        for frame in frames if not state.hasTimedOut else ():
+            known.update(frame["slot"].tolist())
+            here = int(frame["us"].min())
+            first = here if first is None else min(first, here)
+        if upcoming is None:
+            upcoming = -(-(first + delay) // period)
+        passed = state.getCurrentWatermarkMs() * 1_000 // period
+        missed, gone = [], False
+        while upcoming < passed and not gone:
+            # To the next period that was heard of, or to the last one passed.
+            until = min((s for s in known if s >= upcoming), default=passed)
+            until = min(until, passed)
+            if forget_periods is not None and silent + until - upcoming >= forget_periods:
+                until, gone = upcoming + forget_periods - silent, True
+            missed.append((upcoming, until))
+            silent += until - upcoming
+            if until < passed and not gone:
+                silent = 0
+                until += 1
+            upcoming = until
+            if gone and (again := [s for s in known if s >= upcoming]):
+                upcoming, silent, gone = min(again), 0, False
+        if gone:
+            state.remove()
+        else:
+            state.update((upcoming, silent, sorted(s for s in known if s >= upcoming)))
+            # Fires when the watermark has reached the end of the period.
+            end = (upcoming + 1) * period // 1_000 - 1
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs()))
+        for begin, end in missed:
+            for low in range(begin, end, _CHUNK):
+                ticks = range(low, min(low + _CHUNK, end))
+                yield pd.DataFrame({"owner": key[0], "tick_s": [t * period_seconds for t in ticks]})
+
+    heard = _marked(_heard(heartbeats, period), lateness_seconds)
+    return heard.groupBy("owner").applyInPandasWithState(
+        judge,
+        TICKS,
+        "upcoming bigint, silent bigint, heard array<bigint>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
+
+
+def liveness_stream(
+    heartbeats: DataFrame,
+    target: str,
+    checkpoint: str,
+    delay_seconds: int = PROBE_INITIAL_DELAY_SECONDS,
+    period_seconds: int = PROBE_PERIOD_SECONDS,
+    lateness_seconds: int = 3600,
+    trigger: Mapping[str, object] = ONCE,
+    forget_periods: int | None = None,
+) -> StreamingQuery:
+    missed = liveness_frame(heartbeats, delay_seconds, period_seconds, lateness_seconds, forget_periods)
+    return append_stream(missed, target, checkpoint, trigger)

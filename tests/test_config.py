@@ -403,3 +403,76 @@ def test_catalog_document_round_trip(spark, tmp_path, catalog):
         assert theirs.count() == mine.count()
     with pytest.raises(FileNotFoundError):
         catalogs.read_catalog(spark, [str(tmp_path / "absent.json")])
+
+
+def yaml_of(numbers):
+    """Documents of three sizes with marks of every kind."""
+    import yaml
+
+    out = []
+    for n in numbers:
+        spec = {"version": "3.1.1", "text": "a\n---\nb" * (n % 3), "config": {"secret": "x" * (n % 40)}}
+        out.append(yaml.safe_dump({"metadata": {"name": f"c{n}", "uid": str(n)}, "spec": spec}))
+    marks = ["---\n", "--- # more\n", "---\n# note\n", "...\n---\n"]
+    return "".join(marks[n % 4] + text for n, text in zip(numbers, out))
+
+
+def test_one_yaml_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.yaml").write_text("%YAML 1.1\n" + yaml_of(range(600)))
+    sizes = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        lines = specs.yaml_to_json(spark, str(tmp_path / "one"))
+        parts = lines.select(F.spark_partition_id().alias("p")).distinct().count()
+        uids = [json.loads(r.value)["metadata"]["uid"] for r in lines.collect()]
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    assert parts > 5 and sorted(map(int, uids)) == list(range(600))
+
+
+def test_a_stream_of_yaml_that_is_started_again(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def ran():
+        stream = specs.yaml_to_json(spark, str(source), stream=True, maxFilesPerTrigger="1")
+        stream.writeStream.format("text").option("path", target).option(
+            "checkpointLocation", f"{target}-cp"
+        ).trigger(availableNow=True).start().awaitTermination()
+        rows = specs.parse_specs(spark.read.text(target)).select("metadata.uid").collect()
+        return sorted(int(r.uid) for r in rows)
+
+    for i in range(3):
+        (source / f"{i}.yaml").write_text(yaml_of(range(10 * i, 10 * i + 10)))
+    assert ran() == list(range(30))
+    assert ran() == list(range(30))
+    (source / "3.yaml").write_text(yaml_of(range(30, 45)))
+    assert ran() == list(range(45))
+
+
+def test_fills_of_distinct_versions(spark, catalog, monkeypatch):
+    """Answers of distinct (role, version) pairs equal the look-up row by row, and one pair
+    with nearly all rows is spread."""
+    rows = [(i, role, f"g{i}", v) for i, (role, v) in enumerate(
+        (role, v) for role in ("master", "slave", "history-server", "other", None)
+        for v in ("0.1.0", "0.6.2", "1.4.1", "1.5.0", "3.1.1", "x.y", None)
+    )]
+    rows += [(i, "slave", f"g{i}", "3.1.1") for i in range(100, 2_000)]
+    df = spark.createDataFrame(rows, "cluster_id bigint, role string, role_group string, v string")
+    df = df.withColumn("version_rank", version_rank(F.col("v")))
+    want = sorted(map(repr, validation.with_fills(df, catalog).drop("version_rank").collect()))
+    with monkeypatch.context() as large:
+        large.setattr(type(catalog), "is_small", lambda *_: False)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            got = validation.with_fills(df, catalog)
+            tasks = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            got = sorted(map(repr, got.select(*[c for c in df.columns if c != "version_rank"], "fills").collect()))
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == want
+    sizes = sorted(r["count"] for r in tasks)
+    assert len(sizes) == 1 or sizes[-1] < 2 * sizes[len(sizes) // 2]

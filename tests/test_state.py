@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from muster.operators import matrix, project, selectors, state
+from muster.operators import matrix, project, selectors, state, steps
 from muster.schema import KEY
 from test_config import HISTORY, MASTER, WORKER, cluster, groups
 
@@ -98,9 +98,11 @@ OPERATORS = {
 }
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_selectors_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(selectors, "settled", lambda df, name: (df, small))
+@pytest.mark.parametrize("rows, short", [(50_000, 64), (7, 1)])
+def test_selectors_against_brute_force(spark, monkeypatch, rows, short):
+    """Also with many salts, and where lists of two values count as long."""
+    monkeypatch.setattr(selectors, "SALT_ROWS", rows)
+    monkeypatch.setattr(selectors, "SHORT", short)
     rng = random.Random(7)
     # A third of all objects look the same.
     objects = [
@@ -132,6 +134,26 @@ def test_selectors_against_brute_force(spark, monkeypatch, small):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_long_lists_are_joined_after_the_match(spark):
+    """Many selectors of many values; the plan repeats no list for an object."""
+    n = 300
+    objects = spark.range(2_000).select(
+        "id", F.create_map(F.lit("zone"), (F.col("id") % n).cast("string"), F.lit("hot"), F.lit("yes")).alias("labels")
+    )
+    values = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("string"))
+    rest = F.filter(values, lambda v: v != F.col("id").cast("string"))
+
+    def expr(key, operator, vals):
+        return F.struct(F.lit(key).alias("label_key"), F.lit(operator).alias("operator"), vals.alias("vals"))
+
+    hot = F.array(F.lit("yes"))
+    chosen = spark.range(n).select(
+        F.col("id").alias("selector_id"), F.array(expr("hot", "In", hot), expr("zone", "NotIn", rest)).alias("exprs")
+    )
+    got = selectors.select_by_labels(objects, chosen, ["id"]).collect()
+    assert sorted((r.selector_id, r.id) for r in got) == sorted((i % n, i) for i in range(2_000))
+
+
 def test_selector_of_a_spec(spark):
     schema = "s struct<matchLabels:map<string,string>,matchExpressions:array<struct<key:string,operator:string,values:array<string>>>>"
     rows = [((({"os": "linux"}), [("gpu", "Exists", None)]),), (None,), ((None, None),)]
@@ -206,3 +228,73 @@ def test_latest_per_key_keeps_columns(spark):
     assert got.columns == ["k", "v", "x"]
     assert sorted(map(tuple, got.collect())) == [("a", 2, "y"), ("b", 1, "z")]
     assert KEY == ["cluster_id", "role", "role_group"]
+
+
+def simple_steps(tests, expectations, changes, timeout):
+    """Every instant of a step's time, one after the other."""
+
+    def status(thing, t):
+        past = [(us, v, s) for o, us, v, s in changes if o == thing and us <= t]
+        return max(past)[2] if past else None
+
+    out = {}
+    for test, start in tests:
+        mine = {}
+        for t, k, thing, want in expectations:
+            if t == test:
+                mine.setdefault(k, set()).add((thing, want))
+        for k in sorted(mine):
+            if start is None:
+                out[test, k] = ("not_run", None, None)
+                continue
+            end = start + timeout
+            instants = sorted({start, *(us for o, us, _, _ in changes if start < us <= end)})
+            met = next((t for t in instants if all(status(o, t) == w for o, w in mine[k])), None)
+            out[test, k] = ("timeout", start, end) if met is None else ("pass", start, met)
+            start = met
+    return out
+
+
+def run_steps(spark, tests, expectations, changes, timeout_s):
+    got = steps.run_steps(
+        spark.createDataFrame(tests, "test string, start_us bigint"),
+        spark.createDataFrame(expectations, "test string, step int, object string, expected string"),
+        spark.createDataFrame(changes, "object string, us bigint, version bigint, status string"),
+        timeout_s,
+    ).collect()
+    assert len(got) == len({(r.test, r.step) for r in got})
+    return {(r.test, r.step): (r.result, r.start_us, r.end_us) for r in got}
+
+
+def test_steps_against_brute_force(spark):
+    rng = random.Random(11)
+    second = 1_000_000
+    changes = [
+        (rng.choice("abc"), rng.randrange(60) * second, i, rng.choice("01")) for i in range(60)
+    ]
+    tests = [(f"t{i}", rng.randrange(30) * second) for i in range(40)]
+    expectations = [
+        (t, k, thing, rng.choice("01"))
+        for t, _ in tests
+        for k in range(1, rng.randint(1, 4) + 1)
+        for thing in rng.sample("abcz" if rng.random() < 0.1 else "abc", rng.randint(1, 3))
+    ]
+    want = simple_steps(tests, expectations, changes, 20 * second)
+    assert run_steps(spark, tests, expectations + expectations[:3], changes, 20) == want
+    assert {r for r, *_ in want.values()} == {"pass", "timeout", "not_run"}
+    assert run_steps(spark, tests, [], changes, 20) == {}
+
+
+def test_expectations_that_never_hold_together_time_out(spark):
+    """Each holds at times, the second only when the first does not; at the instant both
+    turn, and where both hold for no time at all, neither counts."""
+    second = 1_000_000
+    changes = [("a", 0, 1, "up"), ("b", 0, 2, "down")]
+    changes += [("a", 10 * second, 3, "down"), ("b", 10 * second, 4, "up")]
+    changes += [("a", 20 * second, 5, "up"), ("b", 20 * second, 6, "up"), ("b", 20 * second, 7, "down")]
+    both = [("t", 1, "a", "up"), ("t", 1, "b", "up"), ("t", 2, "a", "up")]
+    got = run_steps(spark, [("t", 0)], both, changes, 300)
+    assert got == {("t", 1): ("timeout", 0, 300 * second), ("t", 2): ("not_run", None, None)}
+    changes.append(("b", 30 * second, 8, "up"))
+    got = run_steps(spark, [("t", 0)], both, changes, 300)
+    assert got == {("t", 1): ("pass", 0, 30 * second), ("t", 2): ("pass", 30 * second, 30 * second)}
