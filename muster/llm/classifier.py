@@ -249,5 +249,7 @@ def keep_quality(
     docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The documents that score at least ``threshold``, with all their columns."""
-    mark = "_quality_score"
+    mark = "score"
+    while mark.lower() in {c.lower() for c in docs.columns}:
+        mark += "_"
     return score(docs, model, text_col, mark).where(F.col(mark) >= threshold).drop(mark)

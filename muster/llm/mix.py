@@ -12,8 +12,8 @@ Both permutations are the swap-or-not shuffle, which needs nothing but hashes an
 on any number of items.  Everything is DataFrame functions, and reruns agree.
 
 Defined results: NULL text has no words and size 0; documents without words are taken 0
-times; a NULL source is a source, the last; equal rows each count; empty tables give no
-rows; a source whose target rounds to no slot is left out, which only sources shorter
+times; a NULL source is a source, the last; a source without words has no slots; equal rows
+each count; empty tables give no rows; a source whose target rounds to no slot is left out, which only sources shorter
 than a block can be.
 """
 
@@ -127,7 +127,11 @@ def mix_plan(
     sources = settle(source_targets(sizes, weights, share, limit), "mix")
     blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
     counts = sources.withColumn("blocks", blocks).withColumn(
-        "slots", F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+        "slots",
+        F.coalesce(
+            F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))).cast("long"),
+            F.lit(0),
+        ),
     )
     documents = lines.join(
         sources, lines["source"].eqNullSafe(sources["source"])
@@ -204,17 +208,33 @@ def mix_taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(
-    docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options
+    docs: DataFrame,
+    text_col: str = "text",
+    chars_col: str | None = "n_chars",
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    **options,
 ) -> DataFrame:
     """The mix as documents: one row for each pass over a document that takes some of it.
 
     The text is what the pass takes: the whole text as it stands, or the taken runs of
     words with the white space that follows each word, runs joined by a line feed.
     ``chars_col``, if the documents have it, is counted anew; all other columns are kept.
-    The documents are written once to the shared folder, so that their rows can be told apart.
+    The documents are written once to the shared folder, so that their rows can be told
+    apart; they are one column of it, so their own columns may have any name.
     """
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    documents, pieces, slots = mix_plan(rows, text_col=text_col, row_col="_row", **options)
+    whole = F.struct(*[named(c) for c in docs.columns])
+    rows = settle(
+        docs.select(
+            whole.alias("whole"),
+            named(id_col).alias("id"),
+            named(text_col).alias("text"),
+            named(source_col).alias("source"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "mix-docs",
+    )
+    documents, pieces, slots = mix_plan(rows, "id", "text", "source", row_col="row", **options)
     runs = (
         pieces.join(slots.select("place", "pass", "block").hint("merge"), ["place", "block"])
         .groupBy("row", "pass")
@@ -222,21 +242,25 @@ def mix_documents(
             F.sum("words").alias("taken"),
             F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("runs"),
         )
-        .withColumnRenamed("row", "_row")
     )
-    text = named(text_col)
-    tail = F.regexp_extract_all(text, F.lit(f"{WORD}(?:{BLANKS})?"), F.lit(0))
+    tail = F.regexp_extract_all("text", F.lit(f"{WORD}(?:{BLANKS})?"), F.lit(0))
     # A run that follows on the one before it is joined without a mark.
     taken_text = F.expr(
         "aggregate(runs, named_struct('text', '', 'upto', -1L), (a, r) -> named_struct("
         "'text', concat(a.text, if(a.upto = -1L or a.upto = r.from_word, '', '\n'),"
-        " array_join(slice(_words, cast(r.from_word + 1 as int), cast(r.words as int)), '')),"
+        " array_join(slice(words, cast(r.from_word + 1 as int), cast(r.words as int)), '')),"
         "'upto', r.from_word + r.words), a -> a.text)"
     )
-    cut = rows.join(runs.hint("merge"), "_row").withColumn("_words", tail)
+    cut = rows.join(runs.hint("merge"), "row").withColumn("words", tail)
     cut = cut.withColumn(
-        text_col, F.when(F.size("_words") == F.col("taken"), text).otherwise(taken_text)
+        "text", F.when(F.size("words") == F.col("taken"), F.col("text")).otherwise(taken_text)
     )
-    if chars_col and chars_col in docs.columns:
-        cut = cut.withColumn(chars_col, F.char_length(named(text_col)).cast(docs.schema[chars_col].dataType))
-    return cut.select(*[named(c) for c in docs.columns])
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col("text").alias(name)
+        if name == chars_col:
+            return F.char_length("text").cast(docs.schema[name].dataType).alias(name)
+        return F.col("whole").getField(name).alias(name)
+
+    return cut.select(*[column(c) for c in docs.columns])

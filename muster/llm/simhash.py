@@ -268,14 +268,24 @@ def drop_near_duplicates(
     """One document of each group, the one of the smallest id (NULL last), whole.
 
     Of rows that repeat that id one stays.  The documents are written once to the shared
-    folder, so that their rows can be told apart.
+    folder, so that their rows can be told apart; they are one column of it, so their own
+    columns may have any name.
     """
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    prints = settle(fingerprints(rows, "_row", text_col), "prints")
-    ids = rows.select(
-        "_row", named(id_col).isNull().alias("missing"), named(id_col).alias("id")
-    ).join(prints.withColumnRenamed("doc_id", "_row"), "_row")
-    first = F.min(F.struct("missing", "id", "_row"))
+    whole = F.struct(*[named(c) for c in docs.columns])
+    rows = settle(
+        docs.select(
+            whole.alias("whole"),
+            named(id_col).alias("id"),
+            named(text_col).alias("text"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "documents",
+    )
+    prints = settle(fingerprints(rows, "row", "text"), "prints")
+    ids = rows.select("row", F.col("id").isNull().alias("missing"), "id").join(
+        prints.withColumnRenamed("doc_id", "row"), "row"
+    )
+    first = F.min(F.struct("missing", "id", "row"))
     firsts = ids.groupBy("fp").agg(first.alias("first")).join(classes(prints, radius), "fp")
-    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*[named(c) for c in docs.columns])
+    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select("whole.*")

@@ -8,6 +8,7 @@ import numpy as np
 import oracle
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -123,3 +124,42 @@ def test_stages(spark):
 
 def test_whole_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+CLASHES = [
+    "_row", "_words", "_quality_score", "pass", "taken", "runs", "row", "id", "whole", "words",
+    "fp", "score", "block", "place", "size", "n_words", "x.y", "grams", "kept", "value",
+]
+
+
+def odd_documents(spark):
+    """Nulls in any column, empty, blank and repeated texts, equal rows, any other columns."""
+    good = spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in good]
+    rows += [(None, None, None, None, None), (7_001, None, "en", "web", 0), (7_002, "", "en", None, 0)]
+    rows += [(7_003, " \t\n ", None, "web", 4), *rows[:5], (None, *rows[0][1:]), (rows[1][0], *rows[2][1:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHES:
+        df = df.withColumn(name, F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")))
+    return df
+
+
+def test_stages_keep_rows_and_columns_whole(spark):
+    docs = odd_documents(spark)
+    given = collections.Counter(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns and got.schema == docs.schema, name
+        kept = got.collect()
+        assert kept, name
+        if name == "source_mix":
+            own = {(r.doc_id, r["_row"], r["x.y"], r["pass"]) for r in docs.collect()}
+            assert {(r.doc_id, r["_row"], r["x.y"], r["pass"]) for r in kept} <= own
+        else:
+            assert not collections.Counter(map(tuple, kept)) - given, name
+        empty = stage(spark, docs.limit(0), FOLDER)
+        assert empty.count() == 0 and empty.columns == docs.columns, name
+    name, stage = corpus_pipeline.STAGES[-1]
+    pieces = stage(spark, docs, FOLDER)
+    assert sum(given.values()) == pieces.where("piece = 0").count()
+    assert stage(spark, docs.limit(0), FOLDER).count() == 0
