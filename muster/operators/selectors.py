@@ -79,14 +79,16 @@ def _tokens(labels: Column) -> Column:
     return F.flatten(
         F.transform(
             F.map_entries(labels),
-            lambda e: F.array(_token(e["key"], e["value"]), _token(e["key"], F.lit(None))),
+            lambda e: F.array(_token(e["key"], e["value"]), _token(e["key"])),
         )
     )
 
 
-def _token(key: Column, value: Column) -> Column:
-    # A NULL would not join; an empty text can be a label value, hence the mark.
-    return F.to_json(F.struct(key.alias("k"), value.cast("string").alias("v")))
+def _token(key: Column, value: Column | None = None) -> Column:
+    # No two are written alike: the length says where the key ends, the mark that a value
+    # follows, which may be empty.
+    name = F.concat(F.char_length(key).cast("string"), F.lit(":"), key)
+    return name if value is None else F.concat(name, F.lit("="), value)
 
 
 def _lookups(wanted: DataFrame, objects: DataFrame) -> DataFrame:
@@ -102,11 +104,12 @@ def _lookups(wanted: DataFrame, objects: DataFrame) -> DataFrame:
     tokens = F.when(
         F.col("operator") == "In",
         F.transform(F.array_distinct("vals"), lambda v: _token(key, v)),
-    ).otherwise(F.array(_token(key, F.lit(None))))
+    ).otherwise(F.array(_token(key)))
     shown_by = rows.filter(F.col("operator").isin("In", "Exists")).select(
         "selector_id", "expr_no", F.explode_outer(tokens).alias("token")
     )
     shown = objects.select(F.explode(_tokens(F.col("labels"))).alias("token"))
+    shown = shown.join(shown_by.select("token").distinct(), "token", "left_semi")
     counts = shown.groupBy("token").agg(F.count("*").alias("n"))
     costed = shown_by.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     cost = costed.groupBy("selector_id", "expr_no").agg(F.sum("n").alias("cost"))

@@ -70,6 +70,12 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settled_in_row(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with ``value`` as a column that is worked out once however often it is used:
+    Spark would write the expression out again at each use of a plain column."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _highest(items: Column) -> Column:
     """Of an array of (layer, file, prop, value) the highest layer of each (file, prop)."""
 
@@ -165,7 +171,7 @@ def merged_rows(
     groups = group_rows(clusters, role_groups, overrides)
     own = F.concat(derived_array(rules), F.col("overrides"))
     groups, merged = _merged_array(groups, own, catalog, imply=False)
-    return groups.select(*KEY, merged.alias("props"))
+    return settled_in_row(groups, merged, "props").select(*KEY, "props")
 
 
 def validated_layers(
@@ -243,7 +249,7 @@ def effective_rows(
     own = F.concat(derived_array(rules), F.col("fills"), F.col("overrides"))
     if catalog.is_small(catalog.implied_by_role, "implied_by_role"):
         groups, merged = _merged_array(filled, own, catalog, imply=True)
-        return groups.withColumn("props", merged).drop("fills", "overrides", "implied")
+        return settled_in_row(groups, merged, "props").drop("fills", "overrides", "implied")
     rows = filled.select(*KEY, "version_rank", F.inline(_set_or_missing(own)))
     merged = merge_layers(expand_implied(rows, catalog))
     entry = F.struct("file", "prop", "layer", "value")
