@@ -6,8 +6,9 @@ turns of a named user, system turns stay system turns.  A rendering is the conca
 of its segments in order, so segments carry their place and the characters before them,
 and a conversation of any length is spread over partitions (see ``running_totals``).
 
-Defined results: NULL text is empty; a NULL role is a speaker named ``unknown``; white
-space in a name becomes ``_``; turns of equal number are ordered by role and text, NULL
+Defined results: NULL text is empty; a NULL or empty role is a speaker named ``unknown``;
+white space in a name becomes ``_``; where names of one conversation become alike so, all but
+the first of them (NULL first) have their number after a space; turns of equal number are ordered by role and text, NULL
 turns come first, repeated rows are repeated segments; a NULL conversation id is a
 conversation of its own; a conversation of system turns alone has no participants and no
 rendering; texts are never cut or changed.
@@ -15,7 +16,7 @@ rendering; texts are never cut or changed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.llm.common import BLANKS, named, running_totals
@@ -30,6 +31,23 @@ def _head(kind: Column) -> Column:
     return F.concat(F.lit(BEGIN), kind, F.lit("\n"))
 
 
+def _told_apart(said: DataFrame) -> DataFrame:
+    """Speakers of one conversation whose names have become alike, with a number; few do, so
+    it is a small table that the turns are joined with."""
+    alike = Window.partitionBy("conv_id", "speaker").orderBy(F.col("role").asc_nulls_first())
+    number = F.row_number().over(alike)
+    names = said.where("NOT system").select("conv_id", "speaker", "role").distinct()
+    others = names.withColumn("number", number).where("number > 1").select(
+        F.col("conv_id").alias("conv"),
+        F.col("role").alias("raw"),
+        F.concat_ws(" ", "speaker", "number").alias("other"),
+    )
+    same = said["conv_id"].eqNullSafe(others["conv"]) & said["role"].eqNullSafe(others["raw"])
+    return said.join(others, same & ~said["system"], "left").select(
+        "conv_id", "turn", "system", F.coalesce("other", "speaker").alias("speaker"), "text"
+    )
+
+
 def rotate(
     turns: DataFrame,
     conv_col: str = "conv_id",
@@ -54,7 +72,9 @@ def rotate(
         .otherwise(F.regexp_replace(F.when(role == "", UNKNOWN).otherwise(role), BLANKS, "_"))
         .alias("speaker"),
         F.coalesce(named(text_col), F.lit("")).alias("text"),
+        named(role_col).alias("role"),
     )
+    said = _told_apart(said)
     who = (
         said.where("NOT system")
         .select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective"))

@@ -44,11 +44,15 @@ FROM d LEFT JOIN m USING (r)"""
 
 
 ROTATION = r"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-           FROM conversations),
-s AS (SELECT conv_id, turn, text, role = 'system' AS system,
+WITH r AS (SELECT conv_id, turn, role AS raw, coalesce(role, 'unknown') AS role,
+        coalesce(text, '') AS text FROM conversations),
+t AS (SELECT conv_id, turn, text, raw, role = 'system' AS system,
         CASE role WHEN 'system' THEN role WHEN '' THEN 'unknown'
-             ELSE regexp_replace(role, '[\x20\x09-\x0D]+', '_', 'g') END AS speaker FROM r),
+             ELSE regexp_replace(role, '[\x20\x09-\x0D]+', '_', 'g') END AS name FROM r),
+s AS (SELECT *, CASE WHEN NOT system AND number > 1 THEN concat(name, ' ', number) ELSE name END
+        AS speaker
+      FROM (SELECT *, dense_rank() OVER (PARTITION BY conv_id, system, name
+              ORDER BY raw NULLS FIRST) AS number FROM t)),
 w AS (SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM s WHERE NOT system),
 x AS (SELECT conv_id, perspective, turn, speaker, NOT system AND speaker = perspective AS learn,
         concat('<|im_start|>', CASE WHEN system THEN 'system'

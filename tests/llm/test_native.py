@@ -406,4 +406,13 @@ def test_rotation(spark):
         text = whole[r.conv_id, r.perspective].text
         assert text[r.segment_start : r.segment_end] == r.segment
     assert len(whole[3, "unknown"].mask) == 2
+    clash = [(1, i, role, f"t{i}") for i, role in enumerate(
+        ["a b", "a_b", "a\tb", None, "unknown", "", "a b", "system", "plain"])]
+    clash.append((2, 0, "a_b", "other"))
+    rows = chat.rotate(spark.createDataFrame(clash, "conv_id long, turn long, role string, text string")).collect()
+    own = {(r.conv_id, r.perspective): {r2.turn for r2 in rows if r2.learn and (r2.conv_id, r2.perspective) == (r.conv_id, r.perspective)} for r in rows}
+    assert own == {
+        (1, "a_b"): {2}, (1, "a_b 2"): {0, 6}, (1, "a_b 3"): {1}, (1, "unknown"): {3},
+        (1, "unknown 2"): {5}, (1, "unknown 3"): {4}, (1, "plain"): {8}, (2, "a_b"): {0},
+    }
     assert chat.rotate(table.limit(0)).count() == 0
