@@ -225,15 +225,10 @@ def mix_documents(
     """
     whole = F.struct(*[named(c) for c in docs.columns])
     rows = settle(
-        docs.select(
-            whole.alias("whole"),
-            named(id_col).alias("id"),
-            named(text_col).alias("text"),
-            named(source_col).alias("source"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "mix-docs",
+        docs.select(whole.alias("whole"), F.monotonically_increasing_id().alias("row")), "mix-docs"
     )
+    own = {"id": id_col, "text": text_col, "source": source_col}
+    rows = rows.select("*", *[F.col("whole").getField(c).alias(n) for n, c in own.items()])
     documents, pieces, slots = mix_plan(rows, "id", "text", "source", row_col="row", **options)
     runs = (
         pieces.join(slots.select("place", "pass", "block").hint("merge"), ["place", "block"])

@@ -273,16 +273,11 @@ def drop_near_duplicates(
     """
     whole = F.struct(*[named(c) for c in docs.columns])
     rows = settle(
-        docs.select(
-            whole.alias("whole"),
-            named(id_col).alias("id"),
-            named(text_col).alias("text"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "documents",
+        docs.select(whole.alias("whole"), F.monotonically_increasing_id().alias("row")), "documents"
     )
-    prints = settle(fingerprints(rows, "row", "text"), "prints")
-    ids = rows.select("row", F.col("id").isNull().alias("missing"), "id").join(
+    own, text = F.col("whole").getField(id_col), F.col("whole").getField(text_col)
+    prints = settle(fingerprints(rows.select("row", text.alias("text")), "row", "text"), "prints")
+    ids = rows.select("row", own.isNull().alias("missing"), own.alias("id")).join(
         prints.withColumnRenamed("doc_id", "row"), "row"
     )
     first = F.min(F.struct("missing", "id", "row"))
