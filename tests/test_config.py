@@ -433,6 +433,15 @@ def test_one_yaml_file_is_read_by_many_tasks(spark, tmp_path):
     assert parts > 5 and sorted(map(int, uids)) == list(range(600))
 
 
+def test_yaml_is_parsed_by_libyaml_with_the_same_results():
+    import yaml
+
+    assert yaml.__with_libyaml__ and specs.yaml_loader() is yaml.CSafeLoader
+    texts = [yaml_of(range(40)), '{"a": {"b": [1, 2.5, true, null, "é\\n\\u00e9"]}, "c":"1e5"}', "a: 012\nb: 1e5\n", ""]
+    for text in texts:
+        assert list(yaml.load_all(text, specs.yaml_loader())) == list(yaml.safe_load_all(text))
+
+
 def test_a_stream_of_yaml_that_is_started_again(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
