@@ -81,3 +81,35 @@ def test_the_diff_reads_buckets_that_differ(spark, tmp_path):
     assert [tuple(r)[:5] for r in diff.collect()] == [key]
     plan = diff._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = {(c, "master", "g", "x", "a"): "1" for c in range(400)}
+    changed = {**rows, (7, "master", "g", "x", "a"): "2"}
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for name, fleet_rows in (("old", rows), ("new", changed)):
+            digests.write_tree(frame(spark, fleet_rows), str(tmp_path / name), buckets=2)
+        got = digests.diff_trees(spark, str(tmp_path / "old"), str(tmp_path / "new")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [tuple(r) for r in got] == [(7, "master", "g", "x", "a", "1", "2")]
+    for bucket in (tmp_path / "old" / "prop").glob("bucket=*"):
+        assert len(list(bucket.glob("*.parquet"))) > 4
+    same = digests.properties_of(spark, str(tmp_path / "old")).collect()
+    assert sorted(map(tuple, same)) == sorted((*k, v) for k, v in rows.items())
+
+
+def test_sums_of_parts_are_exact(spark):
+    """Digests equal sums of whole numbers modulo 2^60, whatever carries over."""
+    size, hashes = 1 << 60, ["f" * 64, "f" * 60 + "0" * 4, "0" * 14 + "1" + "8" + "0" * 48, "7" * 64] * 50
+    want = "".join(
+        f"{sum(int(h[15 * k : 15 * k + 15], 16) for h in hashes) % size:015x}" for k in range(4)
+    )
+    rows = spark.createDataFrame([(1, h) for h in hashes], "k int, hash string")
+    got = digests._text(rows, ["k"], "hash", F.count("*")).first()
+    assert (got.digest, got.n) == (want, len(hashes))
