@@ -8,8 +8,8 @@ is the sum over its n-grams of log(trusted / raw), by the number of n-grams, aga
 fixed threshold.  Logs are rounded to millionths and summed as integers, so the verdict
 does not depend on the order of additions.
 
-Both multinomials are of whole tables: every trusted document counts.  Up to
-``BROADCAST_IDS`` trusted ids are broadcast; more of them meet the documents in a shuffle.
+Both multinomials are of whole tables: every trusted document counts.  Trusted ids, however
+many, meet the documents in a shuffle.
 
 Defined results: NULL and empty texts have no words and fail the base rules; a document
 without n-grams has ratio 0; no trusted documents, or none that matches, means ratio 0
@@ -28,7 +28,6 @@ from muster.llm.common import BLANKS, let, named, words_of
 BUCKETS = 1 << 14
 PRIOR = 20_000
 THRESHOLD = -0.3
-BROADCAST_IDS = 50_000
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
@@ -153,15 +152,13 @@ def bucket_weights(
 ) -> list[int]:
     """For each bucket log(trusted / raw) in millionths; one number per bucket, no more.
 
-    No more than ``BROADCAST_IDS`` ids are broadcast.  Of more, each task hashes its share,
-    so that texts are shuffled once and not sorted.
+    Each task hashes its share of the ids, so texts are shuffled once and not sorted.
     """
     ids = trusted_ids(trusted, id_col).select(
         F.col("doc_id").alias("_id"), F.lit(1).cast("long").alias("_trusted")
     )
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     flagged = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text")).join(
-        ids.hint("broadcast" if few else "shuffle_hash"), "_id", "left"
+        ids.hint("shuffle_hash"), "_id", "left"
     )
     counts = (
         flagged.select(

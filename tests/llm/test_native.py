@@ -82,19 +82,16 @@ def test_verdicts(spark):
     assert quality.judge(table.limit(0), trusted).count() == 0
 
 
-def test_every_trusted_document_counts(spark, monkeypatch):
-    """Ids too many to be broadcast meet the documents in a shuffle, and none is left out."""
-    n = 60
+def test_every_trusted_document_counts(spark):
+    """None of many ids is left out; repeated and NULL ones count once and not at all."""
+    assert quality.trusted_ids(spark.range(50_010).toDF("doc_id")).count() == 50_010
     table = spark.createDataFrame(
-        [(i, f"w{i} w{i} all") for i in range(n)] + [(None, "nobody"), (3, "w3 again")], "doc_id long, text string"
+        [(i, f"w{i} all") for i in range(60)] + [(None, "nobody")], "doc_id long, text string"
     )
-    trusted = spark.createDataFrame([(i,) for i in range(0, n, 2)] * 2 + [(None,)], "doc_id long")
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)] * 2 + [(None,)], "doc_id long")
     whole = quality.bucket_weights(table, trusted)
-    monkeypatch.setattr(quality, "BROADCAST_IDS", 4)
-    assert quality.trusted_ids(trusted).count() == n // 2
-    assert quality.bucket_weights(table, trusted) == whole
-    few = trusted.where("doc_id < 8")
-    assert quality.bucket_weights(table, few) != whole
+    assert whole == quality.bucket_weights(table, trusted.where("doc_id IS NOT NULL").distinct())
+    assert whole != quality.bucket_weights(table, trusted.where("doc_id < 50"))
 
 
 def test_ratio_is_the_hashed_ratio(spark):
