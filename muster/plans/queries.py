@@ -92,10 +92,10 @@ def _layers(fleet: Fleet) -> DataFrame:
     return effective.property_layers(fleet.clusters(), fleet.role_groups(), fleet.overrides())
 
 
-def _merged(fleet: Fleet) -> DataFrame:
+def _merged(fleet: Fleet, imply: bool = False) -> DataFrame:
     """The winning layer of each property."""
     return effective.merged_layers(
-        fleet.clusters(), fleet.role_groups(), fleet.overrides(), _catalog(fleet)
+        fleet.clusters(), fleet.role_groups(), fleet.overrides(), _catalog(fleet), imply=imply
     )
 
 
@@ -127,7 +127,7 @@ def effective_status(fleet: Fleet) -> DataFrame:
 
 @query
 def merge_layers(fleet: Fleet) -> DataFrame:
-    return properties.merge_layers(_layers(fleet))
+    return _merged(fleet).drop("version_rank")
 
 
 @query
@@ -428,7 +428,7 @@ def missing_required(fleet: Fleet) -> DataFrame:
 
 @query
 def expand_implied(fleet: Fleet) -> DataFrame:
-    return properties.merge_layers(validation.expand_implied(_layers(fleet), _catalog(fleet)))
+    return _merged(fleet, imply=True).drop("version_rank")
 
 
 @query
