@@ -193,10 +193,12 @@ def effective_config_of_specs(fleet: Fleet) -> DataFrame:
     of_role = as_maps(
         overrides.filter("role_group IS NULL"), ["cluster_id", "role"], "role_override_map"
     )
+    # The join on the cluster comes last, where its document is made.
     groups = (
-        _groups(fleet)
+        fleet.role_groups()
         .join(of_group, KEY, "left")
         .join(of_role, ["cluster_id", "role"], "left")
+        .join(fleet.clusters(), "cluster_id")
     )
     lines = specs.spec_documents(groups).select(F.to_json(F.struct("metadata", "spec")).alias("value"))
     return effective.effective_config_of_specs(specs.parse_specs(lines), _catalog(fleet))

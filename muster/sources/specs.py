@@ -67,8 +67,9 @@ def yaml_to_json(spark: SparkSession, path: str, stream: bool = False, **options
 
 
 def parse_specs(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Spec rows out of a column of JSON documents."""
-    return lines.select(F.from_json(column, SPEC).alias("doc")).select("doc.*")
+    """Spec rows out of a column of JSON documents, each of which is parsed once: a filter on
+    the rows would otherwise be moved below and parse them again."""
+    return lines.select(F.explode(F.array(F.from_json(column, SPEC))).alias("doc")).select("doc.*")
 
 
 def spec_documents(role_groups: DataFrame) -> DataFrame:
@@ -77,7 +78,8 @@ def spec_documents(role_groups: DataFrame) -> DataFrame:
     group and ``role_override_map`` of its role (both file -> prop -> value) are taken if
     present.
 
-    Role groups meet in their role, roles in their cluster: a document is one row.
+    Role groups meet in their cluster at once, since a document is one row: rows that were
+    joined on ``cluster_id`` are not shuffled again.
     """
     group = SPEC["spec"].dataType["masters"].dataType["roleGroups"].dataType.valueType
     empty_overrides = F.lit(None).cast("map<string,map<string,string>>")
@@ -100,25 +102,32 @@ def spec_documents(role_groups: DataFrame) -> DataFrame:
         F.lit(None).cast(group["selector"].dataType).alias("selector"),
     )
     cluster = ["cluster", "namespace", "version", "stopped", "secret", "max_port_retries"]
-    roles = role_groups.groupBy(*cluster, "role").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("role_group"), body.alias("body")))).alias(
-            "groups"
-        ),
-        F.first(has("role_override_map"), ignorenulls=True).alias("overrides"),
-    )
-    role = F.struct(
-        F.lit(None).cast(group["config"].dataType).alias("config"),
-        F.col("overrides").alias("configOverrides"),
-        no_map.alias("envOverrides"),
-        no_map.alias("cliOverrides"),
-        F.col("groups").alias("roleGroups"),
-    )
-    whole = roles.groupBy(*cluster).agg(
+    if "cluster_id" in role_groups.columns:
+        cluster = ["cluster_id", *cluster]
+    member = F.struct(F.col("role_group"), body.alias("body"))
+    whole = role_groups.groupBy(*cluster).agg(
         *[
-            F.first(F.when(F.col("role") == r, role), ignorenulls=True).alias(field)
+            c
             for r, field in SPEC_FIELD_OF_ROLE.items()
+            for c in (
+                F.collect_list(F.when(F.col("role") == r, member)).alias(field),
+                F.first(
+                    F.when(F.col("role") == r, has("role_override_map")), ignorenulls=True
+                ).alias(f"{field}_overrides"),
+            )
         ]
     )
+
+    def role(field: str) -> Column:
+        held = F.struct(
+            F.lit(None).cast(group["config"].dataType).alias("config"),
+            F.col(f"{field}_overrides").alias("configOverrides"),
+            no_map.alias("envOverrides"),
+            no_map.alias("cliOverrides"),
+            F.map_from_entries(field).alias("roleGroups"),
+        )
+        return F.when(F.size(field) > 0, held).alias(field)
+
     return whole.select(
         F.struct(
             F.col("cluster").alias("name"), F.col("namespace"), F.col("cluster").alias("uid")
@@ -134,6 +143,6 @@ def spec_documents(role_groups: DataFrame) -> DataFrame:
             empty_overrides.alias("configOverrides"),
             no_map.alias("envOverrides"),
             no_map.alias("cliOverrides"),
-            *[F.col(field) for field in SPEC_FIELD_OF_ROLE.values()],
+            *[role(field) for field in SPEC_FIELD_OF_ROLE.values()],
         ).alias("spec"),
     )
