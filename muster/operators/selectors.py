@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.session import broadcast_if, settled
+
 # Objects that one salt of a token brings together, and the longest list of values that is
 # tested within the row.
 SALT_ROWS = 50_000
@@ -91,9 +93,8 @@ def _token(key: Column, value: Column | None = None) -> Column:
     return name if value is None else F.concat(name, F.lit("="), value)
 
 
-def _lookups(wanted: DataFrame, objects: DataFrame) -> DataFrame:
-    """(selector_id, expr_no, token, n) for the expression of a selector that fewest objects
-    can satisfy: its tokens, and how many objects show each.
+def _shown_by(wanted: DataFrame) -> DataFrame:
+    """(selector_id, expr_no, token): what an object shows that satisfies the expression.
 
     Only ``In`` and ``Exists`` are looked up; a selector without either is not here.
     """
@@ -105,11 +106,17 @@ def _lookups(wanted: DataFrame, objects: DataFrame) -> DataFrame:
         F.col("operator") == "In",
         F.transform(F.array_distinct("vals"), lambda v: _token(key, v)),
     ).otherwise(F.array(_token(key)))
-    shown_by = rows.filter(F.col("operator").isin("In", "Exists")).select(
+    return rows.filter(F.col("operator").isin("In", "Exists")).select(
         "selector_id", "expr_no", F.explode_outer(tokens).alias("token")
     )
+
+
+def _lookups(shown_by: DataFrame, objects: DataFrame, small: bool) -> DataFrame:
+    """(selector_id, expr_no, token, n) for the expression of a selector that fewest objects
+    can satisfy: its tokens, and how many objects show each."""
     shown = objects.select(F.explode(_tokens(F.col("labels"))).alias("token"))
-    shown = shown.join(shown_by.select("token").distinct(), "token", "left_semi")
+    asked = broadcast_if(shown_by.select("token").distinct(), small)
+    shown = shown.join(asked, "token", "left_semi")
     counts = shown.groupBy("token").agg(F.count("*").alias("n"))
     costed = shown_by.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     cost = costed.groupBy("selector_id", "expr_no").agg(F.sum("n").alias("cost"))
@@ -129,7 +136,8 @@ def select_by_labels(
     selector that just excludes, and so selects nearly everything, meets all objects.
 
     Index rows are a selector and a token; a token many objects show is split into salts by
-    its count.  What a selector asks for besides is joined after the match: short lists are
+    its count; of few selectors, by rows and by bytes, the index is broadcast and no object is
+    shuffled.  What a selector asks for besides is joined after the match: short lists are
     tested within the row, long ones by a join on their values, so no list of values is
     repeated for every object.
     """
@@ -138,36 +146,43 @@ def select_by_labels(
     )
     wanted = selectors.filter(F.col("exprs").isNotNull() & known)
     positive = F.exists("exprs", lambda e: e["operator"].isin("In", "Exists"))
-    lookups = _lookups(wanted.filter(positive), objects)
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    index = lookups.select(
-        "selector_id", "token", salts.alias("salts"),
-        F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
-    )
-    split = index.select("token", "salts").distinct()
+    wanted, few = settled(wanted, "selectors")
+    shown_by, small = settled(_shown_by(wanted.filter(positive)), "tokens")
+    lookups = _lookups(shown_by, objects, small)
     dealt = F.xxhash64(*keys)
-    probes = objects.select(*keys, "labels", F.explode(_tokens(F.col("labels"))).alias("token"))
-    probes = probes.join(split, "token").withColumn("salt", F.pmod(dealt, F.col("salts")).cast("int"))
-    met = probes.join(index.drop("salts"), ["token", "salt"]).select("selector_id", *keys, "labels")
+    shown = objects.select(*keys, "labels", F.explode(_tokens(F.col("labels"))).alias("token"))
+    if small:
+        met = shown.join(F.broadcast(lookups.select("selector_id", "token")), "token")
+        met = met.select("selector_id", *keys, "labels")
+    else:
+        salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+        index = lookups.select(
+            "selector_id", "token", salts.alias("salts"),
+            F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
+        )
+        split = index.select("token", "salts").distinct()
+        probes = shown.join(split, "token").withColumn("salt", F.pmod(dealt, F.col("salts")).cast("int"))
+        met = probes.join(index.drop("salts"), ["token", "salt"]).select("selector_id", *keys, "labels")
 
     # Selectors that only exclude: every object, by as many salts as there are partitions.
-    parts = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     excluding = wanted.filter(~positive).select("selector_id")
-    everywhere = excluding.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    everyone = objects.select(*keys, "labels", F.pmod(dealt, F.lit(parts)).cast("int").alias("salt"))
-    all_ = everyone.join(everywhere, "salt").select("selector_id", *keys, "labels")
+    if few:
+        all_ = objects.crossJoin(F.broadcast(excluding)).select("selector_id", *keys, "labels")
+    else:
+        parts = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        everywhere = excluding.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        everyone = objects.select(*keys, "labels", F.pmod(dealt, F.lit(parts)).cast("int").alias("salt"))
+        all_ = everyone.join(everywhere, "salt").select("selector_id", *keys, "labels")
 
     def short(e: Column) -> Column:
         return F.coalesce(F.size(e["vals"]), F.lit(0)) <= SHORT
 
-    pairs = met.unionByName(all_).join(
-        wanted.select(
-            "selector_id",
-            F.filter("exprs", short).alias("exprs"),
-            F.exists("exprs", lambda e: ~short(e)).alias("more"),
-        ),
+    tested = wanted.select(
         "selector_id",
+        F.filter("exprs", short).alias("exprs"),
+        F.exists("exprs", lambda e: ~short(e)).alias("more"),
     )
+    pairs = met.unionByName(all_).join(broadcast_if(tested, few), "selector_id")
     pairs = pairs.filter(satisfies(F.col("labels"), F.col("exprs")))
     done = pairs.filter("NOT more").select("selector_id", *keys)
     lists = wanted.select("selector_id", F.posexplode("exprs").alias("expr_no", "e")).filter(

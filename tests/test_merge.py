@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from muster.operators import properties, validation
 from muster.plans import effective
-from muster.plans.bindings import Fleet
+from muster.plans.bindings import Fleet, by_kind
 from muster.plans.queries import QUERIES
 from muster.schema import SPARK_DEFAULTS
 from muster.sources import specs
@@ -120,3 +120,28 @@ def test_documents_of_clusters_without_some_roles(spark):
         assert r.workers is None
         for role, field in (("master", r.masters), ("history-server", r.historyServers)):
             assert (set(field.roleGroups) if field else None) == want[r.name].get(role)
+
+
+def test_objects_of_few_selectors_are_not_shuffled(spark, shuffled, monkeypatch):
+    """Only counts of labels are; by a shuffle, as of many selectors, the rows are the same."""
+    from muster import session
+
+    few = QUERIES["select_by_labels"](spark, FOLDER)
+    assert "salt" not in planned(few)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    many = QUERIES["select_by_labels"](spark, FOLDER)
+    assert "salt" in planned(many)
+    assert bag(few) == bag(many)
+
+
+def test_a_batch_of_changes_is_written_by_several_tasks(spark, tmp_path):
+    changes = by_kind(Fleet(spark, FOLDER).watch())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = changes.select("kind", F.spark_partition_id().alias("p")).distinct().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len({r.kind for r in placed}) == len(placed) and len({r.p for r in placed}) > 1
+    changes.write.partitionBy("kind").parquet(str(tmp_path / "batch"))
+    for kind in (tmp_path / "batch").glob("kind=*"):
+        assert len(list(kind.glob("*.parquet"))) == 1
