@@ -182,8 +182,8 @@ class Fleet:
         )
         path = work_dir(self.spark, "watch")
         for i in range(batches):
-            part = delivered.filter(F.col("batch") == i).drop("batch")
-            part.coalesce(1).write.mode("append").partitionBy("kind").parquet(path)
+            part = by_kind(delivered.filter(F.col("batch") == i).drop("batch"))
+            part.write.mode("append").partitionBy("kind").parquet(path)
         folders = {kind: f"{path}/kind={kind}" for kind in (PRIMARY_KIND, *OWNED_KINDS)}
         return watch(self.spark, folders, "parquet", maxFilesPerTrigger="1")
 
@@ -238,6 +238,12 @@ class Fleet:
         )
 
 
+def by_kind(changes: DataFrame) -> DataFrame:
+    """Changes of a kind together, so that they become one file, and a batch of the stream of
+    that kind; what they are made of is read, and kinds are written, by several tasks."""
+    return changes.repartition("kind")
+
+
 def _label(key: Column, value: Column) -> Column:
     return F.struct(key.alias("label_key"), value.alias("label_value"))
 
