@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from muster.operators import errors, patch, render
-from muster.plans import effective
+from muster.plans import effective, queries
 from muster.schema import KEY
 from muster.sources import snapshot
 from muster.streaming import reconcile
@@ -194,3 +194,23 @@ def test_texts_shuffle_nothing_after_the_joins(spark, catalog):
         assert exchanges(df) <= before
 
 
+
+
+def _generators(df):
+    """The generators of a plan that interpret what they are given."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Generate " in line and "lambda" in line]
+
+
+def test_no_lambda_runs_within_a_generator(spark):
+    """With one inside, a generator interprets everything it is given."""
+    folder = "/root/testdata/sf0.001"
+    assert _generators(queries.QUERIES["patch_objects"](spark, folder)) == []
+
+
+def test_fields_with_and_without_values(spark):
+    row = "props array<struct<file:string,prop:string,value:string>>, n int"
+    props = [("f", "a", "1"), ("f", "b", None), ("g", "a", "2")]
+    df = spark.createDataFrame([(props, 3), (props, None), ([], None), (None, 1)], row)
+    got = [r.m for r in df.select(patch.fields_of(F.col("props"), F.col("n")).alias("m")).collect()]
+    assert got == [{"replicas": "3", "f/a": "1", "g/a": "2"}, {"f/a": "1", "g/a": "2"}, {}, {"replicas": "1"}]
