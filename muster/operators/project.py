@@ -166,18 +166,19 @@ def expand_pods(df: DataFrame, respect_stopped: bool = False) -> DataFrame:
     )
 
 
-def ports_of(role: Column) -> Column:
-    """Array of (port_name, port): what the role's service and container expose."""
+def port_numbers() -> dict[str, list[tuple[str, int]]]:
+    """The named ports of each role."""
+    named = {role: [("http", HTTP_PORT_OF_ROLE[role])] for role in ROLES}
+    named["master"].append(("rpc", MASTER_RPC_PORT))
+    return named
 
-    def port(name: str, number: int) -> Column:
-        return F.struct(F.lit(name).alias("port_name"), F.lit(number).alias("port"))
 
-    ports = F.when(
-        role == "master",
-        F.array(port("http", HTTP_PORT_OF_ROLE["master"]), port("rpc", MASTER_RPC_PORT)),
-    )
-    for other in ROLES[1:]:
-        ports = ports.when(role == other, F.array(port("http", HTTP_PORT_OF_ROLE[other])))
+def ports_of(role: Column) -> Column:
+    """Array of (port_name, port): what the role's service and container expose."""
+    ports = F.lit(None)
+    for known, named in port_numbers().items():
+        entries = [F.struct(F.lit(n).alias("port_name"), F.lit(p).alias("port")) for n, p in named]
+        ports = F.when(role == known, F.array(*entries)).otherwise(ports)
     return ports
 
 

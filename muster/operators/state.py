@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions import names
-from muster.operators.project import effective_replicas, labels_of, ports_of
+from muster.operators.project import effective_replicas, labels_of, port_numbers
 from muster.schema import (
     APP_NAME,
     GLOBAL_GROUP,
@@ -98,12 +98,16 @@ def error_counts(report: DataFrame, category: str = "category") -> DataFrame:
 
 
 def _ports(role: Column, number: str = "port") -> Column:
-    return F.transform(
-        ports_of(role),
-        lambda p: F.struct(
-            p["port_name"].alias("name"), p["port"].alias(number), F.lit("TCP").alias("protocol")
-        ),
-    )
+    """What ``ports_of`` exposes as an object writes it; constants, so that no row works
+    them out."""
+    ports = F.lit(None)
+    for known, named in port_numbers().items():
+        entries = [
+            F.struct(F.lit(name).alias("name"), F.lit(port).alias(number), F.lit("TCP").alias("protocol"))
+            for name, port in named
+        ]
+        ports = F.when(role == known, F.array(*entries)).otherwise(ports)
+    return ports
 
 
 def _labels(role: Column, role_group: Column, scrape: bool = False) -> Column:
@@ -218,22 +222,10 @@ def role_group_objects(
             )
         ).alias("volumeClaimTemplates"),
     )
-    kinds = F.array(
-        *[
-            F.struct(
-                F.lit(kind).alias("kind"),
-                F.lit(scrape).cast("string").alias("scrape"),
-                F.to_json(_labels(F.col("role"), group, scrape is not None)).alias("labels"),
-                F.to_json(spec).alias("spec"),
-            )
-            for kind, scrape, spec in (
-                ("Service", "true", service),
-                ("ConfigMap", None, config),
-                ("StatefulSet", None, replica_set),
-            )
-        ]
-    )
-    return groups.filter("version IS NOT NULL").select(
+    # Texts are made in a projection, which is compiled; a generator is not if anything in it
+    # is interpreted.
+    kinds = {"Service": ("true", service), "ConfigMap": (None, config), "StatefulSet": (None, replica_set)}
+    written = groups.filter("version IS NOT NULL").select(
         "namespace",
         name.alias("name"),
         "cluster_id",
@@ -241,8 +233,22 @@ def role_group_objects(
         F.col("role").alias("component"),
         "role_group",
         "version",
-        F.inline(kinds),
-    ).select(*_OBJECT)
+        F.to_json(_labels(F.col("role"), group)).alias("plain"),
+        F.to_json(_labels(F.col("role"), group, True)).alias("scraped"),
+        *[F.to_json(spec).alias(f"of_{kind}") for kind, (_, spec) in kinds.items()],
+    )
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(kind).alias("kind"),
+                F.lit(scrape).cast("string").alias("scrape"),
+                F.col("plain" if scrape is None else "scraped").alias("labels"),
+                F.col(f"of_{kind}").alias("spec"),
+            )
+            for kind, (scrape, _) in kinds.items()
+        ]
+    )
+    return written.select("*", F.inline(each)).select(*_OBJECT)
 
 
 def union_kinds(*relations: DataFrame) -> DataFrame:

@@ -203,8 +203,9 @@ def _generators(df):
 
 
 def test_no_lambda_runs_within_a_generator(spark):
-    """With one inside, a generator interprets everything it is given."""
+    """With one inside, a generator interprets everything it is given: objects, patches."""
     folder = "/root/testdata/sf0.001"
+    assert _generators(queries.QUERIES["desired_objects"](spark, folder)) == []
     assert _generators(queries.QUERIES["patch_objects"](spark, folder)) == []
 
 
