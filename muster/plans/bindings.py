@@ -38,6 +38,15 @@ class Fleet:
             self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._tables[name]
 
+    def of_clusters(self, ids: DataFrame) -> Fleet:
+        """The same tables with the line items of the clusters in ``ids`` only, which are left
+        out before anything is aggregated: Spark does not move a small semi-join there."""
+        some = Fleet(self.spark, self.folder)
+        chosen = ids.select(F.col("cluster_id").alias("l_orderkey"))
+        lines = self.table("lineitem").join(chosen, "l_orderkey", "left_semi")
+        some._tables = {**self._tables, "lineitem": lines}
+        return some
+
     def clusters(self) -> DataFrame:
         joined = self.table("orders").join(
             self.table("customer"), F.col("o_custkey") == F.col("c_custkey")

@@ -847,15 +847,17 @@ def _reconcile(fleet: Fleet) -> str:
     # The tables of the fleet as they are kept, of the clusters that change.
     owners = fleet.watch().select(F.col("owner").alias("cluster")).distinct()
     changing = fleet.clusters().join(owners, "cluster", "left_semi")
-    kept = []
-    for name, df in (
-        ("clusters", changing), ("role_groups", fleet.role_groups()), ("overrides", fleet.overrides())
-    ):
-        if kept:
-            df = df.join(kept[0].select("cluster_id"), "cluster_id", "left_semi")
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{root}/fleet/{name}")
-        kept.append(fleet.spark.read.schema(df.schema).parquet(f"{root}/fleet/{name}"))
-    _, before, observed = _sides(fleet, tuple(kept))
+        return fleet.spark.read.schema(df.schema).parquet(f"{root}/fleet/{name}")
+
+    clusters = keep("clusters", changing)
+    some = fleet.of_clusters(clusters)
+    kept = [clusters, keep("role_groups", some.role_groups()), keep("overrides", some.overrides())]
+    _, before, there_first = _sides(some, tuple(kept))
+    # Every batch reads it anew.
+    observed = keep("observed", there_first)
     order = ["reconciled_in"]
     row = "cluster_id bigint, role string, role_group string, after map<string,string>, reconciled_in bigint"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from muster.operators import errors, patch, render
 from muster.plans import effective, queries
+from muster.plans.bindings import Fleet
 from muster.schema import KEY
 from muster.sources import snapshot
 from muster.streaming import reconcile
@@ -215,3 +216,17 @@ def test_fields_with_and_without_values(spark):
     df = spark.createDataFrame([(props, 3), (props, None), ([], None), (None, 1)], row)
     got = [r.m for r in df.select(patch.fields_of(F.col("props"), F.col("n")).alias("m")).collect()]
     assert got == [{"replicas": "3", "f/a": "1", "g/a": "2"}, {"f/a": "1", "g/a": "2"}, {}, {"replicas": "1"}]
+
+
+def test_line_items_of_some_clusters_are_narrowed_before_grouping(spark):
+    """Reconciling aggregates the line items of the clusters that change, not all of them."""
+    fleet = Fleet(spark, "/root/testdata/sf0.001")
+    ids = fleet.clusters().filter("cluster_id % 7 = 0").select("cluster_id")
+    some = fleet.of_clusters(ids)
+    for name in ("role_groups", "overrides", "observed"):
+        got, whole = getattr(some, name)(), getattr(fleet, name)()
+        want = whole.filter("cluster_id % 7 = 0")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+        plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = {w: min(i for i, x in enumerate(plan) if w in x) for w in ("Aggregate", "LeftSemi")}
+        assert depth["Aggregate"] < depth["LeftSemi"], name
