@@ -1,6 +1,7 @@
 """The tree of digests and the diff that descends in it."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,52 @@ def test_sums_of_parts_are_exact(spark):
     rows = spark.createDataFrame([(1, h) for h in hashes], "k int, hash string")
     got = digests._text(rows, ["k"], "hash", F.count("*")).first()
     assert (got.digest, got.n) == (want, len(hashes))
+
+
+def _shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_written_levels_leave_no_shuffle_files(spark, tmp_path):
+    """What the steps have shuffled does not add up on disk, and rows are not shuffled only to
+    be written."""
+    rows = fleet(random.Random(6), clusters=100)
+    key = sorted(rows)[50]
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, files = spark.conf.get(setting), _shuffle_files(spark)
+    for name, r in (("old", rows), ("new", {**rows, key: "changed"})):
+        digests.write_tree(frame(spark, r), str(tmp_path / name))
+    diff = digests.diff_trees(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+    for _ in range(100):
+        left = _shuffle_files(spark) - files
+        if not left:
+            break
+        time.sleep(0.1)
+    assert left == set() and spark.conf.get(setting) == before
+    assert [tuple(r)[:5] for r in diff.collect()] == [key]
+
+
+def test_a_full_sketch_leaves_the_diff_exact(spark, tmp_path, monkeypatch):
+    """One word for all nodes lets others through, among them files with a property that
+    comes twice, and so is not the same as itself."""
+    monkeypatch.setattr(digests, "SKETCH_WORDS", 1)
+    rng = random.Random(7)
+    old = fleet(rng, clusters=60)
+    keys = rng.sample(sorted(old), 25)
+    new = {**old, **dict.fromkeys(keys, "changed")}
+    twice = [(c, "master", "g0", "z", "a", v) for c in range(60) for v in "12"]
+    for name, rows in (("old", old), ("new", new)):
+        both = frame(spark, rows).unionByName(spark.createDataFrame(twice, PROPS))
+        digests.write_tree(both, str(tmp_path / name))
+    got = digests.diff_trees(spark, str(tmp_path / "old"), str(tmp_path / "new")).collect()
+    assert sorted(map(tuple, got), key=repr) == simple_diff(old, new)
+
+
+def test_rows_below_nodes_that_do_not_differ_are_not_shuffled(spark):
+    nodes = spark.createDataFrame([(0, 1, "master", "g0")], "bucket int, cluster_id bigint, role string, role_group string")
+    rows = [(0, c, "master", f"g{g}", "x", "d") for c in range(500) for g in range(2)] + [(0, 1, None, "g0", "x", "d")]
+    table = spark.createDataFrame(rows, "bucket int, cluster_id bigint, role string, role_group string, file string, digest string")
+    keys = digests.LEVELS["group"]
+    left = digests._below(table, digests._sketch(nodes, keys), keys).collect()
+    assert (0, 1, "master", "g0", "x", "d") in map(tuple, left) and len(left) < 20
