@@ -230,3 +230,21 @@ def test_line_items_of_some_clusters_are_narrowed_before_grouping(spark):
         plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
         depth = {w: min(i for i, x in enumerate(plan) if w in x) for w in ("Aggregate", "LeftSemi")}
         assert depth["Aggregate"] < depth["LeftSemi"], name
+
+
+def test_sides_of_a_patch_are_not_shuffled_with_their_fields(spark, monkeypatch):
+    """They are made where the rows of what is wanted are, of shuffles that all sides share,
+    and nothing is written in between."""
+    monkeypatch.setattr(queries, "work_dir", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries.QUERIES["patch_objects"](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        union = min(i for i, line in enumerate(plan) if "Union" in line)
+        assert not [line for line in plan[:union] if "Exchange" in line]
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        # Three sides of four shuffles and more, two of them only shared.
+        assert final.count("ReusedExchange") >= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
