@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from muster.functions import packing
 from muster.operators import properties, validation
 from muster.plans import effective
 from muster.plans.bindings import Fleet, by_kind
@@ -145,3 +146,47 @@ def test_a_batch_of_changes_is_written_by_several_tasks(spark, tmp_path):
     changes.write.partitionBy("kind").parquet(str(tmp_path / "batch"))
     for kind in (tmp_path / "batch").glob("kind=*"):
         assert len(list(kind.glob("*.parquet"))) == 1
+
+
+ODD = "cluster_id bigint, a string, b int, c boolean, d double, e string, f bigint"
+
+
+def test_columns_as_one_text(spark):
+    """Any text comes back, NULLs and empty ones too; of other kinds columns stay."""
+    texts = ["", None, "\\", "\\0", "\\s", "\\e", "\x01", "a\x01b\\s\x01\\", "\\\x01", "é\n", " ", "\\\\e0"]
+    rows = [
+        (i, a, None if i % 3 else i - 9, [None, True, False][i % 3], i / 3, e, [None, -(1 << 63)][i % 2])
+        for i, (a, e) in enumerate((a, e) for a in texts for e in texts)
+    ]
+    df = spark.createDataFrame(rows, ODD)
+    narrow, fields = packing.packed(df, list("abcdef"), "text")
+    assert narrow.columns == ["cluster_id", "d", "text"] and [f.name for f in fields] == list("abcef")
+    back = packing.unpacked(narrow.repartition(3), fields, "text").select(df.columns)
+    assert back.dtypes == df.dtypes and bag(back) == bag(df)
+
+
+def _widths(plan):
+    """How many columns each shuffle has."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _widths(plan.initialPlan())
+    below = [w for i in range(plan.children().size()) for w in _widths(plan.children().apply(i))]
+    return below + [plan.output().size()] * (plan.nodeName() == "Exchange")
+
+
+def test_few_columns_are_shuffled(spark, shuffled):
+    df = QUERIES["desired_objects"](spark, FOLDER)
+    assert max(_widths(df._jdf.queryExecution().executedPlan())) <= 6
+
+
+def test_groups_keep_odd_texts(spark):
+    clusters, rows, overrides = fleet_of(spark)
+    odd = rows.withColumns({"memory": F.lit("\\0\x01\\"), "store_path": F.lit("")})
+    clusters = clusters.withColumn("secret", F.lit("\x01\\s"))
+    groups = effective.group_rows(clusters, odd, overrides, ["cluster", "stopped"])
+    assert groups.columns == [
+        *odd.columns, "secret", "max_port_retries", "version_rank", "cluster", "stopped", "overrides"
+    ]
+    assert dict(groups.dtypes).items() >= dict(odd.dtypes).items()
+    got = groups.select("memory", "store_path", "secret").distinct().collect()
+    assert [tuple(r) for r in got] == [("\\0\x01\\", "", "\x01\\s")]
+    assert bag(groups.select(odd.columns)) == bag(odd)
